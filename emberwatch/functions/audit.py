@@ -36,17 +36,21 @@ def last_value(pairs: Column, name: str) -> Column:
     return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
 
 
-def open_tail(pairs: Column) -> Column:
-    """Every field without a column of its own, as a map; the last duplicate wins."""
-    rest = F.filter(pairs, lambda p: ~p["k"].isin(TYPED_FIELDS))
-    names = F.array_distinct(F.transform(rest, lambda p: p["k"]))
+def pair_map(pairs: Column, without: list[str] = ()) -> Column:
+    """The pairs as a map; the last duplicate wins."""
+    kept = F.filter(pairs, lambda p: ~p["k"].isin(list(without))) if without else pairs
+    names = F.array_distinct(F.transform(kept, lambda p: p["k"]))
     values = F.transform(
-        names,
-        lambda n: F.element_at(F.filter(rest, lambda p: p["k"] == n), -1)["v"],
+        names, lambda n: F.element_at(F.filter(kept, lambda p: p["k"] == n), -1)["v"]
     )
     return F.map_from_arrays(names, values)
 
 
+def open_tail(pairs: Column) -> Column:
+    """Every field without a column of its own."""
+    return pair_map(pairs, TYPED_FIELDS)
+
+
 def correlate_audit(lines: DataFrame) -> DataFrame:
     """One row per audit event: its first SYSCALL line and the name of its first PATH line.
 

@@ -63,12 +63,18 @@ def read_sessions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
-def sessions_of(sessions: DataFrame, src_ip: str) -> DataFrame:
-    return sessions.filter(F.col("src_ip") == src_ip).orderBy(F.desc("start_time"))
-
-
-def commands_of(session_commands: DataFrame, session_id: str) -> DataFrame:
-    return session_commands.filter(F.col("session_id") == session_id).orderBy("ran_at", "seq")
+def newest_sessions(sessions: DataFrame, src_ip: str | None = None) -> DataFrame:
+    """Sessions of one address, newest first; without an address all of them, by address."""
+    if src_ip is not None:
+        return sessions.filter(F.col("src_ip") == src_ip).orderBy(F.desc("start_time"), "session_id")
+    return sessions.orderBy("src_ip", F.desc("start_time"), "session_id")
+
+
+def oldest_commands(session_commands: DataFrame, session_id: str | None = None) -> DataFrame:
+    """Commands of one session in the order typed; without a session all of them, by session."""
+    if session_id is not None:
+        return session_commands.filter(F.col("session_id") == session_id).orderBy("ran_at", "seq")
+    return session_commands.orderBy("session_id", "ran_at", "seq")
 
 
 def logins_per_address(sessions: DataFrame, logins: DataFrame) -> DataFrame:
