@@ -17,113 +17,134 @@ TYPED_FIELDS = [
 ]
 
 
-def key_values(line: Column) -> Column:
-    """ARRAY<STRUCT<k, v>> of the pairs in order; names starting upper-case are left out."""
-    pairs = F.regexp_extract_all(line, F.lit(PAIR), F.lit(0))
+def pairs_backwards(line: Column) -> Column:
+    """`name=value` texts from last to first, so that the first hit of a name is its last one."""
+    return F.reverse(F.regexp_extract_all(line, F.lit(PAIR), F.lit(0)))
 
-    def to_struct(pair):
-        name = F.substring_index(pair, "=", 1)
-        value = F.substr(pair, F.length(name) + 2)
-        quoted = (F.length(value) >= 2) & value.startswith('"') & value.endswith('"')
-        bare = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-        return F.struct(name.alias("k"), bare.alias("v"))
 
-    return F.filter(F.transform(pairs, to_struct), lambda p: ~p["k"].rlike(r"^\p{Lu}"))
+def pair_name(pair: Column) -> Column:
+    return F.substring_index(pair, "=", 1)
 
 
-def last_value(pairs: Column, name: str) -> Column:
-    """The last value of a name, NULL when absent."""
-    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
+def pair_value(pair: Column, name: Column) -> Column:
+    """The text after `name=`, without its quotes."""
+    value = F.substr(pair, F.length(name) + 2)
+    quoted = (F.length(value) >= 2) & value.startswith('"') & value.endswith('"')
+    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
-def pair_map(pairs: Column, without: list[str] = ()) -> Column:
-    """The pairs as a map; the last duplicate wins."""
-    kept = F.filter(pairs, lambda p: ~p["k"].isin(list(without))) if without else pairs
-    names = F.array_distinct(F.transform(kept, lambda p: p["k"]))
-    values = F.transform(
-        names, lambda n: F.element_at(F.filter(kept, lambda p: p["k"] == n), -1)["v"]
+def with_pairs(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Adds `pairs` and `names`, both from last to first."""
+    return lines.withColumn("pairs", pairs_backwards(F.col(column))).withColumn(
+        "names", F.transform("pairs", pair_name)
     )
-    return F.map_from_arrays(names, values)
 
 
-def open_tail(pairs: Column) -> Column:
-    """Every field without a column of its own."""
-    return pair_map(pairs, TYPED_FIELDS)
+def field_text(name: str) -> Column:
+    """The last value of a name, NULL when absent. Needs `pairs` and `names`."""
+    place = F.nullif(F.array_position("names", F.lit(name)), F.lit(0).cast("bigint"))
+    return pair_value(F.try_element_at("pairs", place.cast("int")), F.lit(name))
+
+
+def pair_map(without: list[str] = ()) -> Column:
+    """Pairs as a map, without some names and those starting upper-case; the last duplicate
+    wins. Needs `pairs` and `names`."""
+
+    def is_wanted(name):
+        lower = ~F.substr(name, F.lit(1), F.lit(1)).between("A", "Z")
+        return lower & ~name.isin(list(without)) if without else lower
+
+    wanted = F.filter("pairs", lambda p: is_wanted(pair_name(p)))
+    names = F.transform(wanted, pair_name)
+    values = F.transform(wanted, lambda p: pair_value(p, pair_name(p)))
+    distinct = F.array_distinct(names)
+    first_values = F.transform(
+        distinct, lambda n: F.try_element_at(values, F.array_position(names, n).cast("int"))
+    )
+    return F.when(
+        F.size(distinct) == F.size(names), F.map_from_arrays(names, values)
+    ).otherwise(F.map_from_arrays(distinct, first_values))
 
 
 def correlate_audit(lines: DataFrame) -> DataFrame:
     """One row per audit event: its first SYSCALL line and the name of its first PATH line.
 
-    Lines of other types are dropped before the shuffle, and a PATH line travels as its name
-    only. Event number and time together identify an event, since numbers restart at boot.
+    Lines of other types are dropped before the shuffle. Fields are taken apart before it too, so
+    that columns nobody asks for are not shuffled, and a PATH line travels as its name only.
+    Event number and time together identify an event, since numbers restart at boot.
     """
     value = F.col("value")
-    line_type = F.when(value.contains("type=SYSCALL"), 1).otherwise(0).alias("is_call")
-    path_type = F.when(value.contains("type=PATH"), 1).otherwise(0).alias("is_path")
-    used = (
-        lines.filter(value.rlike(K.AUDIT_ID))
-        .select(
-            "seq",
-            F.regexp_extract(value, K.AUDIT_ID, 1).alias("epoch"),
-            F.regexp_extract(value, K.AUDIT_ID, 2).alias("serial"),
-            line_type,
-            path_type,
-            F.when(value.contains("type=SYSCALL"), value).alias("call"),
-            F.when(value.contains("type=PATH"), F.struct(last_value(key_values(value), "name").alias("name")))
-            .alias("path"),
-        )
-        .filter("is_call = 1 or is_path = 1")
+    marked = lines.select(
+        "seq",
+        "value",
+        value.contains("type=SYSCALL").alias("is_call"),
+        value.contains("type=PATH").alias("is_path"),
+        F.regexp_extract(value, K.AUDIT_ID, 0).alias("id"),
+    ).filter("id != '' and (is_call or is_path)")
+    is_call, is_path = F.col("is_call"), F.col("is_path")
+    used = with_pairs(marked).select(
+        F.regexp_extract("id", r"\((.*):", 1).alias("epoch"),
+        F.regexp_extract("id", r":(\d+)\)", 1).alias("serial"),
+        F.when(is_call, value).alias("call"),
+        F.when(is_call, F.struct(*[field_text(n).alias(n) for n in TYPED_FIELDS])).alias("fields"),
+        F.when(is_call, pair_map(TYPED_FIELDS)).alias("tail"),
+        F.when(is_call, F.col("seq")).alias("call_seq"),
+        F.when(is_path, F.struct(field_text("name").alias("name"))).alias("path"),
+        F.when(is_path, F.col("seq")).alias("path_seq"),
     )
     return (
         used.groupBy("epoch", "serial")
         .agg(
-            F.expr("min_by(call, seq) FILTER (WHERE is_call = 1)").alias("raw"),
-            F.expr("min(seq) FILTER (WHERE is_call = 1)").alias("seq"),
-            F.expr("min_by(path, seq) FILTER (WHERE is_path = 1)").alias("path"),
+            F.min("call_seq").alias("seq"),
+            F.min_by("call", "call_seq").alias("raw"),
+            F.min_by("fields", "call_seq").alias("fields"),
+            F.min_by("tail", "call_seq").alias("extra"),
+            F.min_by("path", "path_seq").alias("path"),
         )
-        .filter("raw is not null")
-        .select("epoch", "serial", "seq", "raw", F.col("path.name").alias("path_name"))
+        .filter("seq is not null")
+        .withColumn("path_name", F.col("path.name"))
+        .drop("path")
     )
 
 
 def type_audit(correlated: DataFrame) -> DataFrame:
-    """Adds the typed columns and `reason`. Needs `raw`, `seq` and `path_name`."""
-    pairs = F.col("pairs")
+    """Adds the typed columns and `reason`."""
 
-    def number(name, default, data_type):
-        text = last_value(pairs, name)
-        return F.coalesce(text, F.lit(default)).try_cast(data_type)
+    def field(name):
+        return F.col(f"fields.{name}")
 
-    def text(name, default=None):
-        value = last_value(pairs, name)
-        return strip(value if default is None else F.coalesce(value, F.lit(default)))
+    def number(name, default, data_type):
+        return F.coalesce(field(name), F.lit(default)).try_cast(data_type)
 
     epoch = F.regexp_extract(
-        F.concat(F.lit("msg="), F.coalesce(last_value(pairs, "msg"), F.lit(""))), K.AUDIT_ID, 1
+        F.concat(F.lit("msg="), F.coalesce(field("msg"), F.lit(""))), K.AUDIT_ID, 1
     )
-    typed = (
-        correlated.withColumn("pairs", key_values(F.col("raw")))
-        .withColumn("source", F.lit(K.AUDITD))
-        .withColumn("ts", epoch_time(F.when(epoch != "", epoch).otherwise(F.lit("0.0"))))
-        .withColumn("auid", number("auid", str(K.UNSET_AUID), "bigint"))
-        .withColumn("uid", number("uid", "0", "bigint"))
-        .withColumn("euid", number("euid", "0", "bigint"))
-        .withColumn("pid", number("pid", "0", "int"))
-        .withColumn("ppid", number("ppid", "0", "int"))
-        .withColumn("comm", text("comm", ""))
-        .withColumn("exe", text("exe", ""))
-        .withColumn("syscall_text", last_value(pairs, "syscall"))
-        .withColumn("syscall", F.col("syscall_text").try_cast("int"))
-        .withColumn("success", F.lower(F.coalesce(last_value(pairs, "success"), F.lit("yes"))) == "yes")
-        .withColumn("key", text("key"))
-        .withColumn("name", strip(F.coalesce(F.col("path_name"), last_value(pairs, "name"))))
-        .withColumn("record_type", text("type", "SYSCALL"))
-        .withColumn("extra", open_tail(pairs))
+    typed = correlated.select(
+        "epoch",
+        "serial",
+        "path_name",
+        "raw",
+        "extra",
+        "seq",
+        F.lit(K.AUDITD).alias("source"),
+        epoch_time(F.when(epoch != "", epoch).otherwise(F.lit("0.0"))).alias("ts"),
+        number("auid", str(K.UNSET_AUID), "bigint").alias("auid"),
+        number("uid", "0", "bigint").alias("uid"),
+        number("euid", "0", "bigint").alias("euid"),
+        number("pid", "0", "int").alias("pid"),
+        number("ppid", "0", "int").alias("ppid"),
+        strip(F.coalesce(field("comm"), F.lit(""))).alias("comm"),
+        strip(F.coalesce(field("exe"), F.lit(""))).alias("exe"),
+        field("syscall").try_cast("int").alias("syscall"),
+        (field("syscall").isNotNull() & field("syscall").try_cast("int").isNull()).alias("bad_call"),
+        (F.lower(F.coalesce(field("success"), F.lit("yes"))) == "yes").alias("success"),
+        strip(field("key")).alias("key"),
+        strip(F.coalesce("path_name", field("name"))).alias("name"),
+        strip(F.coalesce(field("type"), F.lit("SYSCALL"))).alias("record_type"),
     )
-    bad_number = F.lit(False)
+    bad_number = F.col("bad_call")
     for name in ("auid", "uid", "euid", "pid", "ppid"):
         bad_number = bad_number | F.col(name).isNull()
-    bad_number = bad_number | (F.col("syscall_text").isNotNull() & F.col("syscall").isNull())
     return typed.withColumn(
         "reason",
         F.when(bad_number, F.lit("bad number")).when(F.col("ts").isNull(), F.lit("bad time")),
@@ -132,4 +153,4 @@ def type_audit(correlated: DataFrame) -> DataFrame:
 
 def normalize_audit(lines: DataFrame) -> Normalized:
     """`lines` has `value` and `seq`."""
-    return split_rejects(type_audit(correlate_audit(lines)), K.AUDITD, AUDIT_EVENT)
+    return split_rejects(type_audit(correlate_audit(lines)), K.AUDITD, AUDIT_EVENT, once=False)

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from emberwatch import constants as K
 from emberwatch.functions.addresses import is_address
 from emberwatch.functions.text import SPACE, strip
-from emberwatch.functions.times import auth_time, has_iso_time
+from emberwatch.functions.times import (
+    iso_offset_text,
+    iso_offset_time,
+    syslog_text,
+    syslog_time,
+)
 from emberwatch.schemas import AUTH_EVENT, conform
 
 
@@ -19,79 +24,98 @@ class Normalized(NamedTuple):
     rejects: DataFrame
 
 
-def split_rejects(parsed: DataFrame, source: str, schema) -> Normalized:
-    """`parsed` carries the event columns and `reason`, NULL for good rows."""
-    events = conform(parsed.filter(F.col("reason").isNull()), schema)
-    rejects = parsed.filter(F.col("reason").isNotNull()).select(
+def parsed_once(parsed: DataFrame, schema) -> DataFrame:
+    """The columns of `schema` and `reason`, behind a one-row generator.
+
+    A filter on a parsed column would otherwise be pushed below the parsing and run the patterns
+    a second time.
+    """
+    missing = [f for f in schema if f.name not in parsed.columns]
+    columns = [
+        (F.lit(None) if f in missing else F.col(f.name)).cast(f.dataType).alias(f.name)
+        for f in schema
+    ]
+    return parsed.select(F.inline(F.array(F.struct(*columns, "reason"))))
+
+
+def split_rejects(parsed: DataFrame, source: str, schema, once: bool = True) -> Normalized:
+    """`parsed` carries the event columns and `reason`, NULL for good rows.
+
+    `once` is for parsers whose patterns would run again in a pushed-down filter; without it,
+    columns nobody asks for are not computed.
+    """
+    rows = parsed_once(parsed, schema) if once else parsed
+    events = conform(rows.filter(F.col("reason").isNull()), schema)
+    rejects = rows.filter(F.col("reason").isNotNull()).select(
         F.lit(source).alias("source"), "raw", "seq", "reason"
     )
     return Normalized(events, rejects)
 
 
 def auth_header(lines: DataFrame) -> DataFrame:
-    """Adds hostname, process and pid; their place depends on the time format."""
+    """Adds the time texts, hostname, process and pid; tokens shift with the time format."""
     line = F.col("line")
-    at = F.when(F.col("iso"), F.lit(2)).otherwise(F.lit(4))
-    token = F.coalesce(F.try_element_at(F.col("parts"), at + 1), F.lit(""))
-    bare = F.regexp_replace(token, ":+$", "")
-    tagged = token.contains("[")
-    pid = F.regexp_replace(F.split_part(bare, F.lit("["), F.lit(2)), r"\]+$", "")
-    return (
-        lines.withColumn("iso", has_iso_time(line))
-        .withColumn("parts", F.split(line, f"{SPACE}+"))
-        .withColumn("hostname", F.coalesce(F.try_element_at(F.col("parts"), at), F.lit("")))
-        .withColumn("process", F.when(tagged, F.split_part(bare, F.lit("["), F.lit(1))).otherwise(bare))
-        .withColumn("pid", F.when(tagged, pid.try_cast("int")))
+    staged = (
+        lines.withColumn("iso_text", iso_offset_text(line))
+        .withColumn("iso", F.col("iso_text") != "")
+        .withColumn("tokens", F.split(line, f"{SPACE}+", 6))
+        .withColumn("at", F.when(F.col("iso"), F.lit(2)).otherwise(F.lit(4)))
+        .withColumn("token", F.coalesce(F.try_element_at("tokens", F.col("at") + 1), F.lit("")))
+        .withColumn("bare", F.rtrim("token", F.lit(":")))
+        .withColumn("tag", F.split_part("bare", F.lit("["), F.lit(2)))
+    )
+    return staged.select(
+        "*",
+        F.coalesce(F.try_element_at("tokens", "at"), F.lit("")).alias("hostname"),
+        F.substring_index("bare", "[", 1).alias("process"),
+        F.rtrim("tag", F.lit("]")).try_cast("int").alias("pid"),
     )
 
 
 def auth_fields(lines: DataFrame) -> DataFrame:
     """First matching class wins: failed, accepted, new user, sudo, other.
 
-    A cheap substring test guards every pattern, so most lines never reach the regex engine.
+    A cheap substring test guards every pattern, so most lines never reach the regex engine. A
+    login pattern is matched once: its text ends in `USER from ADDRESS port NUMBER`, and none of
+    the three holds a blank.
     """
     line = F.col("line")
 
-    def group(text, pattern, index):
-        return F.when(line.contains(text), F.regexp_extract(line, pattern, index))
-
-    def found(column):
-        return F.coalesce(F.col(column) != "", F.lit(False))
+    def matched(text, pattern, index):
+        return F.when(line.contains(text), F.regexp_extract(line, pattern, index)).otherwise("")
 
-    probes = (
-        lines.withColumn("failed_user", group("Failed password for ", K.AUTH_FAILED, 1))
-        .withColumn("accepted_user", group("Accepted p", K.AUTH_ACCEPTED, 1))
-        .withColumn("added_user", group("new user", K.AUTH_NEW_USER, 1))
-        .withColumn("sudo_by", group("COMMAND=", K.AUTH_SUDO, 1))
-    )
-    kind = (
-        F.when(found("failed_user"), F.lit("failed"))
-        .when(found("accepted_user"), F.lit("accepted"))
-        .when(found("added_user"), F.lit("new_user"))
-        .when(found("sudo_by"), F.lit("sudo"))
-        .otherwise(F.lit("other"))
-    )
-    is_kind = lambda k: F.col("kind") == k
-    login = lambda i: (
-        F.when(is_kind("failed"), F.regexp_extract(line, K.AUTH_FAILED, i))
-        .when(is_kind("accepted"), F.regexp_extract(line, K.AUTH_ACCEPTED, i))
-    )
+    failed, accepted = F.col("failed"), F.col("accepted")
     return (
-        probes.withColumn("kind", kind)
-        .withColumn("auth_result", F.when(F.col("kind").isin("failed", "accepted"), F.col("kind")))
+        lines.withColumn("failed", matched("Failed password for ", K.AUTH_FAILED, 0))
+        .withColumn("accepted", matched("Accepted p", K.AUTH_ACCEPTED, 0))
+        .withColumn("added", matched("new user", K.AUTH_NEW_USER, 1))
+        .withColumn("sudo_by", matched("COMMAND=", K.AUTH_SUDO, 1))
         .withColumn(
-            "username",
-            F.when(is_kind("failed"), F.col("failed_user"))
-            .when(is_kind("accepted"), F.col("accepted_user")),
+            "kind",
+            F.when(failed != "", F.lit("failed"))
+            .when(accepted != "", F.lit("accepted"))
+            .when(F.col("added") != "", F.lit("new_user"))
+            .when(F.col("sudo_by") != "", F.lit("sudo"))
+            .otherwise(F.lit("other")),
         )
-        .withColumn("source_ip", login(2))
-        .withColumn("port", login(3).try_cast("int"))
-        .withColumn("auth_method", F.when(is_kind("failed"), F.lit("password")))
-        .withColumn("new_username", F.when(is_kind("new_user"), F.col("added_user")))
-        .withColumn("sudo_user", F.when(is_kind("sudo"), F.col("sudo_by")))
         .withColumn(
-            "sudo_command",
-            F.when(is_kind("sudo"), strip(F.regexp_extract(line, K.AUTH_SUDO, 3))),
+            "login",
+            F.when(F.col("kind") == "failed", F.split(failed, " ")).when(
+                F.col("kind") == "accepted", F.split(accepted, " ")
+            ),
+        )
+        .select(
+            "*",
+            F.when(F.col("login").isNotNull(), F.col("kind")).alias("auth_result"),
+            F.try_element_at("login", F.lit(-5)).alias("username"),
+            F.try_element_at("login", F.lit(-3)).alias("source_ip"),
+            F.try_element_at("login", F.lit(-1)).try_cast("int").alias("port"),
+            F.when(F.col("kind") == "failed", F.lit("password")).alias("auth_method"),
+            F.when(F.col("kind") == "new_user", F.col("added")).alias("new_username"),
+            F.when(F.col("kind") == "sudo", F.col("sudo_by")).alias("sudo_user"),
+            F.when(
+                F.col("kind") == "sudo", strip(F.regexp_extract(line, K.AUTH_SUDO, 3))
+            ).alias("sudo_command"),
         )
     )
 
@@ -101,17 +125,24 @@ def parse_auth(lines: DataFrame, year=None) -> DataFrame:
     year = F.year(F.current_date()) if year is None else F.lit(year)
     trimmed = lines.select("seq", F.col("value").alias("raw"), strip(F.col("value")).alias("line"))
     typed = auth_fields(auth_header(trimmed.filter("line != ''")))
-    return (
-        typed.withColumn("ts", auth_time(F.col("line"), year))
-        .withColumn("source", F.lit(K.AUTH_LOG))
-        .withColumn("extra", F.create_map().cast("map<string,string>"))
-        .withColumn(
-            "reason",
-            F.when(F.col("ts").isNull(), F.lit("bad time")).when(
-                F.col("source_ip").isNotNull() & ~is_address(F.col("source_ip")),
-                F.lit("bad address"),
-            ),
+    timed = typed.withColumn(
+        "sys_text", F.when(F.col("iso"), F.lit("")).otherwise(syslog_text(F.col("line")))
+    ).withColumn(
+        "ts",
+        F.when(F.col("iso"), iso_offset_time(F.col("iso_text"))).otherwise(
+            syslog_time(F.col("sys_text"), year)
+        ),
+    )
+    return timed.select(
+        "*",
+        F.lit(K.AUTH_LOG).alias("source"),
+        F.create_map().cast("map<string,string>").alias("extra"),
+        F.when(F.col("ts").isNull(), F.lit("bad time"))
+        .when(
+            F.col("source_ip").isNotNull() & ~is_address(F.col("source_ip")),
+            F.lit("bad address"),
         )
+        .alias("reason"),
     )
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 # Separators 0x1c-0x1f count as white space in the log tools, but not in Java's \s.
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def basename(path: Column) -> Column:

@@ -6,26 +6,24 @@ from pyspark.sql import functions as F
 from emberwatch.constants import ISO_TIME, SYSLOG_TIME
 
 
-def iso_offset_time(line: Column) -> Column:
-    """Leading ISO-8601 time with a numeric offset; NULL when absent or impossible."""
-    text = F.regexp_extract(line, ISO_TIME, 1)
-    regular = text.rlike(r"^[^.]{19}(\.\d+)?[+-]\d{2}:\d{2}$")
-    return F.when(regular, F.try_to_timestamp(text))
+def iso_offset_text(line: Column) -> Column:
+    """Leading ISO-8601 time with a numeric offset as text, '' when absent."""
+    return F.when(F.substr(line, F.lit(5), F.lit(1)) == "-", F.regexp_extract(line, ISO_TIME, 1)).otherwise("")
 
 
-def syslog_time(line: Column, year: Column) -> Column:
-    """Leading `Mon d HH:MM:SS`, in the given year. Impossible dates give NULL."""
-    text = F.initcap(F.regexp_replace(F.regexp_extract(line, SYSLOG_TIME, 1), r"\s+", " "))
-    stamped = F.concat(year.cast("string"), F.lit(" "), text)
-    return F.when(text != "", F.try_to_timestamp(stamped, F.lit("yyyy MMM d HH:mm:ss")))
+def syslog_text(line: Column) -> Column:
+    """Leading `Mon d HH:MM:SS` as text, '' when absent."""
+    return F.regexp_extract(line, SYSLOG_TIME, 1)
 
 
-def has_iso_time(line: Column) -> Column:
-    return line.rlike(ISO_TIME)
+def iso_offset_time(text: Column) -> Column:
+    return F.when(text.rlike(r"^[^.]{19}(\.\d+)?[+-]\d{2}:\d{2}$"), F.try_to_timestamp(text))
 
 
-def auth_time(line: Column, year: Column) -> Column:
-    return F.when(has_iso_time(line), iso_offset_time(line)).otherwise(syslog_time(line, year))
+def syslog_time(text: Column, year: Column) -> Column:
+    """The text in the given year. Impossible dates give NULL."""
+    stamped = F.concat(year.cast("string"), F.lit(" "), F.initcap(F.regexp_replace(text, r"\s+", " ")))
+    return F.when(text != "", F.try_to_timestamp(stamped, F.lit("yyyy MMM d HH:mm:ss")))
 
 
 def iso_time(text: Column) -> Column:

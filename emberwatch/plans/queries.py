@@ -67,14 +67,15 @@ class Logs:
     def honeypot(self) -> auth_fn.Normalized:
         return pot_fn.normalize_honeypot(S.honeypot_lines(self.base))
 
+    def events(self, source: str) -> DataFrame:
+        table = {
+            K.AUTH_LOG: "auth", K.AUDITD: "audit", K.CLOUDTRAIL: "cloud", K.COWRIE: "honeypot",
+        }[source]
+        return getattr(self, table).events
+
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
-        return {
-            K.AUTH_LOG: self.auth.events,
-            K.AUDITD: self.audit.events,
-            K.CLOUDTRAIL: self.cloud.events,
-            K.COWRIE: self.honeypot.events,
-        }
+        return {source: self.events(source) for source in K.LOG_SOURCES}
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -88,7 +89,7 @@ class Logs:
         """The event table of a source, written once and read back: rules that pass over it
         more than once then read columns instead of parsing lines again."""
         path = shared_folder(self.spark, f"events-{source}")
-        self.tables[source].write.parquet(path)
+        self.events(source).write.parquet(path)
         return self.spark.read.parquet(path)
 
     @cached_property
@@ -198,10 +199,10 @@ _WHOLE = f"(seq // {BUNDLE}) % 7 NOT IN (3, 5)"
 )
 def src_3(logs):
     records, _ = files.read_cloud_files(logs.spark, _land_cloud(logs))
-    return records.select(
-        cloud_fn.field(c("record"), "eventName").alias("event_name"),
-        cloud_fn.field(c("record"), "sourceIPAddress").alias("source_ip"),
-        cloud_fn.field(c("record"), "eventTime").alias("event_time"),
+    return records.select(cloud_fn.typed_record(c("record")).alias("r")).select(
+        c("r.eventName").alias("event_name"),
+        c("r.sourceIPAddress").alias("source_ip"),
+        c("r.eventTime").alias("event_time"),
     )
 
 
@@ -400,8 +401,8 @@ def nrm_4(logs):
 WHERE NOT regexp_matches(k, '^[A-Z]') GROUP BY seq, k""",
 )
 def nrm_5(logs):
-    pairs = audit_fn.pair_map(audit_fn.key_values(c("value")))
-    return S.audit_lines(logs.base).select("seq", F.explode(pairs).alias("k", "v"))
+    lines = audit_fn.with_pairs(S.audit_lines(logs.base))
+    return lines.select("seq", F.explode(audit_fn.pair_map()).alias("k", "v"))
 
 
 @query("nrm_6", "SELECT seq, epoch, serial, path_name FROM audit_corr")
@@ -676,7 +677,7 @@ def prd_15(logs):
 def _detection(name: str) -> None:
     def build(logs):
         rule = rule_book().rules[name]
-        return alert_rows(rule.run(logs.tables[rule.source], **PARAMETERS.get(name, {})))
+        return alert_rows(rule.run(logs.events(rule.source), **PARAMETERS.get(name, {})))
 
     query(name, f"SELECT {D.ALERT_COLUMNS} FROM {name}")(build)
 
@@ -1142,14 +1143,13 @@ def fn_5(logs):
   raw ->> '$.responseElements.ConsoleLogin' AS login, cast(raw ->> '$.unknownField' AS bigint) AS open_field FROM cloud_lines""",
 )
 def fn_6(logs):
-    records = cloud_fn.records_from_json(S.cloud_lines(logs.base))
-    get = lambda path, kind="string": cloud_fn.field(c("record"), path, kind)
+    records = S.cloud_lines(logs.base).withColumn("r", cloud_fn.typed_record(c("value")))
     return records.select(
         "seq",
-        get("userIdentity.type").alias("kind"),
-        get("userIdentity.sessionContext.attributes.mfaAuthenticated").alias("mfa"),
-        get("responseElements.ConsoleLogin").alias("login"),
-        get("unknownField", "bigint").alias("open_field"),
+        c("r.userIdentity.type").alias("kind"),
+        cloud_fn.session_mfa(c("r")).alias("mfa"),
+        c("r.responseElements.ConsoleLogin").alias("login"),
+        F.get_json_object("value", "$.unknownField").cast("bigint").alias("open_field"),
     )
 
 
@@ -1232,7 +1232,7 @@ def vw_6(logs):
 def _sigma(name: str, source: str, where: str) -> None:
     table = {K.AUTH_LOG: "auth", K.AUDITD: "audit", K.CLOUDTRAIL: "cloud"}[source]
     query(name, f"SELECT seq, epoch_us(ts) AS ts FROM {table} WHERE {where}")(
-        lambda logs: sigma_filter(logs.tables[source], name).select("seq", micros("ts"))
+        lambda logs: sigma_filter(logs.events(source), name).select("seq", micros("ts"))
     )
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 RUNTIME_SETTINGS = {
     # Log times are UTC; window arithmetic must not move with the driver's zone.
     "spark.sql.session.timeZone": "UTC",
+    # The JVM does not compile methods above 8000 bytes of code. Wide parsing stages exceed that,
+    # and run much faster as several smaller generated functions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

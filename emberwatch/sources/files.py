@@ -16,7 +16,8 @@ from emberwatch.functions.cloud import normalize_cloud
 from emberwatch.functions.honeypot import normalize_honeypot
 from emberwatch.functions.text import strip
 
-CLOUD_FILE = "Records ARRAY<VARIANT>, broken_file STRING"
+# A record read as STRING keeps its JSON text.
+CLOUD_FILE = "Records ARRAY<STRING>, broken_file STRING"
 _CLOUD_OPTIONS = {
     "multiLine": "true",
     "mode": "PERMISSIVE",
