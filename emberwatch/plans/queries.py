@@ -94,10 +94,10 @@ class Logs:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        """All alerts of all rules. The audit table is written first, as eight rules read it and
-        correlating its lines is the costly part."""
-        tables = {**self.tables, K.AUDITD: self.written(K.AUDITD)}
-        return rule_book().run(tables, **PARAMETERS)
+        """All alerts of all rules. The two tables that several rules pass over are written first;
+        the rules of the other two share one pass."""
+        passes = {source: self.written(source) for source in (K.AUTH_LOG, K.AUDITD)}
+        return rule_book().run({**self.tables, **passes}, **PARAMETERS)
 
     @cached_property
     def stored_alerts(self) -> DataFrame:
@@ -728,7 +728,7 @@ def join_4(logs):
     book = rule_book()
     history = union_all(
         [
-            book.run_source(K.AUTH_LOG, logs.auth.events, **PARAMETERS),
+            book.run_source(K.AUTH_LOG, logs.written(K.AUTH_LOG), **PARAMETERS),
             book.run_source(K.CLOUDTRAIL, logs.cloud.events),
         ]
     )
@@ -808,7 +808,7 @@ def _guessing(logs: Logs) -> DataFrame:
     book = rule_book()
     return union_all(
         [
-            book.run_source(K.AUTH_LOG, logs.auth.events, **PARAMETERS),
+            book.run_source(K.AUTH_LOG, logs.written(K.AUTH_LOG), **PARAMETERS),
             book.run_source(K.COWRIE, logs.honeypot.events),
         ]
     )
@@ -1038,7 +1038,7 @@ def set_2(logs):
     book = rule_book()
     first = union_all(
         [
-            book.run_source(K.AUTH_LOG, logs.auth.events, **PARAMETERS),
+            book.run_source(K.AUTH_LOG, logs.written(K.AUTH_LOG), **PARAMETERS),
             book.run_source(K.CLOUDTRAIL, logs.cloud.events),
         ]
     )

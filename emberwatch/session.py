@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # Log times are UTC; window arithmetic must not move with the driver's zone.
@@ -43,6 +43,8 @@ def local_session(cores: str = "8", memory: str = "16g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.python.unix.domain.socket.enabled", "true")
+        # Recording a call site for every column expression doubles the time to build a query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     return configure(builder.getOrCreate(), streaming=True)
 
@@ -58,3 +60,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="emberwatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan yields fewer partitions than there are cores.
+
+    A few small files would otherwise be parsed by a few tasks. A large scan has more partitions
+    than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,8 @@ records, broken JSON) are mixed in by event number.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.session import spread
+
 YEAR = 2024
 
 _SPARK = {
@@ -187,7 +189,7 @@ def render(expression: str, dialect: str) -> str:
 
 def read_base(spark: SparkSession, folder: str) -> DataFrame:
     events = spark.read.parquet(f"{folder}/events.parquet")
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return spread(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def _lines(base: DataFrame, expression: str) -> DataFrame:
