@@ -46,29 +46,38 @@ def field_text(name: str) -> Column:
     return pair_value(F.try_element_at("pairs", place.cast("int")), F.lit(name))
 
 
-def pair_map(without: list[str] = ()) -> Column:
-    """Pairs as a map, without some names and those starting upper-case; the last duplicate
-    wins. Needs `pairs` and `names`."""
+def with_pair_map(lines: DataFrame, column: str, without: list[str] = ()) -> DataFrame:
+    """Adds the pairs as a map, without some names and those starting upper-case; the last
+    duplicate wins. Needs `pairs`.
+
+    Names stand in a column of their own, so that a look-up does not compute them again.
+    """
 
     def is_wanted(name):
         lower = ~F.substr(name, F.lit(1), F.lit(1)).between("A", "Z")
         return lower & ~name.isin(list(without)) if without else lower
 
-    wanted = F.filter("pairs", lambda p: is_wanted(pair_name(p)))
-    names = F.transform(wanted, pair_name)
-    values = F.transform(wanted, lambda p: pair_value(p, pair_name(p)))
-    distinct = F.array_distinct(names)
-    first_values = F.transform(
-        distinct, lambda n: F.try_element_at(values, F.array_position(names, n).cast("int"))
+    def value_of(name):
+        place = F.array_position(F.col("map_names"), name).cast("int")
+        return pair_value(F.try_element_at(F.col("map_pairs"), place), name)
+
+    return (
+        lines.withColumn("map_pairs", F.filter("pairs", lambda p: is_wanted(pair_name(p))))
+        .withColumn("map_names", F.transform("map_pairs", pair_name))
+        .withColumn("map_distinct", F.array_distinct("map_names"))
+        .withColumn(
+            column, F.map_from_arrays("map_distinct", F.transform("map_distinct", value_of))
+        )
+        .drop("map_pairs", "map_names", "map_distinct")
     )
-    return F.when(
-        F.size(distinct) == F.size(names), F.map_from_arrays(names, values)
-    ).otherwise(F.map_from_arrays(distinct, first_values))
 
 
-def correlate_audit(lines: DataFrame) -> DataFrame:
+def correlate_audit(lines: DataFrame, lateness: str | None = None) -> DataFrame:
     """One row per audit event: its first SYSCALL line and the name of its first PATH line.
 
+    On a stream, `lateness` says how long to wait for further lines of an event; the row comes
+    out when the watermark has passed its time.
+
     Lines of other types are dropped before the shuffle. Fields are taken apart before it too, so
     that columns nobody asks for are not shuffled, and a PATH line travels as its name only.
     Event number and time together identify an event, since numbers restart at boot.
@@ -82,18 +91,22 @@ def correlate_audit(lines: DataFrame) -> DataFrame:
         F.regexp_extract(value, K.AUDIT_ID, 0).alias("id"),
     ).filter("id != '' and (is_call or is_path)")
     is_call, is_path = F.col("is_call"), F.col("is_path")
-    used = with_pairs(marked).select(
+    used = with_pair_map(with_pairs(marked), "tail", TYPED_FIELDS).select(
         F.regexp_extract("id", r"\((.*):", 1).alias("epoch"),
         F.regexp_extract("id", r":(\d+)\)", 1).alias("serial"),
         F.when(is_call, value).alias("call"),
         F.when(is_call, F.struct(*[field_text(n).alias(n) for n in TYPED_FIELDS])).alias("fields"),
-        F.when(is_call, pair_map(TYPED_FIELDS)).alias("tail"),
+        F.when(is_call, F.col("tail")).alias("tail"),
         F.when(is_call, F.col("seq")).alias("call_seq"),
         F.when(is_path, F.struct(field_text("name").alias("name"))).alias("path"),
         F.when(is_path, F.col("seq")).alias("path_seq"),
     )
+    keys = ["epoch", "serial"]
+    if lateness is not None:
+        used = used.withColumn("at", epoch_time(F.col("epoch"))).withWatermark("at", lateness)
+        keys = ["at", *keys]
     return (
-        used.groupBy("epoch", "serial")
+        used.groupBy(*keys)
         .agg(
             F.min("call_seq").alias("seq"),
             F.min_by("call", "call_seq").alias("raw"),
@@ -103,7 +116,7 @@ def correlate_audit(lines: DataFrame) -> DataFrame:
         )
         .filter("seq is not null")
         .withColumn("path_name", F.col("path.name"))
-        .drop("path")
+        .drop("path", "at")
     )
 
 

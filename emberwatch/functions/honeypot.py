@@ -62,9 +62,11 @@ def commands(events: DataFrame) -> DataFrame:
     )
 
 
-def sessionize(events: DataFrame) -> DataFrame:
+def sessionize(events: DataFrame, by: list = ("session_id",)) -> DataFrame:
     """One row per session with its login and command facts.
 
+    `by` are the grouping columns, with `session_id` among them.
+
     Every aggregate has a fixed-size state and a map-side part, so one huge session is as
     cheap as many small ones. The tool list holds at most the five known tools.
     """
@@ -84,7 +86,7 @@ def sessionize(events: DataFrame) -> DataFrame:
         F.max(F.array_contains("tools", tool)).alias(f"has_{tool}")
         for tool in ["curl", "nc", "ncat", "netcat", "wget"]
     ]
-    grouped = per_event.groupBy("session_id").agg(
+    grouped = per_event.groupBy(*by).agg(
         F.min("seq").alias("seq"),
         F.min_by("src_ip", "seq").alias("src_ip"),
         F.expr("max_by(ts, seq) FILTER (WHERE is_connect)").alias("start_time"),

@@ -15,17 +15,23 @@ def failures_by_address(auth: DataFrame) -> DataFrame:
 
 
 def success_after_failures(auth: DataFrame, threshold: int, window_seconds: int) -> DataFrame:
-    """Every accepted login 0 to W seconds after the last failure of its address.
+    """Every accepted login 0 to W seconds after the last failure of its address."""
+    return matches(auth, failures_by_address(auth), threshold, window_seconds)
 
-    The failures are aggregated first (map-side too), leaving one row per address. A match lies
-    in the time slot of that last failure or the next one, so both sides also join on the slot:
-    the logins of one busy address spread over tasks by time.
+
+def matches(
+    auth: DataFrame, failures: DataFrame, threshold: int, window_seconds: int
+) -> DataFrame:
+    """Accepted logins against failures per address.
+
+    There is one row per address on the failure side. A match lies in the time slot of the last
+    failure or the next one, so both sides also join on the slot: the logins of one busy address
+    spread over tasks by time.
     """
     width = int(window_seconds) * 1_000_000
     slot = lambda t: ((t - F.pmod(t, F.lit(width))) / F.lit(width)).cast("bigint")
-    failures = (
-        failures_by_address(auth)
-        .filter(F.col("failures") >= threshold)
+    slotted = (
+        failures.filter(F.col("failures") >= threshold)
         .withColumn("last_t", F.unix_micros("last_failure"))
         .withColumn("slot", F.explode(F.array(slot(F.col("last_t")), slot(F.col("last_t")) + 1)))
     )
@@ -36,7 +42,7 @@ def success_after_failures(auth: DataFrame, threshold: int, window_seconds: int)
         .withColumn("slot", slot(F.col("t")))
     )
     return (
-        accepted.join(failures, ["source_ip", "slot"])
+        accepted.join(slotted, ["source_ip", "slot"])
         .withColumn("gap", F.col("t") - F.col("last_t"))
         .filter((F.col("gap") >= 0) & (F.col("gap") <= width))
         .select(

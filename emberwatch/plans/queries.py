@@ -401,8 +401,8 @@ def nrm_4(logs):
 WHERE NOT regexp_matches(k, '^[A-Z]') GROUP BY seq, k""",
 )
 def nrm_5(logs):
-    lines = audit_fn.with_pairs(S.audit_lines(logs.base))
-    return lines.select("seq", F.explode(audit_fn.pair_map()).alias("k", "v"))
+    lines = audit_fn.with_pair_map(audit_fn.with_pairs(S.audit_lines(logs.base)), "fields")
+    return lines.select("seq", F.explode("fields").alias("k", "v"))
 
 
 @query("nrm_6", "SELECT seq, epoch, serial, path_name FROM audit_corr")
@@ -1261,6 +1261,169 @@ _sigma(
 _sigma("sig_013", K.AUDITD, _ends(K.SIGMA_DISCOVERY_SUFFIXES))
 
 
+# --- streaming -----------------------------------------------------------------------------------
+def _two_landings(
+    logs: Logs, rows: DataFrame, run: Callable[[DataFrame], None], columns: list[str]
+) -> None:
+    """Land the rows in two parts by time, and run the stream after each."""
+    landing = shared_folder(logs.spark, "landing")
+    middle = F.lit(_MIDDLE).cast("timestamp")
+    for part in (c("ts") < middle, c("ts") >= middle):
+        rows.filter(part).select(columns).write.mode("append").parquet(landing)
+        run(logs.spark.readStream.schema(rows.select(columns).schema).parquet(landing))
+
+
+_MIDDLE = "2024-01-16 00:00:00"
+
+
+@query("str_1", f"SELECT rule_id, dedup_key FROM deduped WHERE rule_id = '{K.RULE_NEW_USER}'")
+def str_1(logs):
+    """The scheduled run: new lines are parsed, tested and stored, in two runs."""
+    from emberwatch.streaming.run import run_batches
+
+    landing, path = shared_folder(logs.spark, "landing"), shared_folder(logs.spark, "history")
+    state = shared_folder(logs.spark, "state")
+    rule = rule_book().rules["det_003"]
+
+    def each(lines: DataFrame, batch: int) -> None:
+        events = files.normalize(files.with_seq(lines), K.AUTH_LOG, S.YEAR).events
+        alert_store.store_batch(lines.sparkSession, rule.run(events), path, batch)
+
+    lines = S.auth_lines(logs.base)
+    for half in (0, 1):
+        lines.filter(c("seq") % 2 == half).select("value").write.mode("append").text(landing)
+        run_batches(files.stream_lines(logs.spark, landing), each, state)
+    return alert_store.load_batches(logs.spark, path).select("rule_id", "dedup_key")
+
+
+@query("str_2", f"SELECT {D.ALERT_COLUMNS} FROM det_009")
+def str_2(logs):
+    """A rule over single events, applied to a stream as it is."""
+    from emberwatch.streaming.run import run_available
+
+    landing = shared_folder(logs.spark, "cloud-events")
+    logs.cloud.events.write.parquet(landing)
+    stream = logs.spark.readStream.schema(logs.cloud.events.schema).parquet(landing)
+    out, state = shared_folder(logs.spark, "alerts"), shared_folder(logs.spark, "state")
+    run_available(alert_rows(rule_book().rules["det_009"].run(stream)), out, state)
+    return logs.spark.read.parquet(out)
+
+
+@query("str_3", "SELECT user_id, first_t AS first_seen, t AS last_seen, seq FROM errors")
+def str_3(logs):
+    """Bursts over two runs: one that spans both is found, as in one batch."""
+    from emberwatch.streaming.run import run_batches
+    from emberwatch.streaming.stateful import burst_step, with_memory
+
+    errors = logs.base.filter("event_type = 'error'").withColumnRenamed("event_id", "seq")
+    out, memory = shared_folder(logs.spark, "hits"), shared_folder(logs.spark, "memory")
+    state = shared_folder(logs.spark, "state")
+    step = burst_step(["user_id"], 5, WEEK, chunk_seconds=WEEK)
+    each = with_memory(step, "user_id BIGINT, ts TIMESTAMP, seq BIGINT", out, memory)
+    _two_landings(
+        logs, errors, lambda stream: run_batches(stream, each, state), ["user_id", "ts", "seq"]
+    )
+    hits = logs.spark.read.option("basePath", out).parquet(out)
+    return hits.select("user_id", micros("first_seen"), micros("last_seen"), "seq")
+
+
+_IDLE_DAYS, _LATE_HOURS = 3, 1
+
+
+@query(
+    "str_4",
+    f"""SELECT session_id, src_ip, epoch_us(start_time) AS start_time, epoch_us(end_time) AS end_time, login_attempt_count, command_count, chmod_x_used
+FROM sessions JOIN (SELECT session_id, max(ts) AS last_ts FROM pot GROUP BY session_id) USING (session_id)
+WHERE last_ts + INTERVAL {_IDLE_DAYS} DAY <= (SELECT max(ts) FROM pot) - INTERVAL {_LATE_HOURS} HOUR""",
+)
+def str_4(logs):
+    """Sessions of a stream; those still open at its end are not given out."""
+    from emberwatch.streaming.run import run_available
+    from emberwatch.streaming.stateful import closed_sessions
+
+    out, state = shared_folder(logs.spark, "sessions"), shared_folder(logs.spark, "state")
+
+    def run(stream):
+        done = closed_sessions(stream, f"{_IDLE_DAYS} days", f"{_LATE_HOURS} hours")
+        run_available(
+            done.select(
+                "session_id", "src_ip", micros("start_time"), micros("end_time"),
+                "login_attempt_count", "command_count", "chmod_x_used",
+            ),
+            out,
+            state,
+        )
+
+    events = logs.honeypot.events.drop("extra", "raw")
+    _two_landings(logs, events, run, events.columns)
+    return logs.spark.read.parquet(out)
+
+
+@query("str_5", f"SELECT {D.ALERT_COLUMNS} FROM deduped WHERE log_source = 'cloudtrail'")
+def str_5(logs):
+    """Alerts of a stream stored exactly once: the first batch is run a second time, as after a
+    failure."""
+    from emberwatch.streaming.run import run_batches
+
+    path, state = shared_folder(logs.spark, "history"), shared_folder(logs.spark, "state")
+    book = rule_book()
+
+    def each(events: DataFrame, batch: int) -> None:
+        alerts = book.run_source(K.CLOUDTRAIL, events)
+        for _ in range(2 if batch == 0 else 1):
+            alert_store.store_batch(events.sparkSession, alerts, path, batch)
+
+    events = logs.cloud.events
+    _two_landings(logs, events, lambda stream: run_batches(stream, each, state), events.columns)
+    return alert_rows(alert_store.load_batches(logs.spark, path))
+
+
+@query(
+    "str_6",
+    f"""SELECT a.source_ip, a.username, a.seq, f.failures FROM auth a
+JOIN (SELECT 1 AS part, source_ip, count(*) AS failures, max(ts) AS last_failure FROM auth
+      WHERE auth_result = 'failed' AND ts < timestamp '{_MIDDLE}' GROUP BY source_ip
+      UNION ALL SELECT 2, source_ip, count(*), max(ts) FROM auth WHERE auth_result = 'failed' GROUP BY source_ip) f
+  ON f.source_ip = a.source_ip AND f.part = CASE WHEN a.ts < timestamp '{_MIDDLE}' THEN 1 ELSE 2 END
+WHERE a.auth_result = 'accepted' AND f.failures >= 5
+  AND epoch_us(a.ts) - epoch_us(f.last_failure) BETWEEN 0 AND {WEEK} * 1000000::bigint""",
+)
+def str_6(logs):
+    """Success after failures, where the failures may lie in the run before."""
+    from emberwatch.streaming.run import run_batches
+    from emberwatch.streaming.stateful import FAILURES_SCHEMA, success_step, with_memory
+
+    out, memory = shared_folder(logs.spark, "found"), shared_folder(logs.spark, "memory")
+    state = shared_folder(logs.spark, "state")
+    each = with_memory(success_step(5, WEEK), FAILURES_SCHEMA, out, memory)
+    columns = ["source_ip", "username", "seq", "ts", "auth_result"]
+    _two_landings(
+        logs, logs.auth.events, lambda stream: run_batches(stream, each, state), columns
+    )
+    found = logs.spark.read.option("basePath", out).parquet(out)
+    return found.select("source_ip", "username", "seq", "failures")
+
+
+@query(
+    "str_7",
+    f"""SELECT seq, exe, name FROM audit_all
+WHERE ts <= (SELECT max(ts) FROM (SELECT make_timestamp(cast(replace(epoch, '.', '') AS bigint) * 1000) AS ts FROM audit_ids
+             WHERE value LIKE 'type=SYSCALL%' OR value LIKE 'type=PATH%')) - INTERVAL {_LATE_HOURS} HOUR""",
+)
+def str_7(logs):
+    """Audit lines correlated on a stream; events after the last watermark stay open."""
+    from emberwatch.streaming.run import run_available
+
+    lines = S.audit_lines(logs.base)
+    landing = shared_folder(logs.spark, "landing")
+    out, state = shared_folder(logs.spark, "events"), shared_folder(logs.spark, "state")
+    lines.write.parquet(landing)
+    stream = logs.spark.readStream.schema("seq BIGINT, value STRING").parquet(landing)
+    typed = audit_fn.type_audit(audit_fn.correlate_audit(stream, f"{_LATE_HOURS} hours"))
+    run_available(typed.select("seq", "exe", "name"), out, state)
+    return logs.spark.read.parquet(out)
+
+
 # --- extension -----------------------------------------------------------------------------------
 @query(
     "udf_1",

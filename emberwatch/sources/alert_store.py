@@ -32,6 +32,30 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     )
 
 
+def store_batch(spark: SparkSession, alerts: DataFrame, path: str, batch: int) -> None:
+    """As `store_new_alerts` for one micro-batch of a stream, safe to repeat.
+
+    Every batch owns a folder: a repeated batch compares with the earlier folders only and
+    overwrites its own, so each alert is stored exactly once.
+    """
+    earlier = load_batches(spark, path, before=batch)
+    fresh = with_run(new_alerts(alerts, earlier), batch)
+    fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def load_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Alerts stored by `store_batch`, of all batches or of those before one."""
+    try:
+        stored = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], ALERT)
+    if before is not None:
+        stored = stored.filter(F.col("batch") < before)
+    return conform(stored, ALERT)
+
+
 def store_new_alerts(spark: SparkSession, alerts: DataFrame, path: str, run: int) -> None:
     """Deduplicate against the history and append what is new, stamped with the run."""
     append_alerts(with_run(new_alerts(alerts, load_alerts(spark, path)), run), path)
