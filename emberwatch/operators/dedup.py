@@ -35,7 +35,7 @@ def keep_first(alerts: DataFrame) -> DataFrame:
 
 def new_alerts(alerts: DataFrame, history: DataFrame) -> DataFrame:
     """First alert of each key that is not in the history yet."""
-    known = history.select(dedup_key().alias("_key")).distinct()
+    known = history.select(dedup_key().alias("_key"))
     return (
         keep_first(alerts)
         .withColumn("_key", dedup_key())

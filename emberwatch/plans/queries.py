@@ -49,6 +49,7 @@ class Logs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = configure(spark)
+        self.folder = folder
         self.base = S.read_base(spark, folder)
 
     @cached_property
@@ -101,10 +102,17 @@ class Logs:
 
     @cached_property
     def stored_alerts(self) -> DataFrame:
-        """The alerts as a report reads them: from the alert table."""
-        path = shared_folder(self.spark, "alerts")
-        alert_store.append_alerts(self.alerts, path)
-        return alert_store.load_alerts(self.spark, path)
+        """The alert table, as reports read it. It is written by the first query that needs it
+        and shared by the later ones of the same application."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _ALERT_TABLES:
+            path = shared_folder(self.spark, "alerts")
+            alert_store.append_alerts(self.alerts, path)
+            _ALERT_TABLES[key] = path
+        return alert_store.load_alerts(self.spark, _ALERT_TABLES[key])
+
+
+_ALERT_TABLES: dict[tuple[str, str], str] = {}
 
 
 def micros(name: str) -> Column:
@@ -267,7 +275,7 @@ def snk_1(logs):
     """Two runs over the same alerts: the second finds nothing new."""
     path = shared_folder(logs.spark, "history")
     for run in (1, 2):
-        alert_store.store_new_alerts(logs.spark, logs.alerts, path, run)
+        alert_store.store_new_alerts(logs.spark, logs.stored_alerts, path, run)
     return alert_rows(alert_store.load_alerts(logs.spark, path))
 
 
@@ -691,6 +699,10 @@ def det_all(logs):
     return alert_rows(logs.alerts)
 
 
+def _of_sources(logs: Logs, *sources: str) -> DataFrame:
+    return logs.stored_alerts.filter(c("log_source").isin(*sources))
+
+
 # --- joins ---------------------------------------------------------------------------------------
 @query(
     "join_1",
@@ -725,14 +737,8 @@ def join_3(logs):
     f"SELECT {D.ALERT_COLUMNS} FROM deduped WHERE log_source NOT IN ('auth_log', 'cloudtrail')",
 )
 def join_4(logs):
-    book = rule_book()
-    history = union_all(
-        [
-            book.run_source(K.AUTH_LOG, logs.written(K.AUTH_LOG), **PARAMETERS),
-            book.run_source(K.CLOUDTRAIL, logs.cloud.events),
-        ]
-    )
-    return alert_rows(new_alerts(logs.alerts, history))
+    history = _of_sources(logs, K.AUTH_LOG, K.CLOUDTRAIL)
+    return alert_rows(new_alerts(logs.stored_alerts, history))
 
 
 @query(
@@ -755,13 +761,13 @@ FROM techniques LEFT JOIN (SELECT technique, count(*) AS n, arg_max(log_source,
 @query("join_6", _COVERAGE_SQL.format(table="(SELECT * FROM alerts WHERE log_source = 'cloudtrail')"))
 def join_6(logs):
     """Techniques seen by the cloud rules alone; the others appear as not detected."""
-    return R.technique_coverage(rule_book().run_source(K.CLOUDTRAIL, logs.cloud.events))
+    return R.technique_coverage(_of_sources(logs, K.CLOUDTRAIL))
 
 
 # --- aggregations --------------------------------------------------------------------------------
 @query("agg_1", _COVERAGE_SQL.format(table="alerts"))
 def agg_1(logs):
-    return R.technique_coverage(logs.alerts)
+    return R.technique_coverage(logs.stored_alerts)
 
 
 @query(
@@ -772,7 +778,7 @@ def agg_1(logs):
   count(*) FILTER (WHERE severity = 'HIGH') AS high_count FROM alerts""",
 )
 def agg_2(logs):
-    return R.coverage_summary(logs.alerts)
+    return R.coverage_summary(logs.stored_alerts)
 
 
 @query(
@@ -784,12 +790,12 @@ def agg_2(logs):
     + " FROM alerts",
 )
 def agg_3(logs):
-    return R.severity_counts(logs.alerts)
+    return R.severity_counts(logs.stored_alerts)
 
 
 @query("agg_4", "SELECT log_source, count(*) AS alert_count FROM alerts GROUP BY log_source")
 def agg_4(logs):
-    return R.source_counts(logs.alerts)
+    return R.source_counts(logs.stored_alerts)
 
 
 _ATTACKERS_SQL = """(SELECT source_ip AS ip, x_attempts AS attempts, x_speed AS attack_speed, first_seen, last_seen,
@@ -803,34 +809,19 @@ def _attacker_rows(table: DataFrame) -> DataFrame:
     return table.select("ip", "attempts", "attack_speed", micros("first_seen"), micros("last_seen"))
 
 
-def _guessing(logs: Logs) -> DataFrame:
-    """Alerts of the two sources that can carry a password-guessing alert."""
-    book = rule_book()
-    return union_all(
-        [
-            book.run_source(K.AUTH_LOG, logs.written(K.AUTH_LOG), **PARAMETERS),
-            book.run_source(K.COWRIE, logs.honeypot.events),
-        ]
-    )
-
-
 @query("agg_5", _LAST_ATTACK_SQL)
 def agg_5(logs):
-    return _attacker_rows(R.attacker_table(_guessing(logs)))
+    return _attacker_rows(R.attacker_table(logs.stored_alerts))
 
 
 @query("agg_6", f"SELECT ip, attempts, attack_speed, first_seen, last_seen FROM {_ATTACKERS_SQL}")
 def agg_6(logs):
-    return _attacker_rows(R.attacker_list(_guessing(logs)))
-
-
-def _audit_alerts(logs: Logs) -> DataFrame:
-    return rule_book().run_source(K.AUDITD, logs.written(K.AUDITD), **PARAMETERS)
+    return _attacker_rows(R.attacker_list(logs.stored_alerts))
 
 
 @query("agg_7", "SELECT x_auid AS auid, count(*) AS alert_count FROM alerts WHERE x_auid IS NOT NULL GROUP BY x_auid")
 def agg_7(logs):
-    return R.alerts_per_auid(_audit_alerts(logs))
+    return R.alerts_per_auid(logs.stored_alerts)
 
 
 _USER_TECHNIQUES_SQL = """(SELECT auid, string_agg(technique, ',' ORDER BY o) AS techniques FROM (
@@ -840,7 +831,7 @@ _USER_TECHNIQUES_SQL = """(SELECT auid, string_agg(technique, ',' ORDER BY o) AS
 
 @query("agg_8", f"SELECT * FROM {_USER_TECHNIQUES_SQL}")
 def agg_8(logs):
-    table = R.techniques_per_auid(_audit_alerts(logs))
+    table = R.techniques_per_auid(logs.stored_alerts)
     return table.select("auid", F.array_join("techniques", ",").alias("techniques"))
 
 
@@ -850,7 +841,7 @@ def agg_8(logs):
 FROM alerts WHERE technique = 'T1548' AND x_auid IS NOT NULL""",
 )
 def agg_9(logs):
-    return R.escalations(_audit_alerts(logs)).drop("timestamp", "ord")
+    return R.escalations(logs.stored_alerts).drop("timestamp", "ord")
 
 
 _PROFILE_NOW = "2024-01-30 12:00:00"
@@ -868,7 +859,7 @@ FROM (SELECT source_ip AS ip, coalesce(sum(x_attempts), 0)::bigint AS total_atte
   FROM alerts WHERE source_ip <> '' GROUP BY source_ip)""",
 )
 def agg_10(logs):
-    table = R.attacker_profiles(logs.alerts, F.lit(_PROFILE_NOW).cast("timestamp"))
+    table = R.attacker_profiles(logs.stored_alerts, F.lit(_PROFILE_NOW).cast("timestamp"))
     return table.select(
         "ip", "total_attempts", F.array_join("techniques_used", ",").alias("techniques_used"),
         "attack_speed", micros("first_seen"), micros("last_seen"), "is_active",
@@ -885,7 +876,7 @@ def agg_10(logs):
 FROM alerts WHERE x_auid IS NOT NULL GROUP BY x_auid""",
 )
 def agg_11(logs):
-    table = R.user_profiles(_audit_alerts(logs))
+    table = R.user_profiles(logs.stored_alerts)
     n = lambda s: F.coalesce(c("severity_counts")[s], F.lit(0)).alias(s.lower())
     return table.select(
         "auid", "alert_count", F.array_join("techniques_triggered", ",").alias("techniques"),
@@ -908,7 +899,7 @@ def agg_12(logs):
   round(count(DISTINCT technique) / 12.0::double * 100, 1) AS coverage_percent, count(*) AS total_alerts FROM alerts""",
 )
 def agg_13(logs):
-    return R.report_totals(logs.alerts)
+    return R.report_totals(logs.stored_alerts)
 
 
 # --- windows -------------------------------------------------------------------------------------
@@ -945,7 +936,7 @@ def win_2(logs):
 
 @query("win_3", f"SELECT {D.ALERT_COLUMNS} FROM deduped WHERE log_source = 'auditd'")
 def win_3(logs):
-    return alert_rows(keep_first(_audit_alerts(logs)))
+    return alert_rows(keep_first(_of_sources(logs, K.AUDITD)))
 
 
 @query(
@@ -969,7 +960,7 @@ def win_4(logs):
 FROM alerts ORDER BY rank, ord_rule, ord_at, ord_seq""",
 )
 def srt_1(logs):
-    ranked = R.alerts_by_severity(logs.alerts)
+    ranked = R.alerts_by_severity(logs.stored_alerts)
     # The rank is shown next to the alert; the order is that of the sorted rows.
     return ranked.select(
         *alert_rows_columns(), R.severity_rank(c("severity")).alias("rank")
@@ -1026,7 +1017,7 @@ def srt_5(logs):
 # --- sets ----------------------------------------------------------------------------------------
 @query("set_1", "SELECT rule_id, severity, count(*) AS n FROM alerts GROUP BY rule_id, severity")
 def set_1(logs):
-    return logs.alerts.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    return logs.stored_alerts.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -1035,22 +1026,16 @@ def set_1(logs):
   SELECT CASE WHEN log_source IN ('auth_log', 'cloudtrail') THEN 1 ELSE 2 END::bigint AS run, log_source FROM deduped) GROUP BY run, log_source""",
 )
 def set_2(logs):
-    book = rule_book()
-    first = union_all(
-        [
-            book.run_source(K.AUTH_LOG, logs.written(K.AUTH_LOG), **PARAMETERS),
-            book.run_source(K.CLOUDTRAIL, logs.cloud.events),
-        ]
-    )
+    first = _of_sources(logs, K.AUTH_LOG, K.CLOUDTRAIL)
     history = with_run(keep_first(first), 1)
-    fresh = with_run(new_alerts(logs.alerts, history), 2)
+    fresh = with_run(new_alerts(logs.stored_alerts, history), 2)
     both = history_plus_new(history, fresh)
     return both.groupBy(c("ord.run").alias("run"), "log_source").agg(F.count("*").alias("n"))
 
 
 @query("set_3", f"SELECT key, {D.ALERT_COLUMNS} FROM deduped")
 def set_3(logs):
-    first = keep_first(logs.alerts)
+    first = keep_first(logs.stored_alerts)
     return first.select(dedup_key().alias("key"), *alert_rows_columns())
 
 
@@ -1060,7 +1045,7 @@ def set_3(logs):
 FROM alerts GROUP BY log_source""",
 )
 def set_4(logs):
-    distinct = logs.alerts.groupBy("log_source", "technique").agg(F.count("*").alias("alerts"))
+    distinct = logs.stored_alerts.groupBy("log_source", "technique").agg(F.count("*").alias("alerts"))
     return distinct.groupBy("log_source").agg(
         F.count("*").alias("n"),
         F.array_join(F.array_sort(F.collect_list("technique")), ",").alias("techniques"),
@@ -1174,7 +1159,7 @@ def _display_rows(shown: DataFrame) -> DataFrame:
 
 @query("fn_8", _DISPLAY_SQL)
 def fn_8(logs):
-    return _display_rows(R.display_alerts(logs.alerts))
+    return _display_rows(R.display_alerts(logs.stored_alerts))
 
 
 # --- views ---------------------------------------------------------------------------------------

@@ -35,7 +35,7 @@ def session_tables(honeypot: DataFrame) -> dict[str, DataFrame]:
 
 def only_new(tables: dict[str, DataFrame], stored_sessions: DataFrame) -> dict[str, DataFrame]:
     """Rows of sessions that are not stored yet, in all three tables."""
-    known = stored_sessions.select("session_id").distinct()
+    known = stored_sessions.select("session_id")
     return {name: t.join(known, "session_id", "left_anti") for name, t in tables.items()}
 
 
