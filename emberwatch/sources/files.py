@@ -75,7 +75,10 @@ def read_cloud_files(
     records = with_seq(
         files.filter("broken_file is null").select(F.explode("Records").alias("record"))
     )
-    broken = files.filter("broken_file is not null").select("file_name")
+    # Spark wants a second column of the file next to the one for broken input.
+    broken = files.filter("broken_file is not null and coalesce(size(Records), 0) >= 0").select(
+        "file_name"
+    )
     return records, broken
 
 
