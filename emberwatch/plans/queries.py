@@ -87,10 +87,11 @@ class Logs:
         return pot_fn.login_attempts(self.honeypot.events)
 
     def written(self, source: str) -> DataFrame:
-        """The event table of a source, written once and read back: rules that pass over it
-        more than once then read columns instead of parsing lines again."""
+        """The event table of a source as rules read it, written once: rules that pass over it
+        more than once then read columns instead of parsing lines again. The line and its open
+        tail are for forensics and not for rules, so they are left out here."""
         path = shared_folder(self.spark, f"events-{source}")
-        self.events(source).write.parquet(path)
+        self.events(source).drop("raw", "extra").write.parquet(path)
         return self.spark.read.parquet(path)
 
     @cached_property
@@ -685,7 +686,10 @@ def prd_15(logs):
 def _detection(name: str) -> None:
     def build(logs):
         rule = rule_book().rules[name]
-        return alert_rows(rule.run(logs.events(rule.source), **PARAMETERS.get(name, {})))
+        # Windowed rules pass over their table more than once.
+        passes = name in PARAMETERS
+        events = logs.written(rule.source) if passes else logs.events(rule.source)
+        return alert_rows(rule.run(events, **PARAMETERS.get(name, {})))
 
     query(name, f"SELECT {D.ALERT_COLUMNS} FROM {name}")(build)
 
@@ -710,7 +714,7 @@ def _of_sources(logs: Logs, *sources: str) -> DataFrame:
   epoch_us(last_failure) AS last_failure, epoch_us(success_time) AS success_time, gap FROM success""",
 )
 def join_1(logs):
-    matched = success_after_failures(logs.auth.events, 5, WEEK)
+    matched = success_after_failures(logs.written(K.AUTH_LOG), 5, WEEK)
     return matched.select(
         "source_ip", "username", "failures", micros("first_failure"), micros("last_failure"),
         micros("success_time"), "gap",
