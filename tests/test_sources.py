@@ -65,6 +65,18 @@ def test_incremental_lines(spark, tmp_path):
     assert sorted(r.value for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_cloud_files_as_a_stream(spark, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
+    (tmp_path / "landing").mkdir()
+    write_cloud(tmp_path / "landing" / "1.json.gz", {"Records": [cloud_record("A")]})
+    write_cloud(tmp_path / "landing" / "2.json.gz", '{"Records": [{"eventName": "cut')
+    run_available(files.stream_cloud_files(spark, landing), out, state)
+    write_cloud(tmp_path / "landing" / "3.json.gz", {"Records": [cloud_record("B")]})
+    run_available(files.stream_cloud_files(spark, landing, files_per_trigger=1), out, state)
+    stored = spark.read.parquet(out).collect()
+    assert sorted(json.loads(r.record)["eventName"] for r in stored) == ["A", "B"]
+
+
 def test_strict_and_counts(spark, lines):
     bad = files.normalize(lines("no time", "Jan 15 10:30:00 h p: x"), K.AUTH_LOG, 2026)
     counts = files.count_lines({K.AUTH_LOG: bad}).first()
