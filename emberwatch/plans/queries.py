@@ -18,7 +18,6 @@ from emberwatch.functions import honeypot as pot_fn
 from emberwatch.functions import predicates as P
 from emberwatch.functions import text as X
 from emberwatch.functions import times as T
-from emberwatch.functions.addresses import is_address
 from emberwatch.operators.burst import burst_windows
 from emberwatch.operators.dedup import dedup_key, history_plus_new, keep_first, new_alerts, with_run
 from emberwatch.operators.success import success_after_failures

@@ -29,8 +29,11 @@ def with_memory(step: Step, memory_schema, out: str, memory: str) -> Callable[[D
         else:
             before = spark.read.schema(memory_schema).parquet(f"{memory}/slot={(batch - 1) % 2}")
         results, after = step(rows, before)
+        # The new memory depends on the results, so they are computed once for both.
+        results.persist()
         results.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         after.write.mode("overwrite").parquet(f"{memory}/slot={batch % 2}")
+        results.unpersist()
         rows.unpersist()
 
     return run
