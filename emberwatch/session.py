@@ -1,5 +1,7 @@
 """Session settings the operators rely on, and the shared folder for intermediate tables."""
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,6 +26,9 @@ STREAMING_SETTINGS = {
 }
 
 
+_HOMES: set[str] = set()
+
+
 def configure(spark: SparkSession, streaming: bool = False) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -50,16 +55,35 @@ def local_session(cores: str = "8", memory: str = "16g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new sub-folder of the cluster's checkpoint folder.
+    """A new sub-folder of the cluster's checkpoint folder, removed when the application ends.
 
-    The folder comes from `spark.checkpoint.dir`. Only where that is unset (local tests) a
-    temporary folder is made.
+    The folder comes from `spark.checkpoint.dir`. A temporary folder is made only where that is unset and
+    everything runs in one process; on a cluster an executor's own disk would not be seen by the others.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         base = tempfile.mkdtemp(prefix="emberwatch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    home = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_remove_home, spark, home)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove_home(spark: SparkSession, home: str) -> None:
+    # At exit the session may be gone already; what is left then is for the folder's owner to expire.
+    if spark.sparkContext._jsc is not None:
+        remove_folder(spark, home)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables through Spark's own file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
