@@ -82,7 +82,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = 100_000) -> DataFrame:
     order = last - F.length(text).cast("decimal(10,0)") * F.lit(str(2**64)).cast("decimal(20,0)")
     chained = docs.select(
         "doc_id", F.xxhash64(norm).alias("h"), norm.alias("norm"), order.cast("decimal(38,0)").alias("place")
-    ).join(index.where("n > 1").select("h"), "h")
+    ).join(index.where("n > 1").select("h").hint("merge"), "h")
     groups = chained.groupBy("h", "norm").agg(
         F.count("*").alias("group_size"), F.min_by("doc_id", "place").alias("keep_id")
     )
