@@ -75,6 +75,7 @@ def dedup_batch(docs: DataFrame, runs: LineRuns, min_points: int) -> DataFrame:
     costly = owners.where("old or owner <> last").select("h1", "h2", "old", "owner")
     gone = keyed.join(costly, ["h1", "h2"]).where("old or rank <> owner")
     gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("gone"))
+    gone = gone.hint("merge")  # the same join at every size
     found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     found = found.select("doc_id", F.split("text", "\n", -1).alias("lines"), "text", "gone")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
