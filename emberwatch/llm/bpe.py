@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 WORD = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+#: Words that a task remembers the ids of; beyond them it starts afresh.
+REMEMBERED = 1_000_000
+
+
 @lru_cache(maxsize=2)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -40,24 +46,41 @@ def _token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def blocks(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[int, dict[str, int], list, list]]:
-    """(block, words, doc_ids, places): documents of about `limit` characters, the number of each of their distinct
-    words, and for each document its id and the numbers of its words in order.
+def blocks(batch: pa.RecordBatch, limit: int, parts: int) -> Iterator[tuple[int, list[str], np.ndarray, list, list]]:
+    """(block, words, part of each word, doc_ids, packed numbers): documents of about `limit` characters, their
+    distinct words, and for each document its id and the numbers of its words in order.
 
     A block's name is a hash of its content, so that a repeated task names it alike.
     """
-    ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
     at = 0
-    while at < len(texts):
-        name, words, own, places, size = hashlib.blake2b(digest_size=8), {}, [], [], 0
-        while at < len(texts) and (not own or size + len(texts[at]) <= limit):
-            name.update(f"{ids[at]}\0{len(texts[at])}\0".encode())
-            name.update(texts[at].encode())
-            own.append(ids[at])
-            places.append(np.array([words.setdefault(w, len(words)) for w in WORD.findall(texts[at])], np.uint32))
-            size += len(texts[at])
+    while at < len(batch):
+        name, words, own, numbers, size = hashlib.blake2b(digest_size=8), {}, [], [], 0
+        while at < len(batch):
+            text = batch["text"][at].as_py()
+            if own and size + len(text) > limit:
+                break
+            own.append(batch["doc_id"][at].as_py())
+            name.update(f"{own[-1]}\0{len(text)}\0".encode())
+            name.update(text.encode())
+            numbers.append(_packed(np.array([words.setdefault(w, len(words)) for w in WORD.findall(text)], np.uint32)))
+            size += len(text)
             at += 1
-        yield int.from_bytes(name.digest(), "little", signed=True), words, own, places
+        found = list(words)
+        part = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in found], np.uint32)
+        yield int.from_bytes(name.digest(), "little", signed=True), found, part, own, numbers
+
+
+def _joined(pieces: list[bytes]) -> bytes:
+    """Pieces as one packed blob: their number, their lengths, and the bytes one after the other."""
+    lengths = np.array([len(pieces), *map(len, pieces)], "<u4").tobytes()
+    return zlib.compress(lengths + b"".join(pieces), 1)
+
+
+def _split(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """The lengths of the pieces of a blob, and their bytes."""
+    data = zlib.decompress(blob)
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, "<u4", n, 4).astype(np.int64), data[4 + 4 * n :]
 
 
 def _packed(places: np.ndarray) -> bytes:
@@ -81,13 +104,13 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << shift, start)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 32_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 16_000_000) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text, one row per document row.
 
-    Documents are cut into blocks. Each block gives a row per distinct word (word, block, number in the block) and
-    its documents as packed numbers. Words are shuffled so that each distinct word is encoded once in the whole
-    corpus; the ids go back to their blocks, where texts are put together by position. What is shuffled is a row
-    for each distinct word of a block, however often it occurs, and one or two bytes for each occurrence.
+    Documents are cut into blocks. Each block gives its distinct words, packed by the part that a word's hash names,
+    and its documents as packed numbers. The words of a part meet in one task, which encodes each distinct word once
+    for the whole corpus; the ids go back to their blocks, where texts are put together by position. What is shuffled
+    is each distinct word of a block once, its ids, and one or two bytes for each occurrence.
 
     `docs` must give the same rows on a second reading (a stored table does): both sides of the last join read it.
     A null text is empty and has no ids; repeated rows are encoded alike; columns besides doc_id and text are not
@@ -95,58 +118,89 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 32_000_0
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, found, _, _ in blocks(batch, block_chars):
+            for block, found, part, _, _ in blocks(batch, block_chars, parts):
+                order = np.argsort(part, kind="stable")
+                ends = np.flatnonzero(np.diff(part[order], append=parts)) + 1
+                used = part[order][ends - 1]
+                blobs = [
+                    _joined([found[i].encode() for i in order[first:last].tolist()])
+                    for first, last in zip([0, *ends[:-1].tolist()], ends.tolist())
+                ]
                 yield pa.record_batch(
                     {
-                        "word": pa.array(found, pa.string()),
-                        "block": np.full(len(found), block, np.int64),
-                        "place": np.arange(len(found), dtype=np.int32),
+                        "part": pa.array(used.astype(np.int32), pa.int32()),
+                        "block": np.full(len(used), block, np.int64), "words": pa.array(blobs, pa.binary()),
                     }
                 )
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, found, own, numbers in blocks(batch, block_chars):
+            for block, _, part, own, numbers in blocks(batch, block_chars, parts):
+                # The parts of the block's words come with its first document.
+                owners = [zlib.compress(part.tobytes(), 1)] + [None] * (len(own) - 1)
                 yield pa.record_batch(
                     {
-                        "block": np.full(len(own), block, np.int64),
-                        "n_words": np.full(len(own), len(found), np.int32),
-                        "doc_id": pa.array(own, pa.int64()),
-                        "places": pa.array([_packed(p) for p in numbers], pa.binary()),
+                        "block": np.full(len(own), block, np.int64), "doc_id": pa.array(own, pa.int64()),
+                        "places": pa.array(numbers, pa.binary()), "parts": pa.array(owners, pa.binary()),
                     }
                 )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by word: those of one word follow each other, also from batch to batch.
-        tokenizer, last, ids = _encoder(path, pattern), None, b""
+        tokenizer, known = _encoder(path, pattern), {}
         for batch in batches:
-            out = []
-            for word in batch["word"].to_pylist():
-                if word != last:
-                    last, ids = word, np.array(tokenizer.encode_ordinary(word), np.int32).tobytes()
-                out.append(ids)
-            yield pa.record_batch({"block": batch["block"], "place": batch["place"], "ids": pa.array(out, pa.binary())})
+            for i in range(len(batch)):
+                lengths, data = _split(batch["words"][i].as_py())
+                ends, ids = np.cumsum(lengths).tolist(), []
+                for first, last in zip([0, *ends[:-1]], ends):
+                    word = data[first:last]
+                    own = known.get(word)
+                    if own is None:
+                        own = np.array(tokenizer.encode_ordinary(word.decode()), "<u4").tobytes()
+                        known[word] = own
+                    ids.append(own)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                yield pa.record_batch(
+                    {"part": batch["part"].slice(i, 1), "block": batch["block"].slice(i, 1), "ids": [_joined(ids)]}
+                )
 
     def together(own: pa.Table, encoded: pa.Table) -> pa.Table:
-        found = encoded["ids"].to_pylist()
-        table = [b""] * len(found)
-        for place, ids in zip(encoded["place"].to_pylist(), found):
-            table[place] = ids
-        if own.num_rows and len(table) < own["n_words"][0].as_py():
-            raise RuntimeError("the documents changed between two readings; store them first")
-        joined = [b"".join(map(table.__getitem__, _unpacked(p).tolist())) for p in own["places"].to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in joined)], dtype=np.int64)
-        ids = pa.LargeListArray.from_arrays(ends, np.frombuffer(b"".join(joined), np.int32))
-        return pa.table({"doc_id": own["doc_id"], "ids": ids.cast(pa.list_(pa.int32()))})
+        parts_of = [p.as_py() for p in own["parts"] if p.is_valid]
+        # Two equal blocks have one name; what the first says of its words holds for both.
+        part = np.frombuffer(zlib.decompress(parts_of[0]), np.uint32) if parts_of else np.zeros(0, np.uint32)
+        found = dict(zip(encoded["part"].to_pylist(), range(encoded.num_rows)))
+        lengths, ids = [], []
+        for p in np.unique(part).tolist():
+            if p not in found:
+                raise RuntimeError("the documents changed between two readings; store them first")
+            size, data = _split(encoded["ids"][found[p]].as_py())
+            lengths.append(size // 4)
+            ids.append(np.frombuffer(data, "<u4"))
+        size, flat = np.concatenate([*lengths, np.zeros(0, np.int64)]), np.concatenate([*ids, np.zeros(0, np.uint32)])
+        # From the order by part back to the order of the numbers.
+        order = np.argsort(part, kind="stable")
+        start, length = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        start[order], length[order] = np.cumsum(size) - size, size
+        out = []
+        for packed in own["places"]:
+            at = _unpacked(packed.as_py())
+            n = length[at]
+            total = int(n.sum())
+            out.append(flat[np.arange(total) + np.repeat(start[at] - (np.cumsum(n) - n), n)].astype(np.int32))
+        ends = np.cumsum([0, *map(len, out)], dtype=np.int64)
+        values = np.concatenate([*out, np.zeros(0, np.int32)])
+        lists = pa.LargeListArray.from_arrays(ends, values).cast(pa.list_(pa.int32()))
+        return pa.table({"doc_id": own["doc_id"], "ids": lists})
 
     encoded = (
-        rows.mapInArrow(words, "word string, block long, place int")
-        .repartition("word").sortWithinPartitions("word")
-        .mapInArrow(once, "block long, place int, ids binary")
+        rows.mapInArrow(words, "part int, block long, words binary").repartition("part")
+        .mapInArrow(once, "part int, block long, ids binary")
     )
-    own = rows.mapInArrow(places, "block long, n_words int, doc_id long, places binary")
+    own = rows.mapInArrow(places, "block long, doc_id long, places binary, parts binary")
     return own.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(together, "doc_id long, ids array<int>")
 
 
