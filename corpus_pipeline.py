@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return bpe.digest(docs, path, public_tokenizers.PATTERN)
 
 
 STAGES = [

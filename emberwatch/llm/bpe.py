@@ -4,7 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -104,8 +104,25 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << shift, start)
 
 
+def _lists(doc_ids: pa.ChunkedArray, ids: Iterator[np.ndarray]) -> pa.Table:
+    out = list(ids)
+    ends = np.cumsum([0, *map(len, out)], dtype=np.int64)
+    values = np.concatenate([*out, np.zeros(0, np.int32)])
+    lists = pa.LargeListArray.from_arrays(ends, values).cast(pa.list_(pa.int32()))
+    return pa.table({"doc_id": doc_ids, "ids": lists})
+
+
 def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 16_000_000) -> DataFrame:
-    """(doc_id, ids): the token ids of every whole text, one row per document row.
+    """(doc_id, ids): the token ids of every whole text, one row per document row. See `encode_by`."""
+    return encode_by(docs, path, pattern, _lists, "doc_id long, ids array<int>", block_chars)
+
+
+def encode_by(
+    docs: DataFrame, path: str, pattern: str, finish: Callable[[pa.ChunkedArray, Iterator[np.ndarray]], pa.Table],
+    schema: str, block_chars: int = 16_000_000,
+) -> DataFrame:
+    """Rows that `finish` makes of the doc_ids and token ids of a block's documents, in the task that puts them
+    together: what follows from a document's ids needs no second pass of the ids through Spark.
 
     Documents are cut into blocks. Each block gives its distinct words, packed by the part that a word's hash names,
     and its documents as packed numbers. The words of a part meet in one task, which encodes each distinct word once
@@ -185,47 +202,52 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 16_000_0
         order = np.argsort(part, kind="stable")
         start, length = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         start[order], length[order] = np.cumsum(size) - size, size
-        out = []
-        for packed in own["places"]:
-            at = _unpacked(packed.as_py())
+
+        def ids_of(packed: bytes) -> np.ndarray:
+            at = _unpacked(packed)
             n = length[at]
             total = int(n.sum())
-            out.append(flat[np.arange(total) + np.repeat(start[at] - (np.cumsum(n) - n), n)].astype(np.int32))
-        ends = np.cumsum([0, *map(len, out)], dtype=np.int64)
-        values = np.concatenate([*out, np.zeros(0, np.int32)])
-        lists = pa.LargeListArray.from_arrays(ends, values).cast(pa.list_(pa.int32()))
-        return pa.table({"doc_id": own["doc_id"], "ids": lists})
+            return flat[np.arange(total) + np.repeat(start[at] - (np.cumsum(n) - n), n)].astype(np.int32)
+
+        return finish(own["doc_id"], (ids_of(packed.as_py()) for packed in own["places"]))
 
     encoded = (
         rows.mapInArrow(words, "part int, block long, words binary").repartition("part")
         .mapInArrow(once, "part int, block long, ids binary")
     )
     own = rows.mapInArrow(places, "block long, doc_id long, places binary, parts binary")
-    return own.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(together, "doc_id long, ids array<int>")
+    return own.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(together, schema)
 
 
-def digest(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids are decoded by the token-byte table, which is as
-    large as the vocabulary file."""
+#: Ids that are turned into text or bytes at a time.
+AT_ONCE = 100_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: the ids are decoded by the token-byte
+    table, which is as large as the vocabulary file."""
+
+    def digests(doc_ids: pa.ChunkedArray, ids: Iterator[np.ndarray]) -> pa.Table:
         table = _token_bytes(path)
-        names = [str(i) for i in range(len(table))]
-        for batch in batches:
-            sizes, joined, decoded = [], [], []
-            for ids in batch["ids"]:
-                own = ids.values.to_numpy().tolist()
-                sizes.append(len(own))
-                joined.append(hashlib.sha256(" ".join(map(names.__getitem__, own)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(table.__getitem__, own))).hexdigest())
-            yield pa.record_batch(
-                {
-                    "doc_id": batch["doc_id"], "n_tokens": pa.array(sizes, pa.int64()),
-                    "ids_sha256": pa.array(joined, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()),
-                }
-            )
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        sizes, joined, decoded = [], [], []
+        for own in ids:
+            names, data = hashlib.sha256(), hashlib.sha256()
+            for at in range(0, len(own), AT_ONCE):
+                some = own[at : at + AT_ONCE].tolist()
+                names.update((" " * (at > 0) + " ".join(map(str, some))).encode())
+                data.update(b"".join(map(table.__getitem__, some)))
+            sizes.append(len(own))
+            joined.append(names.hexdigest())
+            decoded.append(data.hexdigest())
+        return pa.table(
+            {
+                "doc_id": doc_ids, "n_tokens": pa.array(sizes, pa.int64()),
+                "ids_sha256": pa.array(joined, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()),
+            }
+        )
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode_by(docs, path, pattern, digests, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -65,7 +65,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return bpe.digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 QUERIES = {
