@@ -42,6 +42,7 @@ SYSLOG_TIME = r"^(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
 ISO_TIME = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[\.\d]*[+-]\d{2}:\d{2})"
 
 # --- audit log patterns and values ---------------------------------------------------------------
+AUDIT_NODE = r"^\s*node=(\S+)"
 AUDIT_ID = r"msg=audit\((\d+\.\d+):(\d+)\)"
 UNSET_AUID = 4294967295
 ADMIN_AUIDS = [1000]

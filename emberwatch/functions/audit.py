@@ -80,7 +80,8 @@ def correlate_audit(lines: DataFrame, lateness: str | None = None) -> DataFrame:
 
     Lines of other types are dropped before the shuffle. Fields are taken apart before it too, so
     that columns nobody asks for are not shuffled, and a PATH line travels as its name only.
-    Event number and time together identify an event, since numbers restart at boot.
+    Node, event number and time together identify an event: numbers restart at boot, and two
+    hosts of a fleet may use one number at the same time. Lines without a node are of one host.
     """
     value = F.col("value")
     marked = lines.select(
@@ -92,6 +93,7 @@ def correlate_audit(lines: DataFrame, lateness: str | None = None) -> DataFrame:
     ).filter("id != '' and (is_call or is_path)")
     is_call, is_path = F.col("is_call"), F.col("is_path")
     used = with_pair_map(with_pairs(marked), "tail", TYPED_FIELDS).select(
+        F.regexp_extract(value, K.AUDIT_NODE, 1).alias("node"),
         F.regexp_extract("id", r"\((.*):", 1).alias("epoch"),
         F.regexp_extract("id", r":(\d+)\)", 1).alias("serial"),
         F.when(is_call, value).alias("call"),
@@ -101,7 +103,7 @@ def correlate_audit(lines: DataFrame, lateness: str | None = None) -> DataFrame:
         F.when(is_path, F.struct(field_text("name").alias("name"))).alias("path"),
         F.when(is_path, F.col("seq")).alias("path_seq"),
     )
-    keys = ["epoch", "serial"]
+    keys = ["node", "epoch", "serial"]
     if lateness is not None:
         used = used.withColumn("at", epoch_time(F.col("epoch"))).withWatermark("at", lateness)
         keys = ["at", *keys]
@@ -116,7 +118,7 @@ def correlate_audit(lines: DataFrame, lateness: str | None = None) -> DataFrame:
         )
         .filter("seq is not null")
         .withColumn("path_name", F.col("path.name"))
-        .drop("path", "at")
+        .drop("path", "at", "node")
     )
 
 

@@ -175,19 +175,20 @@ def src_2(logs):
 BUNDLE = 1000
 
 
-def _land_cloud(logs: Logs) -> str:
-    """Records in gzip files of up to 1000, as the cloud delivers them. Some files are cut off
-    and some have no records."""
+def _land_cloud(logs: Logs, damaged: bool) -> str:
+    """Records in gzip files of up to 1000, as the cloud delivers them. If asked for, some files
+    are cut off and some have no records."""
     path = shared_folder(logs.spark, "cloud")
     bundles = (
         S.cloud_lines(logs.base)
         .groupBy(F.expr(f"seq div {BUNDLE}").alias("bundle"))
         .agg(F.array_join(F.collect_list("value"), ",").alias("records"))
     )
-    text = (
+    whole = F.concat(F.lit('{"Records":['), c("records"), F.lit("]}"))
+    text = whole if not damaged else (
         F.when(c("bundle") % 7 == 3, F.concat(F.lit('{"Records":['), F.substr("records", F.lit(1), F.lit(500))))
         .when(c("bundle") % 7 == 5, F.lit('{"Other":[]}'))
-        .otherwise(F.concat(F.lit('{"Records":['), c("records"), F.lit("]}")))
+        .otherwise(whole)
     )
     (
         bundles.select(text.alias("value"))
@@ -206,7 +207,7 @@ _WHOLE = f"(seq // {BUNDLE}) % 7 NOT IN (3, 5)"
     f"SELECT event_name, source_ip, raw ->> '$.eventTime' AS event_time FROM cloud_all WHERE {_WHOLE}",
 )
 def src_3(logs):
-    records, _ = files.read_cloud_files(logs.spark, _land_cloud(logs))
+    records, _ = files.read_cloud_files(logs.spark, _land_cloud(logs, damaged=True))
     return records.select(cloud_fn.typed_record(c("record")).alias("r")).select(
         c("r.eventName").alias("event_name"),
         c("r.sourceIPAddress").alias("source_ip"),
@@ -237,11 +238,11 @@ def src_5(logs):
 
 @query(
     "src_6",
-    f"SELECT count(*) AS first_run, 0::bigint AS second_run FROM cloud_all WHERE {_WHOLE}",
+    "SELECT count(*) AS first_run, 0::bigint AS second_run FROM cloud_all",
 )
 def src_6(logs):
     """All files, then only files named after the last one seen."""
-    path = _land_cloud(logs)
+    path = _land_cloud(logs, damaged=False)
     newest = files.last_file_name(logs.spark, path).first()["last_file"]
     first, _ = files.read_cloud_files(logs.spark, path)
     second, _ = files.read_cloud_files(logs.spark, path, after=newest)

@@ -201,9 +201,13 @@ def display_alerts(alerts: DataFrame) -> DataFrame:
                 "attempt_count", "attack_speed", "window_seconds", "event_name", "aws_region",
                 "user_agent", "actor_type", "new_username", "hostname", "session_id",
                 "command_count", "password", "download_tools", "chmod_x_used", "commands",
-                "files", "count",
+                "files", "count", "sudo_user", "sudo_command", "mfa_authenticated",
+                "seconds_after_last_failure", "last_failure_time", "success_time",
+                "login_attempt_count",
             )
         ],
+        # All fields, those of rules registered later included.
+        extra,
         c("rule_id").alias("rule_name"),
         c("description").alias("reason"),
         extra["auid"].alias("auid_human"),

@@ -9,12 +9,12 @@ from emberwatch.schemas import ALERT, conform
 
 
 def load_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """All stored alerts. A missing table is empty; a damaged one fails instead of reading as
-    empty, so that it is never overwritten by accident."""
+    """All stored alerts. A missing table is empty; a damaged one, or a folder that lost its files,
+    fails instead of reading as empty, so that old alerts do not fire again."""
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], ALERT)
     return conform(stored, ALERT)
@@ -22,7 +22,12 @@ def load_alerts(spark: SparkSession, path: str) -> DataFrame:
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
     """Append; existing files are not touched. Rows are gathered by day, so a day's folder gets
-    few files, and the rebalance splits a day that holds most alerts."""
+    few files, and the rebalance splits a day that holds most alerts.
+
+    A history starts with a file without rows, so that one without alerts differs from a folder
+    that lost its files."""
+    spark = alerts.sparkSession
+    spark.createDataFrame([], ALERT).write.mode("ignore").parquet(f"{path}/day=1970-01-01")
     (
         alerts.withColumn("day", F.to_date("first_seen"))
         .hint("rebalance", "day")
@@ -44,11 +49,14 @@ def store_batch(spark: SparkSession, alerts: DataFrame, path: str, batch: int) -
 
 
 def load_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Alerts stored by `store_batch`, of all batches or of those before one."""
+    """Alerts stored by `store_batch`, of all batches or of those before one. Nothing comes before
+    batch 0, also where its first try left a folder without files."""
+    if before == 0:
+        return spark.createDataFrame([], ALERT)
     try:
         stored = spark.read.option("basePath", path).parquet(path)
     except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], ALERT)
     if before is not None:

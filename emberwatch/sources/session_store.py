@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     try:
         return conform(spark.read.parquet(path), schema)
     except AnalysisException as problem:
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -34,32 +34,43 @@ def session_tables(honeypot: DataFrame) -> dict[str, DataFrame]:
 
 
 def only_new(tables: dict[str, DataFrame], stored_sessions: DataFrame) -> dict[str, DataFrame]:
-    """Rows of sessions that are not stored yet, in all three tables."""
+    """Rows of the sessions that are not among the stored ones, of every table."""
     known = stored_sessions.select("session_id")
     return {name: t.join(known, "session_id", "left_anti") for name, t in tables.items()}
 
 
+def not_stored(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows whose values are not stored yet. The line number is not compared: it counts from the
+    start of a scan, so a line has another one in the next scan."""
+    same = " and ".join(f"new.{n} <=> old.{n}" for n in rows.columns if n != "seq")
+    return rows.alias("new").join(stored.alias("old"), F.expr(same), "left_anti")
+
+
 def store_sessions(spark: SparkSession, honeypot: DataFrame, folder: str) -> None:
-    """Append new sessions with their logins and commands.
+    """Append what is new: logins and commands, also of sessions stored before, and the session
+    rows that say something new, such as the close of a session that an earlier run saw open.
 
-    Children are written first and the session row last. A run that dies in between is simply
-    repeated: the session still counts as new, and `read_sessions` shows each child line once.
+    A run that dies in between is simply repeated, as each table is compared with itself.
     """
-    stored = read_table(spark, f"{folder}/sessions", SESSION)
-    fresh = only_new(session_tables(honeypot), stored)
-    for name in ("session_logins", "session_commands", "sessions"):
-        fresh[name].write.mode("append").parquet(f"{folder}/{name}")
+    for name, rows in session_tables(honeypot).items():
+        path = f"{folder}/{name}"
+        not_stored(rows, read_table(spark, path, rows.schema)).write.mode("append").parquet(path)
 
 
 def read_sessions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The stored tables; child rows left twice by a repeated run count once."""
+    """The stored tables, with one row per session made of all that was stored about it."""
     sessions = read_table(spark, f"{folder}/sessions", SESSION)
-    logins = read_table(spark, f"{folder}/session_logins", SESSION_LOGIN)
-    typed = read_table(spark, f"{folder}/session_commands", SESSION_COMMAND)
+    closed = F.max(F.struct("end_time", "duration_ms"))
+    whole = sessions.groupBy("session_id").agg(
+        F.min("src_ip").alias("src_ip"),
+        F.min("start_time").alias("start_time"),
+        closed["end_time"].alias("end_time"),
+        closed["duration_ms"].alias("duration_ms"),
+    )
     return {
-        "sessions": sessions,
-        "session_logins": logins.dropDuplicates(["session_id", "seq"]),
-        "session_commands": typed.dropDuplicates(["session_id", "seq"]),
+        "sessions": whole,
+        "session_logins": read_table(spark, f"{folder}/session_logins", SESSION_LOGIN),
+        "session_commands": read_table(spark, f"{folder}/session_commands", SESSION_COMMAND),
     }
 
 

@@ -8,7 +8,6 @@ records, broken JSON) are mixed in by event number.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.session import spread
 
 YEAR = 2024
 
@@ -188,8 +187,11 @@ def render(expression: str, dialect: str) -> str:
 
 
 def read_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The events that log lines are made of, dealt out by id at every size alike: a row of the
+    table becomes several long lines."""
     events = spark.read.parquet(f"{folder}/events.parquet")
-    return spread(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).repartition(tasks, "event_id")
 
 
 def _lines(base: DataFrame, expression: str) -> DataFrame:

@@ -73,6 +73,16 @@ def test_addresses(spark):
     assert got == {a: valid(a) for a in ADDRESSES}
 
 
+def test_two_hosts_with_one_audit_number(lines):
+    events, _ = normalize_audit(
+        lines(
+            *[f'node={n} type=SYSCALL msg=audit(1705312200.123:456): comm="{n}"' for n in ("a", "b")],
+            'node=b type=PATH msg=audit(1705312200.123:456): name="/of/b"',
+        )
+    )
+    assert sorted(((e.comm, e.name) for e in events.collect()), key=str) == [("a", None), ("b", "/of/b")]
+
+
 def test_audit_lines(lines):
     gs = "\x1d"
     events, rejects = normalize_audit(

@@ -12,6 +12,7 @@ from conftest import at
 from emberwatch import constants as K
 from emberwatch.operators.dedup import dedup_key, keep_first, new_alerts
 from emberwatch.plans.rules import rule_book
+from emberwatch.schemas import SESSION
 from emberwatch.sources import alert_store, files, session_store
 from emberwatch.streaming.run import run_available
 
@@ -124,6 +125,20 @@ def test_alert_history(spark, audit, tmp_path):
         alert_store.load_alerts(spark, path).collect()
 
 
+def test_history_without_alerts_is_not_a_history_without_files(spark, audit, tmp_path):
+    path = str(tmp_path / "alerts")
+    alerts = rule_book().rules["det_011"].run(audit(dict(key="sudoers_tamper")))
+    alert_store.store_new_alerts(spark, alerts.filter("false"), path, 1)
+    assert alert_store.load_alerts(spark, path).count() == 0
+    alert_store.store_new_alerts(spark, alerts, path, 2)
+    assert alert_store.load_alerts(spark, path).count() == 1
+    (tmp_path / "lost").mkdir()
+    with pytest.raises(PySparkException):
+        alert_store.load_alerts(spark, str(tmp_path / "lost"))
+    with pytest.raises(PySparkException):
+        session_store.read_table(spark, str(tmp_path / "lost"), SESSION)
+
+
 def test_repeated_batch_is_stored_once(spark, audit, tmp_path):
     path = str(tmp_path / "alerts")
     rule = rule_book().rules["det_011"]
@@ -164,6 +179,26 @@ def test_session_store(spark, honeypot, tmp_path):
     assert [r.command_text for r in typed] == ["ls"]
 
 
+def test_session_stored_over_two_runs(spark, honeypot, tmp_path):
+    folder = str(tmp_path / "sessions")
+    rows = [
+        *pot_rows(),
+        dict(session_id="a", src_ip="1.1.1.1", ts=at(20), eventid=K.POT_LOGIN_OK, username="v", password="q"),
+        dict(session_id="a", src_ip="1.1.1.1", ts=at(21), eventid=K.POT_COMMAND, input="id"),
+        dict(session_id="a", src_ip="1.1.1.1", ts=at(30), eventid=K.POT_CLOSED, duration_ms=30000),
+    ]
+    # The second run sees the later lines only, numbered from 0 again; then all lines come once more.
+    for part in (rows[:6], rows[6:], rows):
+        session_store.store_sessions(spark, honeypot(*part), folder)
+    stored = session_store.read_sessions(spark, folder)
+    whole = session_store.session_tables(honeypot(*rows))
+    for name, table in stored.items():
+        columns = [n for n in table.columns if n != "seq"]
+        assert sorted(map(str, table.select(columns).collect())) == sorted(map(str, whole[name].select(columns).collect()))
+    (a,) = stored["sessions"].filter("session_id = 'a'").collect()
+    assert (a.start_time, a.end_time, a.duration_ms) == (at(0), at(30), 30000)
+
+
 def test_block_list(spark, honeypot):
     tables = session_store.session_tables(honeypot(*pot_rows()))
     sessions, logins = tables["sessions"], tables["session_logins"]
