@@ -122,6 +122,11 @@ def correlate_audit(lines: DataFrame, lateness: str | None = None) -> DataFrame:
     )
 
 
+def audit_line_time(value: Column) -> Column:
+    """The time in a line's audit id; NULL for lines without one."""
+    return epoch_time(F.nullif(F.regexp_extract(value, K.AUDIT_ID, 1), F.lit("")))
+
+
 def type_audit(correlated: DataFrame) -> DataFrame:
     """Adds the typed columns and `reason`."""
 

@@ -115,6 +115,30 @@ class Logs:
 _ALERT_TABLES: dict[tuple[str, str], str] = {}
 
 
+class LandedLogs(Logs):
+    """The same logs as text in several files, read back: the scan numbers the lines."""
+
+    def _landed(self, lines: DataFrame, source: str) -> auth_fn.Normalized:
+        path = _land_in_order(self, lines, source)
+        return files.read_events(self.spark, path, source, S.YEAR, order="name")
+
+    @cached_property
+    def auth(self) -> auth_fn.Normalized:
+        return self._landed(S.auth_lines(self.base), K.AUTH_LOG)
+
+    @cached_property
+    def audit(self) -> auth_fn.Normalized:
+        return self._landed(S.audit_lines(self.base), K.AUDITD)
+
+    @cached_property
+    def honeypot(self) -> auth_fn.Normalized:
+        return self._landed(S.honeypot_lines(self.base), K.COWRIE)
+
+
+def landed(logs: Logs) -> LandedLogs:
+    return LandedLogs(logs.spark, logs.folder)
+
+
 def micros(name: str) -> Column:
     return F.unix_micros(name).alias(name)
 
@@ -160,6 +184,17 @@ def _land(logs: Logs, lines: DataFrame, name: str) -> str:
     return path
 
 
+def _land_in_order(logs: Logs, lines: DataFrame, name: str, path: str | None = None) -> str:
+    """Write lines as a log in several text files of about equal, never quite equal size, named in
+    log order. Ranges are as many as shuffle partitions, so that they grow with the cluster."""
+    path = path or shared_folder(logs.spark, name)
+    pieces = max(int(logs.spark.conf.get("spark.sql.shuffle.partitions")), 3)
+    ordered = lines.repartitionByRange(pieces, "seq").sortWithinPartitions("seq")
+    blank = F.when(c("seq") % 10 == 0, F.lit("\n  ")).otherwise(F.lit(""))
+    ordered.select(F.concat("value", blank).alias("value")).write.mode("append").text(path)
+    return path
+
+
 @query("src_1", "SELECT raw AS value FROM auth_lines")
 def src_1(logs):
     return files.read_lines(logs.spark, _land(logs, S.auth_lines(logs.base), "auth")).select("value")
@@ -233,7 +268,7 @@ def src_5(logs):
     for half in (0, 1):
         lines.filter(c("seq") % 2 == half).select("value").write.mode("append").text(landing)
         run_available(files.stream_lines(logs.spark, landing), out, state)
-    return logs.spark.read.parquet(out)
+    return logs.spark.read.parquet(out).select("value")
 
 
 @query(
@@ -460,7 +495,7 @@ def nrm_10(logs):
   duration_ms, login_attempt_count, success_count, command_count FROM sessions""",
 )
 def nrm_11(logs):
-    return logs.sessions.select(
+    return landed(logs).sessions.select(
         "session_id", "src_ip", micros("start_time"), micros("end_time"), "duration_ms",
         "login_attempt_count", "success_count", "command_count",
     )
@@ -686,6 +721,8 @@ def prd_15(logs):
 def _detection(name: str) -> None:
     def build(logs):
         rule = rule_book().rules[name]
+        if name == "det_015":  # first and last login of a session, over several files
+            logs = landed(logs)
         # Windowed rules pass over their table more than once.
         passes = name in PARAMETERS
         events = logs.written(rule.source) if passes else logs.events(rule.source)
@@ -723,7 +760,9 @@ def join_1(logs):
 
 @query("join_2", "SELECT serial, exe, name FROM audit_all")
 def join_2(logs):
-    typed = audit_fn.type_audit(audit_fn.correlate_audit(S.audit_lines(logs.base)))
+    path = _land_in_order(logs, S.audit_lines(logs.base), "audit")
+    lines = files.read_lines(logs.spark, path, order="name")
+    typed = audit_fn.type_audit(audit_fn.correlate_audit(lines))
     return typed.select("serial", "exe", "name")
 
 
@@ -1039,7 +1078,7 @@ def set_2(logs):
 
 @query("set_3", f"SELECT key, {D.ALERT_COLUMNS} FROM deduped")
 def set_3(logs):
-    first = keep_first(logs.stored_alerts)
+    first = keep_first(landed(logs).alerts)
     return first.select(dedup_key().alias("key"), *alert_rows_columns())
 
 
@@ -1263,6 +1302,7 @@ def _two_landings(
 
 
 _MIDDLE = "2024-01-16 00:00:00"
+_LATE_SECONDS = 3600
 
 
 @query("str_1", f"SELECT rule_id, dedup_key FROM deduped WHERE rule_id = '{K.RULE_NEW_USER}'")
@@ -1275,7 +1315,7 @@ def str_1(logs):
     rule = rule_book().rules["det_003"]
 
     def each(lines: DataFrame, batch: int) -> None:
-        events = files.normalize(files.with_seq(lines), K.AUTH_LOG, S.YEAR).events
+        events = files.normalize(files.number_batch(lines, batch), K.AUTH_LOG, S.YEAR).events
         alert_store.store_batch(lines.sparkSession, rule.run(events), path, batch)
 
     lines = S.auth_lines(logs.base)
@@ -1302,50 +1342,47 @@ def str_2(logs):
 def str_3(logs):
     """Bursts over two runs: one that spans both is found, as in one batch."""
     from emberwatch.streaming.run import run_batches
-    from emberwatch.streaming.stateful import burst_step, with_memory
+    from emberwatch.streaming.stateful import Remembering, burst_step
 
     errors = logs.base.filter("event_type = 'error'").withColumnRenamed("event_id", "seq")
     out, memory = shared_folder(logs.spark, "hits"), shared_folder(logs.spark, "memory")
     state = shared_folder(logs.spark, "state")
     step = burst_step(["user_id"], 5, WEEK, chunk_seconds=WEEK)
-    each = with_memory(step, "user_id BIGINT, ts TIMESTAMP, seq BIGINT", out, memory)
+    each = Remembering(step, "user_id BIGINT, ts TIMESTAMP, seq BIGINT", out, memory, _LATE_SECONDS)
     _two_landings(
         logs, errors, lambda stream: run_batches(stream, each, state), ["user_id", "ts", "seq"]
     )
+    each.finish(logs.spark)
     hits = logs.spark.read.option("basePath", out).parquet(out)
     return hits.select("user_id", micros("first_seen"), micros("last_seen"), "seq")
 
 
-_IDLE_DAYS, _LATE_HOURS = 3, 1
+_IDLE_SECONDS = 3 * 86_400
 
 
 @query(
     "str_4",
-    f"""SELECT session_id, src_ip, epoch_us(start_time) AS start_time, epoch_us(end_time) AS end_time, login_attempt_count, command_count, chmod_x_used
-FROM sessions JOIN (SELECT session_id, max(ts) AS last_ts FROM pot GROUP BY session_id) USING (session_id)
-WHERE last_ts + INTERVAL {_IDLE_DAYS} DAY <= (SELECT max(ts) FROM pot) - INTERVAL {_LATE_HOURS} HOUR""",
+    """SELECT session_id, src_ip, epoch_us(start_time) AS start_time, epoch_us(end_time) AS end_time,
+  login_attempt_count, command_count, chmod_x_used FROM sessions""",
 )
 def str_4(logs):
-    """Sessions of a stream; those still open at its end are not given out."""
-    from emberwatch.streaming.run import run_available
-    from emberwatch.streaming.stateful import closed_sessions
-
-    out, state = shared_folder(logs.spark, "sessions"), shared_folder(logs.spark, "state")
-
-    def run(stream):
-        done = closed_sessions(stream, f"{_IDLE_DAYS} days", f"{_LATE_HOURS} hours")
-        run_available(
-            done.select(
-                "session_id", "src_ip", micros("start_time"), micros("end_time"),
-                "login_attempt_count", "command_count", "chmod_x_used",
-            ),
-            out,
-            state,
-        )
+    """Sessions of a stream, those still open at its end included. In the derived log a session goes
+    on after a close event, so that one counts like idleness."""
+    from emberwatch.streaming.run import run_batches
+    from emberwatch.streaming.stateful import Remembering, session_step
 
-    events = logs.honeypot.events.drop("extra", "raw")
-    _two_landings(logs, events, run, events.columns)
-    return logs.spark.read.parquet(out)
+    out, memory = shared_folder(logs.spark, "sessions"), shared_folder(logs.spark, "memory")
+    state = shared_folder(logs.spark, "state")
+    events = logs.honeypot.events.drop("extra", "raw", "source")
+    step = session_step(_IDLE_SECONDS, after_close_seconds=_IDLE_SECONDS)
+    each = Remembering(step, events.schema, out, memory, _LATE_SECONDS)
+    _two_landings(logs, events, lambda stream: run_batches(stream, each, state), events.columns)
+    each.finish(logs.spark)
+    done = logs.spark.read.option("basePath", out).parquet(out)
+    return done.select(
+        "session_id", "src_ip", micros("start_time"), micros("end_time"),
+        "login_attempt_count", "command_count", "chmod_x_used",
+    )
 
 
 @query("str_5", f"SELECT {D.ALERT_COLUMNS} FROM deduped WHERE log_source = 'cloudtrail'")
@@ -1369,48 +1406,56 @@ def str_5(logs):
 
 @query(
     "str_6",
-    f"""SELECT a.source_ip, a.username, a.seq, f.failures FROM auth a
-JOIN (SELECT 1 AS part, source_ip, count(*) AS failures, max(ts) AS last_failure FROM auth
-      WHERE auth_result = 'failed' AND ts < timestamp '{_MIDDLE}' GROUP BY source_ip
-      UNION ALL SELECT 2, source_ip, count(*), max(ts) FROM auth WHERE auth_result = 'failed' GROUP BY source_ip) f
-  ON f.source_ip = a.source_ip AND f.part = CASE WHEN a.ts < timestamp '{_MIDDLE}' THEN 1 ELSE 2 END
-WHERE a.auth_result = 'accepted' AND f.failures >= 5
-  AND epoch_us(a.ts) - epoch_us(f.last_failure) BETWEEN 0 AND {WEEK} * 1000000::bigint""",
+    f"""SELECT source_ip, username, seq, failures FROM (
+  SELECT *, count(*) FILTER (WHERE auth_result = 'failed') OVER upto AS failures,
+    max(ts) FILTER (WHERE auth_result = 'failed') OVER upto AS last_failure
+  FROM auth WHERE source_ip IS NOT NULL
+  WINDOW upto AS (PARTITION BY source_ip ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE auth_result = 'accepted' AND failures >= 5
+  AND epoch_us(ts) - epoch_us(last_failure) BETWEEN 0 AND {WEEK} * 1000000::bigint""",
 )
 def str_6(logs):
-    """Success after failures, where the failures may lie in the run before."""
+    """Success after failures by event time, where the failures may lie in the run before."""
     from emberwatch.streaming.run import run_batches
-    from emberwatch.streaming.stateful import FAILURES_SCHEMA, success_step, with_memory
+    from emberwatch.streaming.stateful import SUCCESS_MEMORY, Remembering, success_step
 
     out, memory = shared_folder(logs.spark, "found"), shared_folder(logs.spark, "memory")
     state = shared_folder(logs.spark, "state")
-    each = with_memory(success_step(5, WEEK), FAILURES_SCHEMA, out, memory)
+    step = success_step(5, WEEK, forget_seconds=366 * 86_400)
+    each = Remembering(step, SUCCESS_MEMORY, out, memory, _LATE_SECONDS)
     columns = ["source_ip", "username", "seq", "ts", "auth_result"]
     _two_landings(
         logs, logs.auth.events, lambda stream: run_batches(stream, each, state), columns
     )
+    each.finish(logs.spark)
     found = logs.spark.read.option("basePath", out).parquet(out)
     return found.select("source_ip", "username", "seq", "failures")
 
 
-@query(
-    "str_7",
-    f"""SELECT seq, exe, name FROM audit_all
-WHERE ts <= (SELECT max(ts) FROM (SELECT make_timestamp(cast(replace(epoch, '.', '') AS bigint) * 1000) AS ts FROM audit_ids
-             WHERE value LIKE 'type=SYSCALL%' OR value LIKE 'type=PATH%')) - INTERVAL {_LATE_HOURS} HOUR""",
-)
+@query("str_7", "SELECT serial, exe, name FROM audit_all")
 def str_7(logs):
-    """Audit lines correlated on a stream; events after the last watermark stay open."""
-    from emberwatch.streaming.run import run_available
+    """Text lines of the audit log correlated on a stream, in two landings of several files."""
+    from emberwatch.streaming.run import run_batches
+    from emberwatch.streaming.stateful import AUDIT_MEMORY, Remembering, audit_step
+
+    landing, state = shared_folder(logs.spark, "landing"), shared_folder(logs.spark, "state")
+    out, memory = shared_folder(logs.spark, "events"), shared_folder(logs.spark, "memory")
+    correlate = Remembering(audit_step, AUDIT_MEMORY, out, memory, _LATE_SECONDS)
+
+    def each(lines: DataFrame, batch: int) -> None:
+        numbered = files.number_batch(lines, batch, order="name")
+        timed = numbered.withColumn("ts", audit_fn.audit_line_time(c("value")))
+        correlate(timed.filter("ts is not null"), batch)
 
+    at = audit_fn.audit_line_time(c("value"))
+    middle = F.lit(_MIDDLE).cast("timestamp")
     lines = S.audit_lines(logs.base)
-    landing = shared_folder(logs.spark, "landing")
-    out, state = shared_folder(logs.spark, "events"), shared_folder(logs.spark, "state")
-    lines.write.parquet(landing)
-    stream = logs.spark.readStream.schema("seq BIGINT, value STRING").parquet(landing)
-    typed = audit_fn.type_audit(audit_fn.correlate_audit(stream, f"{_LATE_HOURS} hours"))
-    run_available(typed.select("seq", "exe", "name"), out, state)
-    return logs.spark.read.parquet(out)
+    for part in (F.coalesce(at < middle, F.lit(True)), at >= middle):
+        _land_in_order(logs, lines.filter(part), "landing", landing)
+        run_batches(files.stream_lines(logs.spark, landing), each, state)
+    correlate.finish(logs.spark)
+    events = logs.spark.read.option("basePath", out).parquet(out)
+    return events.select("serial", "exe", "name")
 
 
 # --- extension -----------------------------------------------------------------------------------

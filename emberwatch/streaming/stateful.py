@@ -4,117 +4,200 @@ What has to be remembered is a small table, so each step is a batch query over t
 that table: it uses the same operators as a batch run, and a busy key is split over tasks the same
 way. The table is kept in two alternating folders. Batch b reads the one batch b-1 wrote and
 overwrites the other, so a batch that is repeated after a failure starts from the same state.
+
+Steps go by event time and not by batch. The horizon lies `lateness_seconds` behind the newest row
+seen. Rows up to it are complete and are worked off; later ones wait in memory. A row that arrives
+behind the horizon comes too late and is stored in a table of its own, where it can be counted.
+So results do not depend on where batches are cut, and what is remembered is bounded by time.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from emberwatch import constants as K
+from emberwatch.functions.audit import correlate_audit, type_audit
 from emberwatch.functions.honeypot import sessionize
 from emberwatch.operators.burst import burst_windows
-from emberwatch.operators.success import failures_by_address, matches
+from emberwatch.operators.success import failures_by_address, success_at_login
+
+#: (rows, remembered, horizon in epoch microseconds) -> (results, remembered)
+Step = Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]]
+
+_BEGIN, _END = -(1 << 62), 1 << 62
+
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+def until(horizon: int) -> Column:
+    """Rows that are complete."""
+    return F.unix_micros("ts") <= F.lit(horizon)
 
 
-def with_memory(step: Step, memory_schema, out: str, memory: str) -> Callable[[DataFrame, int], None]:
-    """A function for foreachBatch from `step(rows, remembered) -> (results, remembered)`."""
+class Remembering:
+    """A function for foreachBatch over rows with `ts`.
+
+    Results go to `out/batch=...`, late rows to `memory/late/batch=...`. `finish` ends a bounded
+    stream: it works off the rows that still wait.
+    """
+
+    def __init__(self, step: Step, memory_schema: str | StructType, out: str, memory: str, lateness_seconds: int = 0):
+        self.step, self.schema, self.out, self.memory = step, memory_schema, out, memory
+        self.lateness = int(lateness_seconds) * 1_000_000
 
-    def run(rows: DataFrame, batch: int) -> None:
-        spark: SparkSession = rows.sparkSession
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
         rows.persist()
-        if batch == 0:
-            before = spark.createDataFrame([], memory_schema)
-        else:
-            before = spark.read.schema(memory_schema).parquet(f"{memory}/slot={(batch - 1) % 2}")
-        results, after = step(rows, before)
+        before = self._newest(spark, batch - 1) if batch else _BEGIN
+        arrived = rows.agg(F.max(F.unix_micros("ts")).alias("newest")).first()["newest"]
+        newest = before if arrived is None else max(before, arrived)
+        late = F.coalesce(until(before - self.lateness), F.lit(True))
+        rows.filter(late).write.mode("overwrite").parquet(f"{self.memory}/late/batch={batch}")
+        self._work_off(rows.filter(~late), batch, newest, newest - self.lateness)
+        rows.unpersist()
+
+    def finish(self, spark: SparkSession) -> None:
+        last = spark.read.schema("batch BIGINT").parquet(f"{self.memory}/clock").agg(F.max("batch")).first()[0]
+        nothing = spark.createDataFrame([], self.schema)
+        self._work_off(nothing, last + 1, self._newest(spark, last), _END)
+
+    def late_rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.option("basePath", f"{self.memory}/late").parquet(f"{self.memory}/late")
+
+    def remembered(self, spark: SparkSession, batch: int) -> DataFrame:
+        """What batch `batch` left."""
+        return spark.read.schema(self.schema).parquet(f"{self.memory}/rows/slot={batch % 2}")
+
+    def _newest(self, spark: SparkSession, batch: int) -> int:
+        clock = spark.read.schema("batch BIGINT, newest BIGINT").parquet(f"{self.memory}/clock/slot={batch % 2}")
+        return clock.first()["newest"]
+
+    def _work_off(self, rows: DataFrame, batch: int, newest: int, horizon: int) -> None:
+        spark = rows.sparkSession
+        held = self.remembered(spark, batch - 1) if batch else spark.createDataFrame([], self.schema)
+        results, after = self.step(rows, held, horizon)
         # The new memory depends on the results, so they are computed once for both.
         results.persist()
-        results.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        after.write.mode("overwrite").parquet(f"{memory}/slot={batch % 2}")
+        results.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
+        after.write.mode("overwrite").parquet(f"{self.memory}/rows/slot={batch % 2}")
+        clock = spark.createDataFrame([(batch, newest)], "batch BIGINT, newest BIGINT")
+        clock.write.mode("overwrite").parquet(f"{self.memory}/clock/slot={batch % 2}")
         results.unpersist()
-        rows.unpersist()
-
-    return run
 
 
 def burst_step(
     keys: list[str], threshold: int, window_seconds: int, chunk_seconds: int | None = None
 ) -> Step:
-    """N events in W seconds per key, over batches that arrive in time order.
+    """N events in W seconds per key, as over all rows at once.
 
-    Remembered per key are its rows after the last hit that can still count: fewer than N.
+    Remembered are the rows that wait, and per key those after its last hit that can still count:
+    fewer than N, none older than W. A key without new rows is forgotten after W.
     """
     chunk = max(chunk_seconds or window_seconds * 20, window_seconds) * 1_000_000
 
-    def step(rows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def step(rows: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
         seen = held.unionByName(rows.select(held.columns))
+        done = seen.filter(until(horizon))
+        waiting = seen.filter(~until(horizon))
         hits = burst_windows(
-            seen, keys, threshold, window_seconds, chunk_seconds=chunk_seconds
+            done, keys, threshold, window_seconds, chunk_seconds=chunk_seconds
         )
         if threshold == 1:
-            return hits, seen.limit(0)
+            return hits, waiting
         # The last N-1 rows per key: first per time chunk, so that no key is sorted as a whole.
-        placed = seen.withColumn(
+        last = done.filter(~until(horizon - window_seconds * 1_000_000)).withColumn(
             "chunk", F.floor(F.unix_micros("ts") / F.lit(chunk)).cast("bigint")
         )
         newest = [F.desc("ts"), F.desc("seq")]
-        last = placed
         for group in ([*keys, "chunk"], keys):
             order = Window.partitionBy(*group).orderBy(*newest)
             last = last.withColumn("place", F.row_number().over(order)).filter(
                 F.col("place") < threshold
             )
-        last = last.withColumn("newest", F.max("ts").over(Window.partitionBy(*keys)))
         fired = hits.groupBy(*keys).agg(F.max(F.struct("last_seen", "seq")).alias("fired"))
-        age = F.unix_micros("newest") - F.unix_micros("ts")
         kept = (
             last.join(fired, keys, "left")
             .filter(
                 F.col("fired").isNull()
                 | (F.struct(F.col("ts").alias("last_seen"), F.col("seq")) > F.col("fired"))
             )
-            .filter(age <= F.lit(window_seconds * 1_000_000))
             .select(held.columns)
         )
-        return hits, kept
+        return hits, kept.unionByName(waiting)
 
     return step
 
 
-FAILURES_SCHEMA = "source_ip STRING, failures BIGINT, first_failure TIMESTAMP, last_failure TIMESTAMP"
+#: A login or failure that waits, or (with `failures`) what is known of an address.
+SUCCESS_MEMORY = (
+    "source_ip STRING, username STRING, seq BIGINT, ts TIMESTAMP, auth_result STRING,"
+    " failures BIGINT, first_failure TIMESTAMP, last_failure TIMESTAMP"
+)
 
 
-def success_step(threshold: int, window_seconds: int, forget_seconds: int | None = None) -> Step:
-    """Failures followed by a success, where the failures may have come in earlier batches.
+def success_step(threshold: int, window_seconds: int, forget_seconds: int) -> Step:
+    """Logins after failures that came before them in event time, as `success_at_login` over all
+    rows finds them.
 
-    Remembered is one row per address. `forget_seconds` drops addresses without a failure for
-    that long, counted from the newest failure; without it they are kept for good.
+    Remembered are the rows that wait and one row per address with a failure in the last
+    `forget_seconds`; the failures of an address that was quiet for longer no longer count.
     """
+    forget = max(int(forget_seconds), int(window_seconds)) * 1_000_000
 
-    def step(auth: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def step(auth: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
+        known = held.filter("failures is not null").select(
+            "source_ip", "failures", "first_failure", "last_failure"
+        )
+        columns = ["source_ip", "username", "seq", "ts", "auth_result"]
+        used = auth.filter("auth_result in ('failed', 'accepted') and source_ip is not null")
+        seen = held.filter("failures is null").select(columns).unionByName(used.select(columns))
+        done = seen.filter(until(horizon))
+        found = success_at_login(done, threshold, window_seconds, known)
         merged = (
-            known.unionByName(failures_by_address(auth))
+            known.unionByName(failures_by_address(done))
             .groupBy("source_ip")
             .agg(
                 F.sum("failures").alias("failures"),
                 F.min("first_failure").alias("first_failure"),
                 F.max("last_failure").alias("last_failure"),
             )
+            .filter(F.unix_micros("last_failure") >= F.lit(horizon - forget))
         )
-        found = matches(auth, merged, threshold, window_seconds)
-        if forget_seconds is not None:
-            newest = merged.agg(F.max("last_failure").alias("newest")).first()["newest"]
-            if newest is not None:
-                recent = F.unix_micros(F.lit(newest)) - F.unix_micros("last_failure")
-                merged = merged.filter(recent <= forget_seconds * 1_000_000)
-        return found, merged
+        waiting = seen.filter(~until(horizon))
+        return found, waiting.unionByName(merged, allowMissingColumns=True).select(held.columns)
 
     return step
 
 
-def closed_sessions(honeypot: DataFrame, idle: str, lateness: str) -> DataFrame:
-    """Sessions of a honeypot stream, each given out once it has been idle long enough."""
-    watched = honeypot.withWatermark("ts", lateness)
-    return sessionize(watched, ["session_id", F.session_window("ts", idle).alias("open")])
+def session_step(idle_seconds: int, after_close_seconds: int = 0) -> Step:
+    """Honeypot sessions, each given out once: when nothing followed its close event for
+    `after_close_seconds`, or when it has been idle for `idle_seconds`.
+
+    Remembered are the rows of the sessions that are still open.
+    """
+    idle, closing = idle_seconds * 1_000_000, after_close_seconds * 1_000_000
+
+    def step(rows: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
+        seen = held.unionByName(rows.select(held.columns))
+        closed = (F.col("eventid") == K.POT_CLOSED).alias("closed")
+        quiet = F.lit(horizon) - F.unix_micros("last.ts")
+        done = (
+            seen.groupBy("session_id")
+            .agg(F.max(F.struct("ts", "seq", closed)).alias("last"))
+            .filter((quiet >= idle) | (F.col("last.closed") & (quiet >= closing)))
+            .select("session_id")
+        )
+        whole = seen.join(done, "session_id", "left_semi")
+        return sessionize(whole), seen.join(done, "session_id", "left_anti").select(held.columns)
+
+    return step
+
+
+AUDIT_MEMORY = "ts TIMESTAMP, seq BIGINT, value STRING"
+
+
+def audit_step(lines: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
+    """Audit events of lines (`audit_line_time` gives their `ts`). All lines of an event carry one
+    time, so an event is complete once the horizon has passed it; only waiting lines are kept."""
+    seen = held.unionByName(lines.select(held.columns))
+    return type_audit(correlate_audit(seen.filter(until(horizon)))), seen.filter(~until(horizon))

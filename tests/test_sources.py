@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import at
 from emberwatch import constants as K
+from emberwatch.functions.honeypot import login_attempts
 from emberwatch.operators.dedup import dedup_key, keep_first, new_alerts
 from emberwatch.plans.rules import rule_book
 from emberwatch.schemas import SESSION
@@ -26,6 +28,55 @@ def test_lines(spark, tmp_path):
         files.read_lines(spark, str(tmp_path / "none")).count()
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("order", ["time", "name"])
+def test_lines_follow_the_log_over_its_files(spark, tmp_path, small_splits, order):
+    """Three files; the newest is the largest, and the name order is not the time order."""
+    sizes = {"b.log": 700, "c 1.log": 150, "a.log": 3000}
+    for age, (name, n) in enumerate(sizes.items()):
+        (tmp_path / name).write_text("".join(f"{name}:{i}\n\n" for i in range(n)))
+        os.utime(tmp_path / name, (1_700_000_000 + age, 1_700_000_000 + age))
+    lines = files.read_lines(spark, str(tmp_path), order=order)
+    assert lines.select("seq").distinct().count() == 3850
+    want = [f"{n}:{i}" for n in (sizes if order == "time" else sorted(sizes)) for i in range(sizes[n])]
+    assert [r.value for r in lines.orderBy("seq").collect()] == want
+
+
+def test_many_files_join_by_shuffle(spark, tmp_path, monkeypatch):
+    for i, name in enumerate(("x.log", "y.log")):
+        (tmp_path / name).write_text(f"{name} 1\n{name} 2\n")
+        os.utime(tmp_path / name, (1_700_000_000 - i, 1_700_000_000 - i))
+    monkeypatch.setattr(files, "BROADCAST_FILES", 0)
+    rows = files.read_lines(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.value for r in rows] == ["y.log 1", "y.log 2", "x.log 1", "x.log 2"]
+
+
+def test_first_login_of_a_session_in_two_files(spark, tmp_path):
+    """Events of one time; the earlier file is the smaller one."""
+    def login(name):
+        return json.dumps({
+            "session": "s", "src_ip": "192.0.2.1", "eventid": "cowrie.login.success",
+            "timestamp": "2026-01-15T10:30:00Z", "username": name, "password": "p",
+        })
+
+    (tmp_path / "pot.json.1").write_text(login("first") + "\n")
+    (tmp_path / "pot.json").write_text("".join(login(f"later{i}") + "\n" for i in range(200)))
+    os.utime(tmp_path / "pot.json.1", (1_700_000_000, 1_700_000_000))
+    events = files.read_events(spark, str(tmp_path), K.COWRIE).events
+    typed = login_attempts(events).orderBy("seq").first()
+    assert typed.username == "first"
+    assert [r.first_user for r in events.groupBy("session_id").agg(
+        F.min_by("username", F.struct("ts", "seq")).alias("first_user")).collect()] == ["first"]
+
+
 def write_cloud(path, records):
     with gzip.open(path, "wt") as f:
         f.write(records if isinstance(records, str) else json.dumps(records))

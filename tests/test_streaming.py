@@ -1,61 +1,172 @@
-"""State between micro-batches: any split of the input gives the result of one batch."""
+"""State between micro-batches: any cut of the input, also with rows out of order within the
+lateness, gives the result of one batch query over all rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import at
+from emberwatch.functions.audit import audit_line_time, correlate_audit, type_audit
+from emberwatch.functions.honeypot import sessionize
 from emberwatch.operators.burst import burst_windows
-from emberwatch.operators.success import success_after_failures
-from emberwatch.streaming.stateful import FAILURES_SCHEMA, burst_step, success_step, with_memory
+from emberwatch.operators.success import success_after_failures, success_at_login
+from emberwatch.sources import files
+from emberwatch.streaming.run import run_every
+from emberwatch.streaming.stateful import (
+    AUDIT_MEMORY,
+    SUCCESS_MEMORY,
+    Remembering,
+    audit_step,
+    burst_step,
+    session_step,
+    success_step,
+)
 
+BURST_MEMORY = "k INT, ts TIMESTAMP, seq BIGINT"
 
-def replay(spark, rows, parts, each):
-    """Feed the parts as consecutive batches; the last one twice, as after a failure."""
+
+def replay(spark, rows, cuts, each):
+    """Feed rows in `arrival` order as consecutive batches, the last one twice, as after a failure."""
+    edges = [-1, *cuts, 1 << 40]
+    parts = [rows.filter((F.col("arrival") > a) & (F.col("arrival") <= b)) for a, b in zip(edges, edges[1:])]
     for batch, part in enumerate(parts):
-        each(rows.filter(part), batch)
-    each(rows.filter(parts[-1]), len(parts) - 1)
+        each(part.drop("arrival"), batch)
+    each(parts[-1].drop("arrival"), len(parts) - 1)
+    each.finish(spark)
+
+
+def shuffled(rng, data, lateness):
+    """(arrival, row): rows in order of time plus a delay below the lateness."""
+    delayed = sorted(data, key=lambda r: r[1] + rng.randrange(lateness))
+    return [(i, *r) for i, r in enumerate(delayed)]
 
 
-@pytest.mark.parametrize("cuts", [(40,), (13, 14, 15, 70)])
+@pytest.mark.parametrize("cuts", [(), (240,), (30, 60, 61, 62, 300, 420)])
 def test_bursts(spark, tmp_path, cuts):
     rng = random.Random(11)
-    data, seq = [], 0
-    for i in range(90):
-        for key in range(6):
-            data.append((key, i * 10_000_000 + rng.randrange(12_000_000), seq))
-            seq += 1
-    data.sort(key=lambda r: r[1])
-    data = [(k, t, i) for i, (k, t, _) in enumerate(data)]
-    rows = spark.createDataFrame(data, "k INT, t BIGINT, seq BIGINT")
-    rows = rows.withColumn("ts", F.timestamp_micros("t")).select("k", "ts", "seq").persist()
-    edges = [0, *[c * 6 for c in cuts], len(data)]
-    parts = [(F.col("seq") >= a) & (F.col("seq") < b) for a, b in zip(edges, edges[1:])]
+    data = [(key, i * 10_000_000 + rng.randrange(12_000_000)) for i in range(90) for key in range(6)]
+    data = [(k, t, i) for i, (k, t) in enumerate(sorted(data, key=lambda r: r[1]))]
+    rows = spark.createDataFrame(shuffled(rng, data, 40_000_000), "arrival INT, k INT, t BIGINT, seq BIGINT")
+    rows = rows.withColumn("ts", F.timestamp_micros("t")).drop("t").persist()
     out, memory = str(tmp_path / "out"), str(tmp_path / "memory")
-    replay(spark, rows, parts, with_memory(burst_step(["k"], 5, 45), "k INT, ts TIMESTAMP, seq BIGINT", out, memory))
+    each = Remembering(burst_step(["k"], 5, 45), BURST_MEMORY, out, memory, lateness_seconds=40)
+    replay(spark, rows, cuts, each)
+    assert each.late_rows(spark).count() == 0
     got = sorted((r.k, r.seq) for r in spark.read.parquet(out).collect())
     want = sorted((r.k, r.seq) for r in burst_windows(rows, ["k"], 5, 45).collect())
     assert got == want and got
-    held = spark.read.parquet(f"{memory}/slot={(len(parts) - 1) % 2}").groupBy("k").count()
-    assert held.agg(F.max("count")).first()[0] <= 4
 
 
-def test_success_in_a_later_batch(spark, auth, tmp_path):
-    failed = [dict(ts=at(i), source_ip="1.1.1.1", auth_result="failed") for i in range(5)]
-    events = auth(*failed, dict(ts=at(60), source_ip="1.1.1.1", auth_result="accepted", username="u"))
+def test_late_rows_are_counted_and_idle_keys_forgotten(spark, tmp_path):
+    def rows(*pairs):
+        frame = spark.createDataFrame([(k, at(s), i) for i, (k, s) in enumerate(pairs)], "k INT, ts TIMESTAMP, seq BIGINT")
+        return frame
+
+    each = Remembering(burst_step(["k"], 3, 60), BURST_MEMORY, str(tmp_path / "out"), str(tmp_path / "memory"), 30)
+    each(rows(*[(k, 0) for k in range(50)]), 0)
+    each(rows((1, 100)), 1)  # horizon 70
+    each(rows((1, 60), (1, 80)), 2)
+    assert [r.k for r in each.late_rows(spark).collect()] == [1]
+    assert {(r.k, r.ts) for r in each.remembered(spark, 2).collect()} == {(1, at(80)), (1, at(100))}
+    for batch in range(3, 23):
+        each(rows(), batch)
+    assert each.remembered(spark, 22).count() == 2
+    each(rows((7, 10_000)), 23)
+    assert [r.k for r in each.remembered(spark, 23).collect()] == [7]
+
+
+@pytest.mark.parametrize("cuts", [(), (100,), (10, 11, 12, 13, 90, 170)])
+def test_success_after_failures(spark, tmp_path, cuts):
+    rng = random.Random(5)
+    kinds = ["failed", "failed", "failed", "accepted", "other"]
+    data = [(f"192.0.2.{rng.randrange(4)}", rng.randrange(200) * 10_000_000, i, rng.choice(kinds)) for i in range(200)]
+    rows = spark.createDataFrame(
+        shuffled(rng, data, 50_000_000), "arrival INT, source_ip STRING, t BIGINT, seq BIGINT, auth_result STRING"
+    )
+    rows = rows.withColumn("ts", F.timestamp_micros("t")).withColumn("username", F.lit("u")).drop("t").persist()
     out, memory = str(tmp_path / "out"), str(tmp_path / "memory")
-    each = with_memory(success_step(5, 600), FAILURES_SCHEMA, out, memory)
-    replay(spark, events, [F.col("seq") < 3, (F.col("seq") >= 3) & (F.col("seq") < 5), F.col("seq") == 5], each)
-    (found,) = spark.read.parquet(out).collect()
-    assert (found.source_ip, found.failures, found.gap) == ("1.1.1.1", 5, 56_000_000)
-    assert success_after_failures(events, 5, 600).count() == 1
-
-
-def test_old_failures_can_be_forgotten(spark, auth, tmp_path):
-    old = [dict(ts=at(0), source_ip="1.1.1.1", auth_result="failed")]
-    new = [dict(ts=at(5000), source_ip="2.2.2.2", auth_result="failed")]
-    memory = str(tmp_path / "memory")
-    each = with_memory(success_step(5, 600, forget_seconds=600), FAILURES_SCHEMA, str(tmp_path / "out"), memory)
+    replay(spark, rows, cuts, Remembering(success_step(5, 60, 10_000), SUCCESS_MEMORY, out, memory, 50))
+    want = set()
+    for ip, t, seq, kind in data:
+        failures = [u for other, u, _, k in data if other == ip and k == "failed" and u <= t]
+        if kind == "accepted" and len(failures) >= 5 and t - max(failures) <= 60_000_000:
+            want.add((ip, seq, len(failures), t - max(failures)))
+    found = spark.read.parquet(out).collect()
+    assert want and {(r.source_ip, r.seq, r.failures, r.gap) for r in found} == want and len(found) == len(want)
+    batch = success_at_login(rows, 5, 60, chunk_seconds=100).collect()
+    assert {(r.source_ip, r.seq, r.failures, r.gap) for r in batch} == want
+
+
+def test_failures_after_a_login_do_not_count(spark, auth):
+    failed = [dict(ts=at(i), source_ip="192.0.2.1", auth_result="failed") for i in (0, 1, 2, 3, 4, 70)]
+    events = auth(*failed, dict(ts=at(60), source_ip="192.0.2.1", auth_result="accepted", username="u"))
+    (found,) = success_at_login(events, 5, 600).collect()
+    assert (found.failures, found.first_failure, found.last_failure) == (5, at(0), at(4))
+    assert success_after_failures(events, 5, 600).count() == 0
+
+
+def test_old_failures_are_forgotten(spark, auth, tmp_path):
+    old = [dict(ts=at(0), source_ip="192.0.2.1", auth_result="failed")]
+    new = [dict(ts=at(5000), source_ip="192.0.2.2", auth_result="failed")]
+    each = Remembering(success_step(5, 600, 600), SUCCESS_MEMORY, str(tmp_path / "out"), str(tmp_path / "memory"))
     each(auth(*old, *new), 0)
-    assert [r.source_ip for r in spark.read.parquet(f"{memory}/slot=0").collect()] == ["2.2.2.2"]
+    assert [r.source_ip for r in each.remembered(spark, 0).collect()] == ["192.0.2.2"]
+
+
+def test_sessions(spark, honeypot, tmp_path):
+    """One is closed by its event, one by idleness, one by the end of the stream."""
+    events = honeypot(
+        dict(session_id="a", eventid="cowrie.session.connect", ts=at(0)),
+        dict(session_id="b", eventid="cowrie.session.connect", ts=at(0)),
+        dict(session_id="a", eventid="cowrie.command.input", input="ls", ts=at(20)),
+        dict(session_id="a", eventid="cowrie.session.closed", duration_ms=30_000, ts=at(30)),
+        dict(session_id="c", eventid="cowrie.session.connect", ts=at(40)),
+        dict(session_id="c", eventid="cowrie.command.input", input="id", ts=at(500)),
+    ).drop("extra").persist()
+    out = str(tmp_path / "out")
+    each = Remembering(session_step(idle_seconds=300), events.schema, out, str(tmp_path / "memory"))
+    for batch, seqs in enumerate([(0, 1, 2), (3,), (4,), (5,)]):
+        each(events.filter(F.col("seq").isin(*seqs)), batch)
+    each.finish(spark)
+    got = {r.session_id: (r.batch, r.command_count) for r in spark.read.option("basePath", out).parquet(out).collect()}
+    # The gap inside c is longer than the idle time, but its row and the horizon come together.
+    assert got == {"a": (1, 1), "b": (3, 0), "c": (4, 1)}
+    assert {r.session_id: r.command_count for r in sessionize(events).collect()} == {"a": 1, "b": 0, "c": 1}
+
+
+def test_audit_events(spark, tmp_path):
+    texts = [
+        (i, f'type={kind} msg=audit({1705312200 + i // 4}.123:{i // 2}): exe="/bin/{i}" name="/n{i}"')
+        for i in range(40) for kind in ["SYSCALL" if i % 2 == 0 else "PATH"]
+    ]
+    lines = spark.createDataFrame(texts, "seq BIGINT, value STRING").withColumn("ts", audit_line_time(F.col("value")))
+    lines = lines.withColumn("arrival", F.col("seq").cast("int"))
+    out = str(tmp_path / "out")
+    replay(spark, lines, (2, 9, 30), Remembering(audit_step, AUDIT_MEMORY, out, str(tmp_path / "memory"), 5))
+    whole = type_audit(correlate_audit(lines.drop("ts", "arrival")))
+    columns = ["serial", "exe", "name"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(columns).collect()))
+    assert got == sorted(map(tuple, whole.select(columns).collect())) and len(got) == 20
+
+
+def test_scheduled_run_numbers_lines_in_log_order(spark, tmp_path):
+    landing, seen = tmp_path / "landing", []
+    landing.mkdir()
+    (landing / "b.log").write_text("1\n2\n")
+    (landing / "a.log").write_text("".join(f"later {i}\n" for i in range(300)))
+
+    def each(lines, batch):
+        rows = files.number_batch(lines, batch, order="name").orderBy("seq").collect()
+        seen.append([r.value for r in rows])
+        seen.append([r.seq for r in rows])
+
+    query = run_every(files.stream_lines(spark, str(landing)), each, str(tmp_path / "state"), seconds=1)
+    query.processAllAvailable()
+    (landing / "0.log").write_text("3\n")
+    time.sleep(2)
+    query.processAllAvailable()
+    query.stop()
+    assert seen[0] == [*[f"later {i}" for i in range(300)], "1", "2"] and seen[2] == ["3"]
+    assert len(set(seen[1])) == 302 and max(seen[1]) < seen[3][0]
