@@ -98,7 +98,8 @@ POT_CLOSED = "cowrie.session.closed"
 POT_LOGIN_OK = "cowrie.login.success"
 POT_LOGIN_FAILED = "cowrie.login.failed"
 POT_COMMAND = "cowrie.command.input"
-DOWNLOAD_TOOL = r"\b(wget|curl|nc|ncat|netcat)\b"
+DOWNLOAD_TOOLS = ["wget", "curl", "nc", "ncat", "netcat"]
+DOWNLOAD_TOOL = rf"\b({'|'.join(DOWNLOAD_TOOLS)})\b"
 CHMOD_X = r"chmod\s+\+x"
 
 # --- windows and thresholds ----------------------------------------------------------------------

@@ -84,7 +84,7 @@ def sessionize(events: DataFrame, by: list = ("session_id",)) -> DataFrame:
     )
     per_tool = [
         F.max(F.array_contains("tools", tool)).alias(f"has_{tool}")
-        for tool in ["curl", "nc", "ncat", "netcat", "wget"]
+        for tool in sorted(K.DOWNLOAD_TOOLS)
     ]
     grouped = per_event.groupBy(*by).agg(
         F.min("seq").alias("seq"),
@@ -104,7 +104,7 @@ def sessionize(events: DataFrame, by: list = ("session_id",)) -> DataFrame:
         F.array(
             *[
                 F.when(F.col(f"has_{tool}"), F.lit(tool))
-                for tool in ["curl", "nc", "ncat", "netcat", "wget"]
+                for tool in sorted(K.DOWNLOAD_TOOLS)
             ]
         )
     )
