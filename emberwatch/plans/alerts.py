@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.schemas import ALERT, conform
+from emberwatch.schemas import ALERT
 
 Text = str | Column
 
@@ -147,7 +147,3 @@ class RuleBook:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
-
-
-def as_alerts(df: DataFrame) -> DataFrame:
-    return conform(df, ALERT)
