@@ -21,8 +21,9 @@ BASE = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserv
 
 @dataclass(frozen=True)
 class Rule:
-    """A label for the words that `pattern` matches; looked for only in texts that have one of the words `gate`.
-    A higher priority wins over lower ones inside it; `weight` is how sure the label is, from 0 to 1."""
+    """A label for the words that `pattern` matches; looked for only in texts that have one of the words `gate`, of
+    which every match holds one. A higher priority wins over lower ones inside it; `weight` is how sure the label is,
+    from 0 to 1."""
 
     label: str
     pattern: re.Pattern
@@ -32,7 +33,8 @@ class Rule:
 
 
 # A signature: label, gate words, priority, weight, pattern. Patterns see lowered words with one space between them
-# and are held between word boundaries. The order is that of the families; within a family the most exact come first.
+# and are held between word boundaries. What a pattern matches must hold a gate word, alone or with a version.
+# The order is that of the families; within a family the most exact come first.
 _V = r"(?: version)?(?: v)? ?"
 SIGNATURES: list[tuple[str, str, int, float, str]] = []
 
@@ -54,7 +56,7 @@ _family(
 )
 for _number, _words in {"1": "1(?: 0)?", "2": "2(?: 0)?", "3": "3(?: 0)?"}.items():
     _family(
-        "general gpl gplv1 gplv2 gplv3",
+        "general gpl",
         (f"gpl-{_number}.0-or-later", 92, 1.0, rf"gnu general public license(?: as published by the free software foundation)?(?: either)?{_V}{_words}(?: of the license)? or (?:\(?at your option\)? )?any later version"),
         (f"gpl-{_number}.0-or-later", 88, 0.9, rf"gpl ?v? ?{_words} or later"),
         (f"gpl-{_number}.0-only", 86, 0.95, rf"gpl ?v? ?{_words} only"),
@@ -202,15 +204,15 @@ _family(
     ("public-domain", 60, 0.8, r"(?:released|placed|dedicated) (?:in)?to the public domain"),
     ("public-domain", 40, 0.7, r"(?:is|are) in the public domain"),
 )
+_family("proprietary", ("proprietary", 70, 0.9, r"(?:confidential and proprietary|proprietary and confidential)"))
 _family(
-    "reserved rights copyright copyrighted",
-    ("proprietary", 70, 0.9, r"(?:confidential and proprietary|proprietary and confidential)"),
+    "reserved copyright",
     ("proprietary", 65, 0.9, r"copyright(?: c)? \d{4}(?: \d{4})?(?: \S+){1,8} all rights reserved"),
     ("proprietary", 35, 0.7, r"all rights reserved"),
-    ("proprietary", 34, 0.7, r"no part of this (?:publication|document|work|book) may be reproduced"),
     ("copyright", 12, 0.4, r"copyright(?: c)? (?:by )?\d{4}(?: \d{4})?"),
-    ("copyright", 10, 0.3, r"copyrighted (?:material|work|content)"),
 )
+_family("reproduced", ("proprietary", 34, 0.7, r"no part of this (?:publication|document|work|book) may be reproduced"))
+_family("copyrighted", ("copyright", 10, 0.3, r"copyrighted (?:material|work|content)"))
 _family(
     "proprietary confidential",
     ("proprietary", 70, 0.9, r"(?:confidential and proprietary|proprietary and confidential)"),
@@ -218,10 +220,16 @@ _family(
 )
 
 
+def _openers(gate: str) -> frozenset[bytes]:
+    """The words of a gate, each also in one word with what follows it in a short name: lgplv, lgpl3, lgplv3."""
+    tails = ["", "v", *(v + str(digit) for v in ("", "v") for digit in range(10))]
+    return frozenset((word + tail).encode() for word in gate.split() for tail in tails)
+
+
 def compiled() -> list[Rule]:
     """The rules by falling priority; rules of one priority keep the order they are written in."""
     rules = [
-        Rule(label, re.compile(rb"(?<!\S)(?:" + pattern.encode() + rb")(?!\S)"), frozenset(gate.encode().split()), rank, weight)
+        Rule(label, re.compile(rb"(?<!\S)(?:" + pattern.encode() + rb")(?!\S)"), _openers(gate), rank, weight)
         for label, gate, rank, weight, pattern in SIGNATURES
     ]
     return sorted(rules, key=lambda rule: -rule.priority)

@@ -72,6 +72,54 @@ def test_license_overlaps(docs, odd, none):
     assert len(license_scan.RULES) >= 200
 
 
+def _matches(pattern):
+    """Texts that a signature's pattern matches: every choice of what may be there, one of what repeats."""
+    from re import _constants as C, _parser
+
+    def expand(tokens):
+        found = [""]
+        for op, arg in tokens:
+            if op is C.LITERAL:
+                more = [chr(arg)]
+            elif op is C.IN:
+                more = [chr(a) if o is C.LITERAL else {C.CATEGORY_DIGIT: "7"}.get(a, "q") for o, a in arg]
+            elif op is C.SUBPATTERN:
+                more = expand(arg[-1])
+            elif op is C.BRANCH:
+                more = [x for branch in arg[1] for x in expand(branch)]
+            else:
+                assert op is C.MAX_REPEAT, op
+                more = [x * n for x in expand(arg[2]) for n in {arg[0], min(arg[1], max(arg[0], 1))}]
+            found = [a + b for a in found for b in more]
+        return found
+
+    return {" ".join(x.split()) for x in expand(_parser.parse(pattern)) if "(" not in x and ")" not in x}
+
+
+def test_license_gates_let_every_match_through():
+    shut, wrong = set(), set()
+    for rule in license_scan.RULES:
+        texts = sorted(_matches(rule.pattern.pattern[len(rb"(?<!\S)") : -len(rb"(?!\S)")].decode()))
+        assert texts and all(rule.pattern.fullmatch(t.encode()) for t in texts)
+        shut |= {t for t in texts if rule.gate.isdisjoint(t.encode().split())}
+        for text in texts[:: max(1, len(texts) // 8)]:
+            found = license_scan.detections(text.encode(), set(text.encode().split()))
+            if found != license_scan.detections(text.encode(), license_scan.GATES):
+                wrong.add(text)
+    assert not shut and not wrong, (len(shut), sorted(shut)[:20], sorted(wrong)[:20])
+
+
+def test_licenses_in_one_word(docs):
+    texts = {
+        "LGPLv3": "lgpl-3.0", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3.0", "MPLv2": "mpl-2.0", "MPL2": "mpl-2.0",
+        "GPL2": "gpl-2.0", "GPL3": "gpl-3.0", "EPL1": "epl-1.0", "OSL3": "osl-3.0",
+        "No part of this book may be reproduced": "proprietary",
+    }
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(docs(*texts)).collect()}
+    for i, label in enumerate(texts.values()):
+        assert (rows[i]["labels"], len(rows[i]["spans"])) == (label, 1) and rows[i]["score"] > 0
+
+
 def test_exact_copies(docs, odd, none):
     rows = sorted(tuple(r) for r in exact_dedup.exact_duplicates(docs("a b", "ab ", "", None, "\t"), 1).drop("text_sha256").collect())
     assert rows == [(0, 0, 2, True), (1, 0, 2, False), (2, 4, 3, False), (3, 4, 3, False), (4, 4, 3, True)]
