@@ -1216,6 +1216,20 @@ UNION ALL SELECT 'privilege_escalations', x_auid::varchar, '{{"auid":' || x_auid
 FROM alerts WHERE technique = 'T1548' AND x_auid IS NOT NULL
 UNION ALL SELECT 'ssh_attackers', ip, '{{' || coalesce('"attempts":' || attempts, '') || coalesce(',"attack_speed":"' || attack_speed || '"', '') || '}}'
 FROM ({_LAST_ATTACK_SQL})"""
+_FIELDS = {
+    "summary": "total_techniques BIGINT, detected BIGINT, missed BIGINT, total_alerts BIGINT, severity_counts STRUCT<"
+    + ", ".join(f"{s}: BIGINT" for s in reversed(K.SEVERITIES)) + ">",
+    "privilege_escalations": "auid BIGINT, euid BIGINT, technique STRING, comm STRING",
+    "ssh_attackers": "attempts BIGINT, attack_speed STRING",
+}
+
+
+def _with_fields(rows: DataFrame, part: str) -> DataFrame:
+    """Rows of a report whose parts in _FIELDS have those fields only."""
+    value = c("value")
+    for name, fields in _FIELDS.items():
+        value = F.when(c(part) == name, F.to_json(F.from_json("value", fields))).otherwise(value)
+    return rows.withColumn("value", value)
 
 
 @query(
@@ -1228,7 +1242,9 @@ FROM {_TECHNIQUES_VIEW_SQL}
 UNION ALL {_USER_VIEW_SQL}""",
 )
 def vw_1(logs):
-    return R.full_report(logs.stored_alerts)
+    """Of the report, the sections and fields of the SQL; vw_7 has all."""
+    report = R.full_report(logs.stored_alerts).filter(~c("section").isin("attacker_ips", "alerts"))
+    return _with_fields(report, "section")
 
 
 @query("vw_2", _SUMMARY_SQL)
@@ -1248,7 +1264,8 @@ def vw_4(logs):
 
 @query("vw_5", _USER_VIEW_SQL)
 def vw_5(logs):
-    return R.user_activity_view(logs.stored_alerts)
+    """Of the user activity, the fields of the SQL; vw_7 has all."""
+    return _with_fields(R.user_activity_view(logs.stored_alerts), "part")
 
 
 @query("vw_6", _LAST_ATTACK_SQL)
@@ -1256,6 +1273,77 @@ def vw_6(logs):
     return _attacker_rows(R.attackers_view(logs.stored_alerts))
 
 
+# The whole report. The time of the run, which SQL does not have, is a given one, and an alert's is that of its event.
+_REPORT_NOW = "2026-01-15 10:30:00.123456"
+
+
+def _iso_sql(micros: str) -> str:
+    return f"strftime(make_timestamp({micros}), '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+def _json_sql(**fields: str) -> str:
+    """An object of the fields that are not null."""
+    pairs = [f"""CASE WHEN ({e}) IS NOT NULL THEN '"{name}":' || to_json({e})::varchar END""" for name, e in fields.items()]
+    return f"'{{' || concat_ws(',', {', '.join(pairs)}) || '}}'"
+
+
+_TIMES = dict(first_seen=_iso_sql("first_seen"), last_seen=_iso_sql("last_seen"))
+_ATTACK = dict(attempts="attempts", attack_speed="attack_speed", **_TIMES)
+_ALERT = dict(
+    technique="technique", severity="severity", timestamp=_iso_sql("first_seen"), **_TIMES, description="description",
+    log_source="log_source", dedup_key="dedup_key",
+    source_ip="coalesce(nullif(regexp_extract(extra, '(?:^|;)source_ip=([^;]*)', 1), ''), source_ip)", username="username",
+    auid="x_auid", rule_name="rule_id", reason="description", auid_human="x_auid::varchar", attempts="x_attempts",
+    attack_speed="x_speed", cron_file="x_file", signal="x_signal", privilege_escalated="technique = 'T1548'",
+    name_suspicious="coalesce(x_signal = 'name_mismatch', false)", extra="extra",
+)
+_REPORT_SQL = f"""SELECT 'summary' AS section, '' AS key, '{{"total_techniques":12,"detected":' || detected || ',"missed":' || missed
+  || ',"coverage_percent":' || coverage_percent || ',"total_alerts":' || total_alerts
+  || ',"severity_counts":{{"CRITICAL":' || critical || ',"HIGH":' || high || ',"MEDIUM":' || medium || ',"LOW":' || low || ',"INFO":' || info
+  || '}},"source_counts":{{' || concat_ws(',', {", ".join(f"""CASE WHEN {s} > 0 THEN '"{s}":' || {s} END""" for s in K.LOG_SOURCES)})
+  || '}},"generated_at":"{_REPORT_NOW.replace(" ", "T")}Z"}}' AS value
+FROM ({_SUMMARY_SQL})
+UNION ALL SELECT 'techniques', technique, {_json_sql(name="name", detected="detected", status="status", alert_count="alert_count")}
+FROM {_TECHNIQUES_VIEW_SQL}
+UNION ALL SELECT 'attacker_ips', ip, {_json_sql(**_ATTACK)} FROM {_ATTACKERS_SQL}
+UNION ALL SELECT 'alerts', rule_id, {_json_sql(**_ALERT)} FROM alerts
+UNION ALL SELECT 'auid_alert_counts', x_auid::varchar, '{{"alert_count":' || count(*) || '}}' FROM alerts WHERE x_auid IS NOT NULL GROUP BY x_auid
+UNION ALL SELECT 'user_technique_map', auid::varchar, {_json_sql(techniques="string_split(techniques, ',')")} FROM {_USER_TECHNIQUES_SQL}
+UNION ALL SELECT 'privilege_escalations', x_auid::varchar,
+  {_json_sql(auid="x_auid", euid="x_euid", technique="technique", comm="x_comm", timestamp=_iso_sql("first_seen"))}
+FROM alerts WHERE technique = 'T1548' AND x_auid IS NOT NULL
+UNION ALL SELECT 'ssh_attackers', ip, {_json_sql(**_ATTACK)} FROM ({_LAST_ATTACK_SQL})"""
+_ALERT_TYPES = dict(
+    auid="BIGINT", attempts="BIGINT", privilege_escalated="BOOLEAN", name_suspicious="BOOLEAN", extra="MAP<STRING,STRING>"
+)
+_ALERT_FIELDS = ", ".join(f"{name} {_ALERT_TYPES.get(name, 'STRING')}" for name in _ALERT)
+
+
+def _report_rows(report: DataFrame) -> DataFrame:
+    """Rows of the report, of alerts the fields that SQL has and their extra fields as text."""
+    a = F.from_json("value", _ALERT_FIELDS)
+    shown = F.to_json(F.struct(*[(map_text(a[x]) if x == "extra" else a[x]).alias(x) for x in _ALERT]))
+    return report.withColumn("value", F.when(c("section") == "alerts", shown).otherwise(c("value")))
+
+
+def _report_input(logs: Logs) -> tuple[DataFrame, Column]:
+    return logs.stored_alerts.withColumn("timestamp", c("first_seen")), F.lit(_REPORT_NOW).cast("timestamp")
+
+
+@query("vw_7", _REPORT_SQL)
+def vw_7(logs):
+    return _report_rows(R.full_report(*_report_input(logs)))
+
+
+@query("snk_5", _REPORT_SQL)
+def snk_5(logs):
+    """All five parts of the report, written and read back."""
+    folder = shared_folder(logs.spark, "report")
+    alerts, now = _report_input(logs)
+    R.write_report(alerts, folder, now)
+    return _report_rows(R.report_rows(R.read_report(logs.spark, folder, R.report_parts(alerts, now))))
+
+
 # --- Sigma filters -------------------------------------------------------------------------------
 def _sigma(name: str, source: str, where: str) -> None:
     table = {K.AUTH_LOG: "auth", K.AUDITD: "audit", K.CLOUDTRAIL: "cloud"}[source]

@@ -1,5 +1,7 @@
 """Rollups and views over the alert table."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,6 +10,8 @@ from emberwatch.functions.predicates import threat_score
 
 c = F.col
 N_TECHNIQUES = len(K.TECHNIQUES)
+# How a report's JSON shows times: to the microsecond, as they are stored.
+REPORT_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def technique_names(spark: SparkSession) -> DataFrame:
@@ -189,8 +193,8 @@ def display_alerts(alerts: DataFrame) -> DataFrame:
     extra = c("extra")
     text = lambda k: extra[k].alias(k)
     return alerts.select(
-        "rule_id", "technique", "severity", "timestamp", "first_seen", "last_seen",
-        "description", "log_source", "dedup_key", "ord",
+        "alert_id", "rule_id", "technique", "severity", "timestamp", "first_seen", "last_seen",
+        "description", "raw_log", "log_source", "dedup_key", "ord",
         F.coalesce(extra["source_ip"], c("source_ip")).alias("source_ip"),
         "username",
         extra["auid"].cast("bigint").alias("auid"),
@@ -280,40 +284,57 @@ def user_activity_view(alerts: DataFrame) -> DataFrame:
     )
     raised = escalations(alerts).select(
         F.lit("privilege_escalations"), c("auid_human"),
-        F.to_json(F.struct("auid", "euid", "technique", "comm")),
+        F.to_json(F.struct("auid", "euid", "technique", "comm", "timestamp"), REPORT_JSON),
     )
     attackers = attacker_table(alerts).select(
-        F.lit("ssh_attackers"), c("ip"), F.to_json(F.struct("attempts", "attack_speed"))
+        F.lit("ssh_attackers"), c("ip"),
+        F.to_json(F.struct("attempts", "attack_speed", "first_seen", "last_seen"), REPORT_JSON),
     )
     return counts.union(techniques).union(raised).union(attackers)
 
 
-def write_report(alerts: DataFrame, folder: str) -> None:
-    """The report as JSON: a one-row summary, the techniques, and one folder per growing part."""
-    parts = {
-        "summary": summary_view(alerts).withColumn("generated_at", F.current_timestamp()),
+def report_parts(alerts: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
+    """The whole report: a one-row summary, the techniques, and the parts that grow. `now` is the
+    time the summary gives for it."""
+    now = F.current_timestamp() if now is None else now
+    return {
+        "summary": summary_view(alerts).withColumn("generated_at", now),
         "techniques": techniques_view(alerts),
         "attacker_ips": attacker_list(alerts).drop("ord"),
         "alerts": alerts_view(alerts).drop("ord"),
         "user_activity": user_activity_view(alerts),
     }
-    for name, frame in parts.items():
-        frame.write.mode("overwrite").json(f"{folder}/{name}")
-
-
-def full_report(alerts: DataFrame) -> DataFrame:
-    """The report as rows (section, key, value as JSON): summary, techniques, user activity."""
-    summary = summary_view(alerts).select(
-        F.lit("summary").alias("section"),
-        F.lit("").alias("key"),
-        F.to_json(
-            F.struct("total_techniques", "detected", "missed", "total_alerts", "severity_counts")
-        ).alias("value"),
-    )
-    techniques = techniques_view(alerts).select(
-        F.lit("techniques"), c("technique"),
-        F.to_json(F.struct("name", "detected", "status", "alert_count")),
-    )
-    return summary.union(techniques).union(user_activity_view(alerts).select("part", "key", "value"))
 
 
+def write_report(alerts: DataFrame, folder: str, now: Column | None = None) -> None:
+    """The report as JSON, one folder per part."""
+    for name, frame in report_parts(alerts, now).items():
+        frame.write.mode("overwrite").options(**REPORT_JSON).json(f"{folder}/{name}")
+
+
+def read_report(spark: SparkSession, folder: str, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What `write_report` stored, with the columns of `parts`."""
+    return {
+        name: spark.read.schema(frame.schema).options(**REPORT_JSON).json(f"{folder}/{name}")
+        for name, frame in parts.items()
+    }
+
+
+def report_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """The parts of a report as rows (section, key, value as JSON). The user activity has such rows
+    already and keeps the names of its four parts."""
+    keys = {"summary": None, "techniques": "technique", "attacker_ips": "ip", "alerts": "rule_id"}
+    rows = [
+        parts[name].select(
+            F.lit(name).alias("section"),
+            (c(key) if key else F.lit("")).alias("key"),
+            F.to_json(F.struct(*[x for x in parts[name].columns if x != key]), REPORT_JSON).alias("value"),
+        )
+        for name, key in keys.items()
+    ]
+    return reduce(DataFrame.union, [*rows, parts["user_activity"].select("part", "key", "value")])
+
+
+def full_report(alerts: DataFrame, now: Column | None = None) -> DataFrame:
+    """The whole report as rows (section, key, value as JSON)."""
+    return report_rows(report_parts(alerts, now))
