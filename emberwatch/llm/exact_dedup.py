@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from emberwatch.llm.common import BLANKS, drop, stored
 
+#: A cell is told by so many bits of the hash at most, so that it stays a positive number.
+MOST_BITS = 63
+
 
 def normalised(text: Column) -> Column:
     """The text without blanks; null counts as empty."""
@@ -15,27 +18,35 @@ def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     """(cell, bucket) for each occupied range of hash prefixes, and the bits that make a cell.
 
     `keys` has one row per distinct hash `h`. The directory starts with as many bits as an even spread would
-    need; buckets over capacity are split by one more bit, which doubles the cells that tell them apart, until
-    none is overfull or the cells are used up. Copies of a text share one key and never overfill a bucket.
+    need; buckets over capacity are split by one more bit until none is overfull. Where one is that has no more
+    bits, the cells are doubled first, four times at once. Copies of a text share one key and never overfill a
+    bucket.
     """
     start = max(0, (keys.count() // capacity).bit_length())
     bits = start + 4
-    cells = stored(
-        keys.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("cell")).agg(F.count("*").alias("n"))
-        .withColumn("depth", F.lit(start)),
-        "cells",
-    )
-    bucket = F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)")
+
+    def counted() -> DataFrame:
+        return keys.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("cell")).agg(F.count("*").alias("n"))
+
+    cells = stored(counted().withColumn("depth", F.lit(start)), "cells")
     while True:
-        marked = cells.withColumn("bucket", bucket)
+        marked = cells.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)"))
         overfull = (
             marked.groupBy("bucket").agg(F.sum("n").alias("held"), F.max("depth").alias("at"))
-            .where((F.col("held") > capacity) & (F.col("at") < bits)).select("bucket", "at")
+            .where((F.col("held") > capacity) & (F.col("at") < MOST_BITS)).select("bucket", "at")
         )
-        if overfull.isEmpty():
+        deepest = overfull.agg(F.max("at")).first()[0]
+        if deepest is None:
             return marked.select("cell", "bucket"), bits
-        deeper = F.col("depth") + F.col("at").isNotNull().cast("int")
-        split = stored(marked.join(overfull, "bucket", "left").select("cell", "n", deeper.alias("depth")), "cells")
+        if deepest < bits:
+            deeper = F.col("depth") + F.col("at").isNotNull().cast("int")
+            split = marked.join(overfull, "bucket", "left").select("cell", "n", deeper.alias("depth"))
+        else:
+            more = min(4, MOST_BITS - bits)
+            bits += more
+            known = cells.select(F.col("cell").alias("wide"), "depth")
+            split = counted().join(known, F.shiftright("cell", more) == F.col("wide")).select("cell", "n", "depth")
+        split = stored(split, "cells")
         drop(cells)
         cells = split
 

@@ -139,6 +139,18 @@ def test_directory_splits_overfull_buckets(spark):
     assert cells.select("cell").distinct().count() == cells.count()
 
 
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    # A third of the hashes share their first 40 bits, more than the cells of the start can tell apart.
+    near = F.lit(0x1234567890 << 24).cast("long") + F.col("id") * 4096
+    keys = spark.range(3000).select(F.when(F.col("id") < 1000, near).otherwise(F.xxhash64("id")).alias("h"))
+    index = exact_dedup.build_index(keys, 100)
+    assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 100
+    assert sorted(r["h"] for r in index.collect()) == sorted(r["h"] for r in keys.collect())
+    ranges = sorted(tuple(r) for r in index.selectExpr("bucket", "h & 9223372036854775807 as low", "h < 0 as high")
+                    .groupBy("bucket").agg(F.min(F.struct("high", "low")), F.max(F.struct("high", "low"))).collect())
+    assert all(one[2] < two[1] for one, two in zip(ranges, ranges[1:]))  # buckets own ranges of hashes
+
+
 def test_water_fill():
     assert mixing.water_fill([3, 1, 2], [20, 20, 20], 45) == pytest.approx([20, 25 / 3, 50 / 3])
 
