@@ -305,6 +305,37 @@ def src_8(logs):
     return alert_rows(logs.stored_alerts)
 
 
+@query(
+    "src_9",
+    "SELECT seq % 2 + 1 AS run, event_name, source_ip, raw ->> '$.eventTime' AS event_time FROM cloud_all",
+)
+def src_9(logs):
+    """Half of the records land, a run takes them, then the others land in files named later and a
+    second run takes only those."""
+    path, out = shared_folder(logs.spark, "cloud"), shared_folder(logs.spark, "records")
+    newest = None
+    for half in (0, 1):
+        (
+            S.cloud_lines(logs.base).filter(c("seq") % 2 == half)
+            .groupBy(F.expr(f"seq div {BUNDLE}").alias("bundle"))
+            .agg(F.array_join(F.collect_list("value"), ",").alias("records"))
+            .select(F.concat(F.lit('{"Records":['), c("records"), F.lit("]}")).alias("value"))
+            .write.mode("append").option("maxRecordsPerFile", 1).option("compression", "gzip")
+            .option("mapreduce.output.basename", f"landing-{half}").text(path)
+        )
+        records, _ = files.read_cloud_files(logs.spark, path, after=newest)
+        records.select(
+            F.lit(half + 1).cast("bigint").alias("run"), cloud_fn.typed_record(c("record")).alias("r")
+        ).write.mode("append").parquet(out)
+        newest = files.last_file_name(logs.spark, path).first()["last_file"]
+    return logs.spark.read.parquet(out).select(
+        "run",
+        c("r.eventName").alias("event_name"),
+        c("r.sourceIPAddress").alias("source_ip"),
+        c("r.eventTime").alias("event_time"),
+    )
+
+
 # --- sinks ---------------------------------------------------------------------------------------
 @query("snk_1", f"SELECT {D.ALERT_COLUMNS} FROM deduped")
 def snk_1(logs):
