@@ -1,16 +1,14 @@
 import os
 import sys
-from datetime import datetime, timedelta
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
 
 from emberwatch import constants as K  # noqa: E402
 from emberwatch import schemas  # noqa: E402
 from emberwatch.session import local_session  # noqa: E402
-
-START = datetime(2026, 1, 15, 10, 30, 0)
+from events import table  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,16 +19,6 @@ def spark():
     session.stop()
 
 
-def at(seconds):
-    return START + timedelta(seconds=seconds)
-
-
-def table(spark, schema, defaults, rows):
-    """Typed events from a few fields each; `seq` is the place in the list."""
-    full = [{"ts": START, "raw": "line", "extra": {}, "seq": i, **defaults, **r} for i, r in enumerate(rows)]
-    return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in full], schema)
-
-
 @pytest.fixture
 def auth(spark):
     return lambda *rows: table(

@@ -18,7 +18,7 @@ from emberwatch.functions.times import as_utc, iso_time
 def test_auth_lines(lines):
     events, rejects = normalize_auth(
         lines(
-            "Jan 15 10:30:00 web sshd[12345]: Failed password for root from 178.175.167.68 port 22 ssh2",
+            "Jan 15 10:30:00 web sshd[12345]: Failed password for root from 198.51.100.68 port 22 ssh2",
             "  Jan  5 10:30:00 web sshd[1]: Failed password for invalid user bob from 2001:db8::1 port 9 ssh2 ",
             "Jan 15 10:31:05 web useradd[12346]: new user: name=attacker, UID=1001, GID=1001",
             "Jan 15 10:31:05 web sudo[7]: ubuntu : TTY=pts/0 ; PWD=/home/u ; USER=root ; COMMAND=/usr/sbin/useradd x ",
@@ -37,7 +37,7 @@ def test_auth_lines(lines):
     first = by_seq[0]
     assert (first.hostname, first.process, first.pid) == ("web", "sshd", 12345)
     assert (first.auth_result, first.username, first.source_ip, first.port, first.auth_method) == (
-        "failed", "root", "178.175.167.68", 22, "password",
+        "failed", "root", "198.51.100.68", 22, "password",
     )
     assert first.ts == datetime(2026, 1, 15, 10, 30)
     assert (by_seq[1].username, by_seq[1].source_ip) == ("bob", "2001:db8::1")

@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import START, at
+from events import START, at
 
 from emberwatch import constants as K
 from emberwatch.plans.rules import rule_book
@@ -22,7 +22,7 @@ def failures(ip, times, **more):
 # --- password guessing ---------------------------------------------------------------------------
 def test_five_failures_in_a_minute_fire(auth):
     events = auth(
-        *failures("178.175.167.68", range(0, 25, 5)),
+        *failures("198.51.100.68", range(0, 25, 5)),
         *failures("10.0.0.4", range(0, 20, 5)),
         *failures("10.0.0.5", range(0, 100, 20)),
         *failures("10.0.0.6", [0, 15, 30, 45, 60]),
@@ -31,15 +31,15 @@ def test_five_failures_in_a_minute_fire(auth):
         *failures("10.0.0.7", [2, 3]), *failures("10.0.0.8", [2, 3]),
     )
     found = {a.source_ip: a for a in run("det_001", events)}
-    assert set(found) == {"178.175.167.68", "10.0.0.6"}
-    alert = found["178.175.167.68"]
+    assert set(found) == {"198.51.100.68", "10.0.0.6"}
+    alert = found["198.51.100.68"]
     assert alert.extra["attempt_count"] == "5"
     assert alert.extra["attack_speed"] == "slow_scan"
     assert alert.severity == "MEDIUM"
     assert (alert.first_seen, alert.last_seen) == (at(0), at(20))
-    assert alert.dedup_key == "178.175.167.68"
+    assert alert.dedup_key == "198.51.100.68"
     assert alert.description == (
-        "5 failed SSH attempts from 178.175.167.68 in 20s — slow_scan"
+        "5 failed SSH attempts from 198.51.100.68 in 20s — slow_scan"
     )
 
 
@@ -61,7 +61,7 @@ def test_speed_follows_the_rate(auth):
 
 
 def test_addresses_apart(auth):
-    rows = [r for i in range(5) for r in failures(f"178.175.167.{68 + i}", [i * 5])]
+    rows = [r for i in range(5) for r in failures(f"198.51.100.{68 + i}", [i * 5])]
     assert run("det_001", auth(*rows)) == []
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from conftest import at
+from events import at
 from emberwatch import constants as K
 from emberwatch.functions.honeypot import login_attempts
 from emberwatch.operators.dedup import dedup_key, keep_first, new_alerts

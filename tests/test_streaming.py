@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from events import at
 from emberwatch.functions.audit import audit_line_time, correlate_audit, type_audit
 from emberwatch.functions.honeypot import sessionize
 from emberwatch.operators.burst import burst_windows
