@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberwatch.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, token_store, warc_pages
+from emberwatch.llm import bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, packing, token_store, warc_pages
 from emberwatch.llm.common import read
 from emberwatch.llm.embedding_dedup import near_duplicates
 from emberwatch.llm.jaccard_join import jaccard_components
@@ -68,11 +68,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = packing.pieces(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return packing.place(found).withColumn("length", F.col("length").cast("long")).drop("row")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_license_scan, op3_exact_dedup, op4_source_mix, op5_jaccard_join, op6_warc,
         op7_token_files, op8_line_dedup, op9_embedding_dedup, op10_bpe,
+        op13_best_fit_packing,
     )
 }
 
