@@ -1,11 +1,12 @@
-"""The queries over the ten operators, and SQL for those that SQL can express."""
+"""The queries over the thirteen operators, and SQL for those that SQL can express."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.llm import (
-    bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, packing, spelling, token_store, warc_pages,
+    bpe, exact_dedup, language_id, license_scan, line_dedup, mixing, packing, spelling, token_store,
+    turn_repair, warc_pages,
 )
 from emberwatch.llm.common import read
 from emberwatch.llm.embedding_dedup import near_duplicates
@@ -70,6 +71,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(read(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.spelling_variants(spelling.counted_words(read(spark, sf_dir, "documents")))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -86,7 +91,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_license_scan, op3_exact_dedup, op4_source_mix, op5_jaccard_join, op6_warc,
         op7_token_files, op8_line_dedup, op9_embedding_dedup, op10_bpe,
-        op12_spelling_variants, op13_best_fit_packing,
+        op11_turn_repair, op12_spelling_variants, op13_best_fit_packing,
     )
 }
 
