@@ -34,12 +34,12 @@ c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
 
 WEEK, AUDIT_WINDOW = D.WEEK, D.AUDIT_W
-# The derived logs are sparse, so windows are days and not seconds; chunks are as short as allowed.
+# The derived logs are sparse, so windows are days and not seconds.
 PARAMETERS = {
-    "det_001": dict(window_seconds=WEEK, chunk_seconds=WEEK),
+    "det_001": dict(window_seconds=WEEK),
     "det_007": dict(window_seconds=WEEK),
-    "det_012": dict(threshold=D.AUDIT_N, window_seconds=AUDIT_WINDOW, chunk_seconds=AUDIT_WINDOW),
-    "det_013": dict(threshold=D.AUDIT_N, window_seconds=AUDIT_WINDOW, chunk_seconds=AUDIT_WINDOW),
+    "det_012": dict(threshold=D.AUDIT_N, window_seconds=AUDIT_WINDOW),
+    "det_013": dict(threshold=D.AUDIT_N, window_seconds=AUDIT_WINDOW),
 }
 
 
@@ -986,7 +986,7 @@ D.burst(
 
 def _error_bursts(logs: Logs, **columns) -> DataFrame:
     errors = logs.base.filter("event_type = 'error'").withColumnRenamed("event_id", "seq")
-    return burst_windows(errors, ["user_id"], 5, WEEK, chunk_seconds=WEEK, **columns)
+    return burst_windows(errors, ["user_id"], 5, WEEK, **columns)
 
 
 @query("win_1", "SELECT user_id, first_t AS first_seen, t AS last_seen, seq, value FROM errors")

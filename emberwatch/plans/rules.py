@@ -44,14 +44,12 @@ def ssh_brute_force(
     auth: DataFrame,
     threshold: int = K.SSH_THRESHOLD,
     window_seconds: int = K.SSH_WINDOW_SECONDS,
-    chunk_seconds: int | None = None,
 ) -> DataFrame:
     failed = auth.filter((c("auth_result") == "failed") & (c("source_ip") != "")).select(
         "source_ip", "ts", "seq", "username"
     )
     hits = burst_windows(
-        failed, ["source_ip"], threshold, window_seconds, last=["username"],
-        chunk_seconds=chunk_seconds,
+        failed, ["source_ip"], threshold, window_seconds, last=["username"]
     )
     span = F.unix_micros("last_seen") - F.unix_micros("first_seen")
     rate = P.attack_rate(c("count"), span)
@@ -235,13 +233,12 @@ def _bursts_by_auid(
     members: list[str],
     threshold: int,
     window_seconds: int,
-    chunk_seconds: int | None,
 ) -> DataFrame:
     chosen = audit.filter(~c("auid").isin(K.UNSET_AUID, 0) & condition).select(
         "auid", "ts", "seq", *members
     )
     hits = burst_windows(
-        chosen, ["auid"], threshold, window_seconds, members=members, chunk_seconds=chunk_seconds
+        chosen, ["auid"], threshold, window_seconds, members=members
     )
     for name in members:
         used = F.filter(f"{name}_members", lambda v: v != "") if name == "name" else c(f"{name}_members")
@@ -263,10 +260,9 @@ def account_enumeration(
     audit: DataFrame,
     threshold: int = K.ENUMERATION_THRESHOLD,
     window_seconds: int = K.ENUMERATION_WINDOW_SECONDS,
-    chunk_seconds: int | None = None,
 ) -> DataFrame:
     hits = _bursts_by_auid(
-        audit, enumeration_event(), ["comm", "name"], threshold, window_seconds, chunk_seconds
+        audit, enumeration_event(), ["comm", "name"], threshold, window_seconds
     )
     row = alert(
         rule_id=K.RULE_ENUMERATION,
@@ -296,10 +292,9 @@ def system_discovery(
     audit: DataFrame,
     threshold: int = K.DISCOVERY_THRESHOLD,
     window_seconds: int = K.DISCOVERY_WINDOW_SECONDS,
-    chunk_seconds: int | None = None,
 ) -> DataFrame:
     hits = _bursts_by_auid(
-        audit, discovery_event(), ["comm"], threshold, window_seconds, chunk_seconds
+        audit, discovery_event(), ["comm"], threshold, window_seconds
     )
     row = alert(
         rule_id=K.RULE_DISCOVERY,

@@ -5,7 +5,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # Log times are UTC; window arithmetic must not move with the driver's zone.
@@ -84,3 +84,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate tables through Spark's own file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, its lineage ends
+    here, and it survives a lost executor."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

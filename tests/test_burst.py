@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emberwatch.operators import burst
 from emberwatch.operators.burst import burst_windows
 
 
@@ -40,42 +41,62 @@ def random_rows(rng, keys, n, window):
 def found(spark, rows, n, window, chunk):
     events = spark.createDataFrame(rows, "k INT, t BIGINT, seq BIGINT")
     events = events.withColumn("ts", F.timestamp_micros("t")).drop("t")
-    hits = burst_windows(events, ["k"], n, window, members=["seq"], chunk_seconds=chunk)
+    hits = burst_windows(events, ["k"], n, window, members=["seq"], chunk_rows=chunk)
     got = hits.select("k", F.unix_micros("first_seen"), F.unix_micros("last_seen"), "seq", "seq_members")
     return sorted(tuple(r) for r in got.collect())
 
 
 @pytest.mark.parametrize(
-    "n, window, chunk", [(5, 60, 60), (5, 60, 130), (3, 10, 10), (2, 5, 7), (1, 5, 5), (4, 20, None)]
+    "n, window, chunk", [(5, 60, 1), (5, 60, 3), (3, 10, 4), (2, 5, 7), (1, 5, 5), (4, 20, 4096)]
 )
 def test_random(spark, n, window, chunk):
     rows = random_rows(random.Random(n * 1000 + window), 60, n, window)
     assert found(spark, rows, n, window, chunk) == sequential(rows, n, window)
 
 
-def test_unbroken_burst_over_many_chunks(spark):
-    """Every row is a candidate, so each chunk depends on all before it."""
+def test_unbroken_burst_over_many_chunks(spark, monkeypatch):
+    """Every row is a candidate, so each chunk depends on all before it, up three levels of the tree."""
+    monkeypatch.setattr(burst, "FAN", 8)
     rows = [(1, i * 7_000_000, i) for i in range(1003)]
-    assert found(spark, rows, 5, 60, 60) == sequential(rows, 5, 60)
+    assert found(spark, rows, 5, 60, 2) == sequential(rows, 5, 60)
 
 
 def test_equal_times(spark):
+    """A moment with many rows is cut like any other."""
     rows = [(1, 0, i) for i in range(23)] + [(1, 60_000_000, i) for i in range(23, 26)]
-    assert found(spark, rows, 5, 60, 60) == sequential(rows, 5, 60)
-
-
-def test_run_count_bound(spark):
-    """However many rows a chunk has, its list of runs stays within the stated bound."""
-    from emberwatch.operators.burst import _taken_ranks, _with_halo
-
-    n, window, chunk = 5, 60, 600
-    rng = random.Random(3)
-    t, rows = 0, []
-    for i in range(4000):
-        t += rng.choice([1, 14_000_000, 15_000_000, 16_000_000])
-        rows.append((1, t, i))
-    events = spark.createDataFrame(rows, "k INT, t BIGINT, seq BIGINT")
-    events = events.withColumn("ts", F.timestamp_micros("t")).drop("t")
-    placed = _with_halo(events, window * 1_000_000, chunk * 1_000_000)
-    most = _taken_ranks(placed, ["k"], n, window * 1_000_000).agg(F.max(F.size("picks"))).first()[0]
-    assert 1 < most <= (n - 1) * (chunk / window + 2) + 1
+    assert found(spark, rows, 5, 60, 4) == sequential(rows, 5, 60)
+
+
+def test_rows_without_time_or_key_belong_to_no_key(spark):
+    events = spark.sql("SELECT cast(null AS int) AS k, timestamp_seconds(id) AS ts, id AS seq FROM range(9)")
+    events = events.unionByName(spark.sql("SELECT 1 AS k, cast(null AS timestamp) AS ts, id AS seq FROM range(9)"))
+    assert burst_windows(events, ["k"], 2, 60).count() == 0
+
+
+def test_scan_against_a_loop(spark, monkeypatch):
+    """Random maps of random numbers of chunks, composed in a tree and one after the other."""
+    monkeypatch.setattr(burst, "FAN", 3)
+    rng = random.Random(4)
+    maps = {k: [[rng.randrange(4) for _ in range(4)] for _ in range(rng.choice([1, 2, 9, 40]))] for k in range(9)}
+    rows = [(k, i, m) for k, own in maps.items() for i, m in enumerate(own)]
+    got = burst.entries(spark.createDataFrame(rows, "k INT, nth BIGINT, exits ARRAY<INT>"), ["k"]).collect()
+    want = []
+    for k, own in maps.items():
+        entry = 0
+        for i, m in enumerate(own):
+            want.append((k, i, entry))
+            entry = m[entry]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_one_key_with_all_rows_over_100_000_chunks(spark):
+    """An unbroken burst of one key: hits are every fifth row, and no row holds more than a chunk or
+    FAN maps."""
+    n = 300_000
+    events = spark.sql(f"SELECT 1 AS k, timestamp_seconds(id) AS ts, id AS seq FROM range({n})")
+    rows = burst.in_order(events, ["k"], [])
+    sizes = [r[0] for r in rows.groupBy(F.shiftright("place", 33)).count().select("count").collect()]
+    assert len(sizes) > 1 and max(sizes) < n
+    hits = burst_windows(events, ["k"], 5, 60, chunk_rows=3)
+    found = hits.agg(F.count("*"), F.count_if(F.col("seq") % 5 == 4), F.count_distinct("seq")).first()
+    assert tuple(found) == (n // 5, n // 5, n // 5)
