@@ -257,18 +257,53 @@ def src_4(logs):
     return events.select("session_id", "eventid", "src_ip", micros("ts"))
 
 
+def _write_logs(lines: DataFrame, folder: str) -> None:
+    """One log for each of four hosts, whole and in the order of `part` and `seq`, so that a later
+    call with more parts leaves the files longer than before."""
+
+    def write(rows) -> None:
+        from emberwatch.sources.growing import opened as file_system
+
+        opened = {}
+        for row in rows:
+            if row["host"] not in opened:
+                place, path = file_system(f"{folder}/auth-{row['host']}.log")
+                place.create_dir(path.rpartition("/")[0])
+                opened[row["host"]] = place.open_output_stream(path)
+            opened[row["host"]].write(row["value"].encode() + b"\n")
+        for out in opened.values():
+            out.close()
+
+    hosts = lines.withColumn("host", c("seq") % 4).repartition("host")
+    hosts.sortWithinPartitions("host", "part", "seq").foreachPartition(write)
+
+
+def _rotate(spark: SparkSession, folder: str) -> None:
+    """Rename the logs in a folder, as a log rotation does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(path):
+        if found.getPath().getName().endswith(".log"):
+            files.rename(found.getPath(), found.getPath().suffix(".1"))
+
+
 @query("src_5", "SELECT raw AS value FROM auth_lines")
 def src_5(logs):
-    """Two landings, two runs on one checkpoint: every line arrives once."""
+    """Logs that grow, are rotated with lines not read yet, and begin anew: three runs on one
+    checkpoint give every line once."""
+    from emberwatch.sources import growing
     from emberwatch.streaming.run import run_available
 
-    landing = shared_folder(logs.spark, "landing")
-    out, state = shared_folder(logs.spark, "lines"), shared_folder(logs.spark, "state")
-    lines = S.auth_lines(logs.base)
-    for half in (0, 1):
-        lines.filter(c("seq") % 2 == half).select("value").write.mode("append").text(landing)
-        run_available(files.stream_lines(logs.spark, landing), out, state)
-    return logs.spark.read.parquet(out).select("value")
+    spark = logs.spark
+    folder, out, state = (shared_folder(spark, name) for name in ("logs", "lines", "state"))
+    lines = S.auth_lines(logs.base).withColumn("part", c("seq") % 7)
+    for parts, rotate in (("part < 2", False), ("part < 4", False), ("part < 5", True), ("part >= 5", False)):
+        _write_logs(lines.filter(parts), folder)
+        if rotate:
+            _rotate(spark, folder)
+        else:
+            run_available(growing.follow(spark, f"{folder}/auth-*"), out, state)
+    return spark.read.parquet(out).select("value")
 
 
 @query(
