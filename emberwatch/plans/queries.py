@@ -257,7 +257,7 @@ def src_4(logs):
     return events.select("session_id", "eventid", "src_ip", micros("ts"))
 
 
-def _write_logs(lines: DataFrame, folder: str) -> None:
+def _write_logs(lines: DataFrame, folder: str, host: Column) -> None:
     """One log for each of four hosts, whole and in the order of `part` and `seq`, so that a later
     call with more parts leaves the files longer than before."""
 
@@ -267,14 +267,14 @@ def _write_logs(lines: DataFrame, folder: str) -> None:
         opened = {}
         for row in rows:
             if row["host"] not in opened:
-                place, path = file_system(f"{folder}/auth-{row['host']}.log")
+                place, path = file_system(f"{folder}/host-{row['host']}.log")
                 place.create_dir(path.rpartition("/")[0])
                 opened[row["host"]] = place.open_output_stream(path)
             opened[row["host"]].write(row["value"].encode() + b"\n")
         for out in opened.values():
             out.close()
 
-    hosts = lines.withColumn("host", c("seq") % 4).repartition("host")
+    hosts = lines.withColumn("host", host).repartition("host")
     hosts.sortWithinPartitions("host", "part", "seq").foreachPartition(write)
 
 
@@ -298,11 +298,11 @@ def src_5(logs):
     folder, out, state = (shared_folder(spark, name) for name in ("logs", "lines", "state"))
     lines = S.auth_lines(logs.base).withColumn("part", c("seq") % 7)
     for parts, rotate in (("part < 2", False), ("part < 4", False), ("part < 5", True), ("part >= 5", False)):
-        _write_logs(lines.filter(parts), folder)
+        _write_logs(lines.filter(parts), folder, c("seq") % 4)
         if rotate:
             _rotate(spark, folder)
         else:
-            run_available(growing.follow(spark, f"{folder}/auth-*"), out, state)
+            run_available(growing.follow(spark, f"{folder}/host-*"), out, state)
     return spark.read.parquet(out).select("value")
 
 
@@ -1447,16 +1447,19 @@ _sigma("sig_013", K.AUDITD, _ends(K.SIGMA_DISCOVERY_SUFFIXES))
 def _two_landings(
     logs: Logs, rows: DataFrame, run: Callable[[DataFrame], None], columns: list[str]
 ) -> None:
-    """Land the rows in two parts by time, and run the stream after each."""
+    """Land the rows in two parts by time, and at last a row from the end of time; run the stream
+    after each."""
+    from emberwatch.streaming.stateful import closing_row
+
     landing = shared_folder(logs.spark, "landing")
     middle = F.lit(_MIDDLE).cast("timestamp")
-    for part in (c("ts") < middle, c("ts") >= middle):
-        rows.filter(part).select(columns).write.mode("append").parquet(landing)
+    for part in (rows.filter(c("ts") < middle), rows.filter(c("ts") >= middle), closing_row(rows)):
+        part.select(columns).write.mode("append").parquet(landing)
         run(logs.spark.readStream.schema(rows.select(columns).schema).parquet(landing))
 
 
 _MIDDLE = "2024-01-16 00:00:00"
-_LATE_SECONDS = 3600
+_LATE = "1 hour"
 
 
 @query("str_1", f"SELECT rule_id, dedup_key FROM deduped WHERE rule_id = '{K.RULE_NEW_USER}'")
@@ -1495,19 +1498,18 @@ def str_2(logs):
 @query("str_3", "SELECT user_id, first_t AS first_seen, t AS last_seen, seq FROM errors")
 def str_3(logs):
     """Bursts over two runs: one that spans both is found, as in one batch."""
-    from emberwatch.streaming.run import run_batches
-    from emberwatch.streaming.stateful import Remembering, burst_step
+    from emberwatch.streaming.run import run_available
+    from emberwatch.streaming.stateful import stream_bursts
 
     errors = logs.base.filter("event_type = 'error'").withColumnRenamed("event_id", "seq")
-    out, memory = shared_folder(logs.spark, "hits"), shared_folder(logs.spark, "memory")
-    state = shared_folder(logs.spark, "state")
-    step = burst_step(["user_id"], 5, WEEK, chunk_seconds=WEEK)
-    each = Remembering(step, "user_id BIGINT, ts TIMESTAMP, seq BIGINT", out, memory, _LATE_SECONDS)
+    out, state = shared_folder(logs.spark, "hits"), shared_folder(logs.spark, "state")
     _two_landings(
-        logs, errors, lambda stream: run_batches(stream, each, state), ["user_id", "ts", "seq"]
+        logs,
+        errors,
+        lambda stream: run_available(stream_bursts(stream, "user_id", 5, WEEK, _LATE), out, state),
+        ["user_id", "ts", "seq"],
     )
-    each.finish(logs.spark)
-    hits = logs.spark.read.option("basePath", out).parquet(out)
+    hits = logs.spark.read.parquet(out)
     return hits.select("user_id", micros("first_seen"), micros("last_seen"), "seq")
 
 
@@ -1520,20 +1522,19 @@ _IDLE_SECONDS = 3 * 86_400
   login_attempt_count, command_count, chmod_x_used FROM sessions""",
 )
 def str_4(logs):
-    """Sessions of a stream, those still open at its end included. In the derived log a session goes
-    on after a close event, so that one counts like idleness."""
-    from emberwatch.streaming.run import run_batches
-    from emberwatch.streaming.stateful import Remembering, session_step
+    """Sessions of a stream, closed by idleness."""
+    from emberwatch.streaming.run import run_available
+    from emberwatch.streaming.stateful import stream_sessions
 
-    out, memory = shared_folder(logs.spark, "sessions"), shared_folder(logs.spark, "memory")
-    state = shared_folder(logs.spark, "state")
+    out, state = shared_folder(logs.spark, "sessions"), shared_folder(logs.spark, "state")
     events = logs.honeypot.events.drop("extra", "raw", "source")
-    step = session_step(_IDLE_SECONDS, after_close_seconds=_IDLE_SECONDS)
-    each = Remembering(step, events.schema, out, memory, _LATE_SECONDS)
-    _two_landings(logs, events, lambda stream: run_batches(stream, each, state), events.columns)
-    each.finish(logs.spark)
-    done = logs.spark.read.option("basePath", out).parquet(out)
-    return done.select(
+    _two_landings(
+        logs,
+        events,
+        lambda stream: run_available(stream_sessions(stream, _IDLE_SECONDS, _LATE), out, state),
+        events.columns,
+    )
+    return logs.spark.read.parquet(out).select(
         "session_id", "src_ip", micros("start_time"), micros("end_time"),
         "login_attempt_count", "command_count", "chmod_x_used",
     )
@@ -1570,46 +1571,46 @@ WHERE auth_result = 'accepted' AND failures >= 5
 )
 def str_6(logs):
     """Success after failures by event time, where the failures may lie in the run before."""
-    from emberwatch.streaming.run import run_batches
-    from emberwatch.streaming.stateful import SUCCESS_MEMORY, Remembering, success_step
+    from emberwatch.streaming.run import run_available
+    from emberwatch.streaming.stateful import stream_success_at_login
 
-    out, memory = shared_folder(logs.spark, "found"), shared_folder(logs.spark, "memory")
-    state = shared_folder(logs.spark, "state")
-    step = success_step(5, WEEK, forget_seconds=366 * 86_400)
-    each = Remembering(step, SUCCESS_MEMORY, out, memory, _LATE_SECONDS)
-    columns = ["source_ip", "username", "seq", "ts", "auth_result"]
+    out, state = shared_folder(logs.spark, "found"), shared_folder(logs.spark, "state")
+    counted = c("source_ip").isNotNull() & c("auth_result").isin("failed", "accepted")
     _two_landings(
-        logs, logs.auth.events, lambda stream: run_batches(stream, each, state), columns
+        logs,
+        logs.auth.events.filter(counted),
+        lambda stream: run_available(
+            stream_success_at_login(stream, 5, WEEK, forget_seconds=366 * 86_400, lateness=_LATE), out, state
+        ),
+        ["source_ip", "username", "seq", "ts", "auth_result"],
     )
-    each.finish(logs.spark)
-    found = logs.spark.read.option("basePath", out).parquet(out)
-    return found.select("source_ip", "username", "seq", "failures")
+    return logs.spark.read.parquet(out).select("source_ip", "username", "seq", "failures")
 
 
 @query("str_7", "SELECT serial, exe, name FROM audit_all")
 def str_7(logs):
-    """Text lines of the audit log correlated on a stream, in two landings of several files."""
-    from emberwatch.streaming.run import run_batches
-    from emberwatch.streaming.stateful import AUDIT_MEMORY, Remembering, audit_step
-
-    landing, state = shared_folder(logs.spark, "landing"), shared_folder(logs.spark, "state")
-    out, memory = shared_folder(logs.spark, "events"), shared_folder(logs.spark, "memory")
-    correlate = Remembering(audit_step, AUDIT_MEMORY, out, memory, _LATE_SECONDS)
-
-    def each(lines: DataFrame, batch: int) -> None:
-        numbered = files.number_batch(lines, batch, order="name")
-        timed = numbered.withColumn("ts", audit_fn.audit_line_time(c("value")))
-        correlate(timed.filter("ts is not null"), batch)
+    """Growing audit logs of four hosts, followed and correlated: the first run ends between the
+    lines of an event, the last one with a line from the end of time."""
+    from emberwatch.sources import growing
+    from emberwatch.streaming.run import run_available
+    from emberwatch.streaming.stateful import stream_audit_events
 
+    spark = logs.spark
+    folder, out, state = (shared_folder(spark, name) for name in ("logs", "events", "state"))
     at = audit_fn.audit_line_time(c("value"))
-    middle = F.lit(_MIDDLE).cast("timestamp")
     lines = S.audit_lines(logs.base)
-    for part in (F.coalesce(at < middle, F.lit(True)), at >= middle):
-        _land_in_order(logs, lines.filter(part), "landing", landing)
-        run_batches(files.stream_lines(logs.spark, landing), each, state)
-    correlate.finish(logs.spark)
-    events = logs.spark.read.option("basePath", out).parquet(out)
-    return events.select("serial", "exe", "name")
+    middle = lines.filter(at >= F.lit(_MIDDLE).cast("timestamp")).agg(F.min("seq")).first()[0]
+    # This source is read in one batch a run, and a batch has the watermark of the one before: the
+    # first line from the end of time moves the watermark, the run of the second one sees it.
+    ends = [((1 << 62) + i, f'type=PATH msg=audit(725811840{i}.000:0): item=0 name="/"') for i in (0, 1)]
+    part = F.when(c("seq") <= middle, 0).when(c("seq") < 1 << 62, 1).otherwise(c("seq") - (1 << 62) + 2)
+    ends = spark.createDataFrame(ends, "seq BIGINT, value STRING")
+    lines = lines.select("seq", "value").unionByName(ends).withColumn("part", part)
+    host = F.floor(c("seq") / 1000) % 4
+    for part in (0, 1, 2, 3):
+        _write_logs(lines.filter(c("part") <= part), folder, host)
+        run_available(stream_audit_events(growing.follow(spark, f"{folder}/*.log"), _LATE), out, state)
+    return spark.read.parquet(out).select("serial", "exe", "name")
 
 
 # --- extension -----------------------------------------------------------------------------------

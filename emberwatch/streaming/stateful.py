@@ -1,203 +1,204 @@
-"""Detections that remember something between micro-batches.
+"""Detections that remember something between micro-batches, in Spark's own state.
 
-What has to be remembered is a small table, so each step is a batch query over the new rows and
-that table: it uses the same operators as a batch run, and a busy key is split over tasks the same
-way. The table is kept in two alternating folders. Batch b reads the one batch b-1 wrote and
-overwrites the other, so a batch that is repeated after a failure starts from the same state.
+Each takes a stream with `ts` and gives a stream in append mode. Its watermark lies `lateness`
+behind the newest row seen; rows up to it are complete, are worked off in the order of time and
+line, and rows that arrive behind it are dropped by Spark, which counts them
+(`numRowsDroppedByWatermark` in the query's progress). So results do not depend on where batches
+are cut. Rows of one moment may arrive in different batches, so `lateness` must be positive and has
+no default.
 
-Steps go by event time and not by batch. The horizon lies `lateness_seconds` behind the newest row
-seen. Rows up to it are complete and are worked off; later ones wait in memory. A row that arrives
-behind the horizon comes too late and is stored in a table of its own, where it can be counted.
-So results do not depend on where batches are cut, and what is remembered is bounded by time.
+What waits for the watermark comes out as later rows move it on. At the end of a bounded stream one
+row far in the future (`closing_row`) does so.
 """
 
-from collections.abc import Callable
+import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from emberwatch import constants as K
 from emberwatch.functions.audit import correlate_audit, type_audit
 from emberwatch.functions.honeypot import sessionize
-from emberwatch.operators.burst import burst_windows
-from emberwatch.operators.success import failures_by_address, success_at_login
 
-#: (rows, remembered, horizon in epoch microseconds) -> (results, remembered)
-Step = Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]]
+#: What a closing row carries.
+END_OF_TIME = "2200-01-01 00:00:00"
 
-_BEGIN, _END = -(1 << 62), 1 << 62
 
+def closing_row(rows: DataFrame) -> DataFrame:
+    """One of the rows, moved to the end of time: it closes everything and is never complete itself.
 
-def until(horizon: int) -> Column:
-    """Rows that are complete."""
-    return F.unix_micros("ts") <= F.lit(horizon)
-
-
-class Remembering:
-    """A function for foreachBatch over rows with `ts`.
-
-    Results go to `out/batch=...`, late rows to `memory/late/batch=...`. `finish` ends a bounded
-    stream: it works off the rows that still wait.
-    """
-
-    def __init__(self, step: Step, memory_schema: str | StructType, out: str, memory: str, lateness_seconds: int = 0):
-        self.step, self.schema, self.out, self.memory = step, memory_schema, out, memory
-        self.lateness = int(lateness_seconds) * 1_000_000
-
-    def __call__(self, rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        rows.persist()
-        before = self._newest(spark, batch - 1) if batch else _BEGIN
-        arrived = rows.agg(F.max(F.unix_micros("ts")).alias("newest")).first()["newest"]
-        newest = before if arrived is None else max(before, arrived)
-        late = F.coalesce(until(before - self.lateness), F.lit(True))
-        rows.filter(late).write.mode("overwrite").parquet(f"{self.memory}/late/batch={batch}")
-        self._work_off(rows.filter(~late), batch, newest, newest - self.lateness)
-        rows.unpersist()
-
-    def finish(self, spark: SparkSession) -> None:
-        last = spark.read.schema("batch BIGINT").parquet(f"{self.memory}/clock").agg(F.max("batch")).first()[0]
-        nothing = spark.createDataFrame([], self.schema)
-        self._work_off(nothing, last + 1, self._newest(spark, last), _END)
-
-    def late_rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.memory}/late").parquet(f"{self.memory}/late")
-
-    def remembered(self, spark: SparkSession, batch: int) -> DataFrame:
-        """What batch `batch` left."""
-        return spark.read.schema(self.schema).parquet(f"{self.memory}/rows/slot={batch % 2}")
-
-    def _newest(self, spark: SparkSession, batch: int) -> int:
-        clock = spark.read.schema("batch BIGINT, newest BIGINT").parquet(f"{self.memory}/clock/slot={batch % 2}")
-        return clock.first()["newest"]
-
-    def _work_off(self, rows: DataFrame, batch: int, newest: int, horizon: int) -> None:
-        spark = rows.sparkSession
-        held = self.remembered(spark, batch - 1) if batch else spark.createDataFrame([], self.schema)
-        results, after = self.step(rows, held, horizon)
-        # The new memory depends on the results, so they are computed once for both.
-        results.persist()
-        results.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
-        after.write.mode("overwrite").parquet(f"{self.memory}/rows/slot={batch % 2}")
-        clock = spark.createDataFrame([(batch, newest)], "batch BIGINT, newest BIGINT")
-        clock.write.mode("overwrite").parquet(f"{self.memory}/clock/slot={batch % 2}")
-        results.unpersist()
-
-
-def burst_step(
-    keys: list[str], threshold: int, window_seconds: int, chunk_seconds: int | None = None
-) -> Step:
-    """N events in W seconds per key, as over all rows at once.
-
-    Remembered are the rows that wait, and per key those after its last hit that can still count:
-    fewer than N, none older than W. A key without new rows is forgotten after W.
+    `rows` must be such that the detection counts; it does not see the others.
     """
-    chunk = max(chunk_seconds or window_seconds * 20, window_seconds) * 1_000_000
-
-    def step(rows: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-        seen = held.unionByName(rows.select(held.columns))
-        done = seen.filter(until(horizon))
-        waiting = seen.filter(~until(horizon))
-        hits = burst_windows(
-            done, keys, threshold, window_seconds, chunk_seconds=chunk_seconds
-        )
-        if threshold == 1:
-            return hits, waiting
-        # The last N-1 rows per key: first per time chunk, so that no key is sorted as a whole.
-        last = done.filter(~until(horizon - window_seconds * 1_000_000)).withColumn(
-            "chunk", F.floor(F.unix_micros("ts") / F.lit(chunk)).cast("bigint")
-        )
-        newest = [F.desc("ts"), F.desc("seq")]
-        for group in ([*keys, "chunk"], keys):
-            order = Window.partitionBy(*group).orderBy(*newest)
-            last = last.withColumn("place", F.row_number().over(order)).filter(
-                F.col("place") < threshold
-            )
-        fired = hits.groupBy(*keys).agg(F.max(F.struct("last_seen", "seq")).alias("fired"))
-        kept = (
-            last.join(fired, keys, "left")
-            .filter(
-                F.col("fired").isNull()
-                | (F.struct(F.col("ts").alias("last_seen"), F.col("seq")) > F.col("fired"))
-            )
-            .select(held.columns)
-        )
-        return hits, kept.unionByName(waiting)
-
-    return step
-
-
-#: A login or failure that waits, or (with `failures`) what is known of an address.
-SUCCESS_MEMORY = (
-    "source_ip STRING, username STRING, seq BIGINT, ts TIMESTAMP, auth_result STRING,"
-    " failures BIGINT, first_failure TIMESTAMP, last_failure TIMESTAMP"
-)
-
-
-def success_step(threshold: int, window_seconds: int, forget_seconds: int) -> Step:
-    """Logins after failures that came before them in event time, as `success_at_login` over all
-    rows finds them.
-
-    Remembered are the rows that wait and one row per address with a failure in the last
-    `forget_seconds`; the failures of an address that was quiet for longer no longer count.
-    """
-    forget = max(int(forget_seconds), int(window_seconds)) * 1_000_000
-
-    def step(auth: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-        known = held.filter("failures is not null").select(
-            "source_ip", "failures", "first_failure", "last_failure"
-        )
-        columns = ["source_ip", "username", "seq", "ts", "auth_result"]
-        used = auth.filter("auth_result in ('failed', 'accepted') and source_ip is not null")
-        seen = held.filter("failures is null").select(columns).unionByName(used.select(columns))
-        done = seen.filter(until(horizon))
-        found = success_at_login(done, threshold, window_seconds, known)
-        merged = (
-            known.unionByName(failures_by_address(done))
-            .groupBy("source_ip")
-            .agg(
-                F.sum("failures").alias("failures"),
-                F.min("first_failure").alias("first_failure"),
-                F.max("last_failure").alias("last_failure"),
-            )
-            .filter(F.unix_micros("last_failure") >= F.lit(horizon - forget))
-        )
-        waiting = seen.filter(~until(horizon))
-        return found, waiting.unionByName(merged, allowMissingColumns=True).select(held.columns)
-
-    return step
-
-
-def session_step(idle_seconds: int, after_close_seconds: int = 0) -> Step:
-    """Honeypot sessions, each given out once: when nothing followed its close event for
-    `after_close_seconds`, or when it has been idle for `idle_seconds`.
-
-    Remembered are the rows of the sessions that are still open.
-    """
-    idle, closing = idle_seconds * 1_000_000, after_close_seconds * 1_000_000
-
-    def step(rows: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-        seen = held.unionByName(rows.select(held.columns))
-        closed = (F.col("eventid") == K.POT_CLOSED).alias("closed")
-        quiet = F.lit(horizon) - F.unix_micros("last.ts")
-        done = (
-            seen.groupBy("session_id")
-            .agg(F.max(F.struct("ts", "seq", closed)).alias("last"))
-            .filter((quiet >= idle) | (F.col("last.closed") & (quiet >= closing)))
-            .select("session_id")
-        )
-        whole = seen.join(done, "session_id", "left_semi")
-        return sessionize(whole), seen.join(done, "session_id", "left_anti").select(held.columns)
+    return rows.limit(1).withColumn("ts", F.lit(END_OF_TIME).cast("timestamp"))
 
-    return step
 
+class InOrder(StatefulProcessor):
+    """Gives each row of a key to `advance` once the watermark has passed it.
 
-AUDIT_MEMORY = "ts TIMESTAMP, seq BIGINT, value STRING"
-
+    Waiting rows are a list, what `advance` remembers is one value. A timer for the oldest waiting row
+    wakes the key when it is complete, another forgets what is remembered when it can no longer count.
+    """
 
-def audit_step(lines: DataFrame, held: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-    """Audit events of lines (`audit_line_time` gives their `ts`). All lines of an event carry one
-    time, so an event is complete once the horizon has passed it; only waiting lines are kept."""
-    seen = held.unionByName(lines.select(held.columns))
-    return type_audit(correlate_audit(seen.filter(until(horizon)))), seen.filter(~until(horizon))
+    #: Columns of a waiting row, `t` (epoch microseconds) and `seq` first, and their types.
+    FIELDS = "t BIGINT, seq BIGINT"
+    #: Names and types of a result, after the key.
+    RESULT = ""
+
+    def __init__(self, key: str, kind: str):
+        self.result = f"{key} {kind}, {self.RESULT}"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.FIELDS)
+        self.memory = handle.getValueState("memory", "value STRING, until BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        names = [field.split()[0] for field in self.FIELDS.split(", ")]
+        new = [tuple(row[name] for name in names) for row in rows]
+        self.waiting.appendList(new)
+        self._wake(min(row[0] for row in new))
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def _drain(self, key, watermark: int) -> Iterator[Row]:
+        passed = watermark * 1000
+        rows = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        due = [row for row in rows if row[0] <= passed]
+        had = self.memory.get() if self.memory.exists() else None
+        if due:
+            rest = [row for row in rows if row[0] > passed]
+            if rest:
+                self.waiting.put(rest)
+                self._wake(min(row[0] for row in rest))
+            else:
+                self.waiting.clear()
+            memory = json.loads(had[0]) if had else None
+            memory, until, found = self.advance(memory, sorted(due, key=self.order))
+            if memory is None:
+                self.memory.clear()
+            else:
+                self.memory.update((json.dumps(memory), until))
+                self._wake(until)
+            result = Row(*[field.split()[0] for field in self.result.split(", ")])
+            for values in found:
+                yield result(*key, *values)
+        elif had is not None and had[1] <= passed and not rows:
+            self.memory.clear()
+
+    @staticmethod
+    def order(row: tuple) -> tuple:
+        return row[:2]
+
+    def advance(self, memory, rows: list[tuple]) -> tuple:
+        """(memory or None, until when it counts, results) after complete rows in order."""
+        raise NotImplementedError
+
+
+class Bursts(InOrder):
+    """N events within W, starting over after each hit. Remembered are fewer than N rows."""
+
+    RESULT = "count BIGINT, first_t BIGINT, last_t BIGINT, seq BIGINT"
+
+    def __init__(self, key: str, kind: str, threshold: int, window: int):
+        super().__init__(key, kind)
+        self.n, self.window = threshold, window
+
+    def advance(self, memory, rows):
+        held, found = memory or [], []
+        for t, seq in rows:
+            held = [e for e in held if t - e <= self.window] + [t]
+            if len(held) >= self.n:
+                found.append((len(held), held[0], t, seq))
+                held = []
+        return (held, held[-1] + self.window, found) if held else (None, None, found)
+
+
+class Successes(InOrder):
+    """Logins after failures. Remembered are their number, the first and the last of them."""
+
+    FIELDS = "t BIGINT, seq BIGINT, username STRING, failed BOOLEAN"
+    RESULT = "username STRING, seq BIGINT, failures BIGINT, first_t BIGINT, last_t BIGINT, t BIGINT"
+
+    def __init__(self, threshold: int, window: int, forget: int):
+        super().__init__("source_ip", "STRING")
+        self.n, self.window, self.forget = threshold, window, max(forget, window)
+
+    @staticmethod
+    def order(row):
+        # Failures of the moment of a login count.
+        return row[0], not row[3], row[1]
+
+    def advance(self, memory, rows):
+        n, first, last = memory or (0, None, None)
+        found = []
+        for t, seq, username, failed in rows:
+            if n and t - last > self.forget:
+                n, first, last = 0, None, None
+            if failed:
+                n, first, last = n + 1, t if first is None else first, t
+            elif n >= self.n and t - last <= self.window:
+                found.append((username, seq, n, first, last, t))
+        return ([n, first, last], last + self.forget, found) if n else (None, None, found)
+
+
+def _watermarked(events: DataFrame, lateness: str) -> DataFrame:
+    return events.withWatermark("ts", lateness).withColumn("t", F.unix_micros("ts"))
+
+
+def stream_bursts(events: DataFrame, key: str, threshold: int, window_seconds: int, lateness: str) -> DataFrame:
+    """`burst_windows` over a stream: the key, `count`, `first_seen`, `last_seen` and `seq` of each hit."""
+    kind = events.schema[key].dataType.simpleString()
+    rows = _watermarked(events, lateness).select(key, "ts", "t", "seq").filter(F.col(key).isNotNull())
+    bursts = Bursts(key, kind, int(threshold), int(window_seconds) * 1_000_000)
+    hits = rows.groupBy(key).transformWithState(bursts, bursts.result, "Append", "EventTime")
+    return hits.select(
+        key,
+        "count",
+        F.timestamp_micros("first_t").alias("first_seen"),
+        F.timestamp_micros("last_t").alias("last_seen"),
+        "seq",
+    )
+
+
+def stream_success_at_login(
+    auth: DataFrame, threshold: int, window_seconds: int, forget_seconds: int, lateness: str
+) -> DataFrame:
+    """`success_at_login` over a stream. Failures of an address that was quiet for longer than
+    `forget_seconds` no longer count, so an address is remembered for that time only."""
+    rows = _watermarked(auth, lateness).filter(
+        F.col("auth_result").isin("failed", "accepted") & F.col("source_ip").isNotNull()
+    )
+    failed = (F.col("auth_result") == "failed").alias("failed")
+    successes = Successes(int(threshold), int(window_seconds) * 1_000_000, int(forget_seconds) * 1_000_000)
+    found = rows.select("source_ip", "ts", "t", "seq", "username", failed).groupBy("source_ip")
+    found = found.transformWithState(successes, successes.result, "Append", "EventTime")
+    return found.select(
+        "source_ip", "username", "seq", "failures",
+        F.timestamp_micros("first_t").alias("first_failure"),
+        F.timestamp_micros("last_t").alias("last_failure"),
+        F.timestamp_micros("t").alias("success_time"),
+        (F.col("t") - F.col("last_t")).alias("gap"),
+    )
+
+
+def stream_sessions(events: DataFrame, idle_seconds: int, lateness: str) -> DataFrame:
+    """Honeypot sessions of a stream, each given out once nothing of it came for `idle_seconds`;
+    what comes later under its name is a session of its own. Spark keeps the state of the
+    aggregates, not the rows."""
+    gap = F.session_window("ts", f"{int(idle_seconds)} seconds")
+    return sessionize(events.withWatermark("ts", lateness), by=[gap, "session_id"])
+
+
+def stream_audit_events(lines: DataFrame, lateness: str) -> DataFrame:
+    """Audit events of a stream of lines (`value`, `seq`): an event is complete, and its state gone,
+    when the watermark has passed the one time that all its lines carry."""
+    return type_audit(correlate_audit(lines, lateness))

@@ -1,5 +1,5 @@
 """State between micro-batches: any cut of the input, also with rows out of order within the
-lateness, gives the result of one batch query over all rows."""
+lateness and with rows of one moment in two batches, gives the result of one batch query."""
 
 import random
 import time
@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from events import at
+from events import START, at
 from emberwatch.functions.audit import audit_line_time, correlate_audit, type_audit
 from emberwatch.functions.honeypot import sessionize
 from emberwatch.operators.burst import burst_windows
@@ -15,26 +15,49 @@ from emberwatch.operators.success import success_after_failures, success_at_logi
 from emberwatch.sources import files
 from emberwatch.streaming.run import run_every
 from emberwatch.streaming.stateful import (
-    AUDIT_MEMORY,
-    SUCCESS_MEMORY,
-    Remembering,
-    audit_step,
-    burst_step,
-    session_step,
-    success_step,
+    END_OF_TIME,
+    closing_row,
+    stream_audit_events,
+    stream_bursts,
+    stream_sessions,
+    stream_success_at_login,
 )
 
-BURST_MEMORY = "k INT, ts TIMESTAMP, seq BIGINT"
 
+#: A watermark starts at 1970.
+EPOCH = 1_700_000_000_000_000
 
-def replay(spark, rows, cuts, each):
-    """Feed rows in `arrival` order as consecutive batches, the last one twice, as after a failure."""
+
+def replay(spark, folder, batches, operator, restarts=()):
+    """What an operator gives for batches of rows, one file each; the query is stopped and started
+    again before the batches in `restarts`. Also the numbers of late rows and of rows of state."""
+    landing, out, state = (str(folder / name) for name in ("landing", "out", "state"))
+    late = held = 0
+
+    def run():
+        nonlocal late, held
+        stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        query = operator(stream).writeStream.format("parquet").option("path", out)
+        query = query.option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress = [o for p in query.recentProgress for o in p["stateOperators"]]
+        late += sum(o["numRowsDroppedByWatermark"] for o in progress)
+        held = progress[-1]["numRowsTotal"] if progress else held
+
+    for i, batch in enumerate(batches):
+        if i in restarts:
+            run()
+        batch.coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(0.02)  # files are taken in the order of their times
+    run()
+    return spark.read.parquet(out), late, held
+
+
+def cut(rows, cuts):
+    """Batches of rows in the order of arrival, and one that closes the stream."""
     edges = [-1, *cuts, 1 << 40]
     parts = [rows.filter((F.col("arrival") > a) & (F.col("arrival") <= b)) for a, b in zip(edges, edges[1:])]
-    for batch, part in enumerate(parts):
-        each(part.drop("arrival"), batch)
-    each(parts[-1].drop("arrival"), len(parts) - 1)
-    each.finish(spark)
+    return [part.drop("arrival") for part in [*parts, closing_row(rows)]]
 
 
 def shuffled(rng, data, lateness):
@@ -43,58 +66,62 @@ def shuffled(rng, data, lateness):
     return [(i, *r) for i, r in enumerate(delayed)]
 
 
-@pytest.mark.parametrize("cuts", [(), (240,), (30, 60, 61, 62, 300, 420)])
-def test_bursts(spark, tmp_path, cuts):
+@pytest.mark.parametrize("cuts, restarts", [((), ()), ((240,), (1,)), ((30, 60, 61, 62, 300, 420), (3,))])
+def test_bursts(spark, tmp_path, cuts, restarts):
     rng = random.Random(11)
-    data = [(key, i * 10_000_000 + rng.randrange(12_000_000)) for i in range(90) for key in range(6)]
+    # Whole seconds, so that many rows have one time and some of these arrive in two batches.
+    data = [(key, EPOCH + i * 10_000_000 + rng.randrange(12) * 1_000_000) for i in range(90) for key in range(6)]
     data = [(k, t, i) for i, (k, t) in enumerate(sorted(data, key=lambda r: r[1]))]
     rows = spark.createDataFrame(shuffled(rng, data, 40_000_000), "arrival INT, k INT, t BIGINT, seq BIGINT")
     rows = rows.withColumn("ts", F.timestamp_micros("t")).drop("t").persist()
-    out, memory = str(tmp_path / "out"), str(tmp_path / "memory")
-    each = Remembering(burst_step(["k"], 5, 45), BURST_MEMORY, out, memory, lateness_seconds=40)
-    replay(spark, rows, cuts, each)
-    assert each.late_rows(spark).count() == 0
-    got = sorted((r.k, r.seq) for r in spark.read.parquet(out).collect())
-    want = sorted((r.k, r.seq) for r in burst_windows(rows, ["k"], 5, 45).collect())
-    assert got == want and got
+    found, late, _ = replay(spark, tmp_path, cut(rows, cuts), lambda s: stream_bursts(s, "k", 5, 45, "40 seconds"), restarts)
+    columns = ["k", "count", "first_seen", "last_seen", "seq"]
+    got = sorted(map(tuple, found.select(columns).collect()))
+    want = sorted(map(tuple, burst_windows(rows.drop("arrival"), ["k"], 5, 45).select(columns).collect()))
+    assert got == want and got and late == 0
+
+
+def test_a_moment_cut_in_two(spark, tmp_path):
+    """Five failures in three seconds, two of them in the last second and in different batches."""
+    rows = [(i, 1, at(s), i) for i, s in enumerate([0, 1, 2, 3, 3])]
+    rows = spark.createDataFrame(rows, "arrival INT, k INT, ts TIMESTAMP, seq BIGINT")
+    found, late, _ = replay(spark, tmp_path, cut(rows, (3,)), lambda s: stream_bursts(s, "k", 5, 60, "1 second"), (1,))
+    assert [(r.first_seen, r.last_seen, r.seq) for r in found.collect()] == [(at(0), at(3), 4)] and late == 0
 
 
 def test_late_rows_are_counted_and_idle_keys_forgotten(spark, tmp_path):
     def rows(*pairs):
-        frame = spark.createDataFrame([(k, at(s), i) for i, (k, s) in enumerate(pairs)], "k INT, ts TIMESTAMP, seq BIGINT")
-        return frame
-
-    each = Remembering(burst_step(["k"], 3, 60), BURST_MEMORY, str(tmp_path / "out"), str(tmp_path / "memory"), 30)
-    each(rows(*[(k, 0) for k in range(50)]), 0)
-    each(rows((1, 100)), 1)  # horizon 70
-    each(rows((1, 60), (1, 80)), 2)
-    assert [r.k for r in each.late_rows(spark).collect()] == [1]
-    assert {(r.k, r.ts) for r in each.remembered(spark, 2).collect()} == {(1, at(80)), (1, at(100))}
-    for batch in range(3, 23):
-        each(rows(), batch)
-    assert each.remembered(spark, 22).count() == 2
-    each(rows((7, 10_000)), 23)
-    assert [r.k for r in each.remembered(spark, 23).collect()] == [7]
-
-
-@pytest.mark.parametrize("cuts", [(), (100,), (10, 11, 12, 13, 90, 170)])
-def test_success_after_failures(spark, tmp_path, cuts):
+        return spark.createDataFrame([(k, at(s), i) for i, (k, s) in enumerate(pairs)], "k INT, ts TIMESTAMP, seq BIGINT")
+
+    # Spark drops what was late a batch before.
+    parts = [[(k, 0) for k in range(50)], [(1, 500)], [(2, 501)], [(1, 20), (1, 490)], [(7, 10_000)]]
+    batches = [rows(*part) for part in parts]
+    found, late, held = replay(spark, tmp_path, batches, lambda s: stream_bursts(s, "k", 2, 60, "30 seconds"))
+    assert [(r.k, r.first_seen, r.last_seen) for r in found.collect()] == [(1, at(490), at(500))]
+    # Only the row that waits is left, with its timer.
+    assert late == 1 and held <= 2
+
+
+@pytest.mark.parametrize("cuts, restarts", [((), ()), ((100,), (1,)), ((10, 11, 12, 13, 90, 170), ())])
+def test_success_after_failures(spark, tmp_path, cuts, restarts):
     rng = random.Random(5)
-    kinds = ["failed", "failed", "failed", "accepted", "other"]
-    data = [(f"192.0.2.{rng.randrange(4)}", rng.randrange(200) * 10_000_000, i, rng.choice(kinds)) for i in range(200)]
+    kinds = ["failed", "failed", "failed", "accepted"]
+    data = [(f"192.0.2.{rng.randrange(4)}", EPOCH + rng.randrange(200) * 10_000_000, i, rng.choice(kinds)) for i in range(200)]
     rows = spark.createDataFrame(
         shuffled(rng, data, 50_000_000), "arrival INT, source_ip STRING, t BIGINT, seq BIGINT, auth_result STRING"
     )
     rows = rows.withColumn("ts", F.timestamp_micros("t")).withColumn("username", F.lit("u")).drop("t").persist()
-    out, memory = str(tmp_path / "out"), str(tmp_path / "memory")
-    replay(spark, rows, cuts, Remembering(success_step(5, 60, 10_000), SUCCESS_MEMORY, out, memory, 50))
+    found, late, _ = replay(
+        spark, tmp_path, cut(rows, cuts), lambda s: stream_success_at_login(s, 5, 60, 10_000, "50 seconds"), restarts
+    )
     want = set()
     for ip, t, seq, kind in data:
         failures = [u for other, u, _, k in data if other == ip and k == "failed" and u <= t]
         if kind == "accepted" and len(failures) >= 5 and t - max(failures) <= 60_000_000:
             want.add((ip, seq, len(failures), t - max(failures)))
-    found = spark.read.parquet(out).collect()
+    found = found.collect()
     assert want and {(r.source_ip, r.seq, r.failures, r.gap) for r in found} == want and len(found) == len(want)
+    assert late == 0
     batch = success_at_login(rows, 5, 60, chunk_seconds=100).collect()
     assert {(r.source_ip, r.seq, r.failures, r.gap) for r in batch} == want
 
@@ -108,32 +135,37 @@ def test_failures_after_a_login_do_not_count(spark, auth):
 
 
 def test_old_failures_are_forgotten(spark, auth, tmp_path):
-    old = [dict(ts=at(0), source_ip="192.0.2.1", auth_result="failed")]
-    new = [dict(ts=at(5000), source_ip="192.0.2.2", auth_result="failed")]
-    each = Remembering(success_step(5, 600, 600), SUCCESS_MEMORY, str(tmp_path / "out"), str(tmp_path / "memory"))
-    each(auth(*old, *new), 0)
-    assert [r.source_ip for r in each.remembered(spark, 0).collect()] == ["192.0.2.2"]
+    """One failure, a long pause, then a failure and a login: one failure is too few."""
+    def one(s, result):
+        return dict(ts=at(s), source_ip="192.0.2.1", auth_result=result, username="u")
+
+    columns = ["source_ip", "username", "seq", "ts", "auth_result"]
+    events = auth(one(0, "failed"), one(5000, "failed"), one(5001, "accepted"))
+    parts = [events.filter(F.col("seq") == i).select(columns) for i in range(3)]
+    parts.append(closing_row(events).select(columns))
+    found, _, _ = replay(spark, tmp_path, parts, lambda s: stream_success_at_login(s, 2, 600, 600, "1 second"))
+    assert found.count() == 0
+    assert success_at_login(events, 2, 600).count() == 1
 
 
 def test_sessions(spark, honeypot, tmp_path):
-    """One is closed by its event, one by idleness, one by the end of the stream."""
+    """Given out when idle for five minutes, whatever the batches."""
     events = honeypot(
         dict(session_id="a", eventid="cowrie.session.connect", ts=at(0)),
         dict(session_id="b", eventid="cowrie.session.connect", ts=at(0)),
         dict(session_id="a", eventid="cowrie.command.input", input="ls", ts=at(20)),
         dict(session_id="a", eventid="cowrie.session.closed", duration_ms=30_000, ts=at(30)),
         dict(session_id="c", eventid="cowrie.session.connect", ts=at(40)),
-        dict(session_id="c", eventid="cowrie.command.input", input="id", ts=at(500)),
+        dict(session_id="c", eventid="cowrie.command.input", input="wget x; chmod +x x", ts=at(300)),
     ).drop("extra").persist()
-    out = str(tmp_path / "out")
-    each = Remembering(session_step(idle_seconds=300), events.schema, out, str(tmp_path / "memory"))
-    for batch, seqs in enumerate([(0, 1, 2), (3,), (4,), (5,)]):
-        each(events.filter(F.col("seq").isin(*seqs)), batch)
-    each.finish(spark)
-    got = {r.session_id: (r.batch, r.command_count) for r in spark.read.option("basePath", out).parquet(out).collect()}
-    # The gap inside c is longer than the idle time, but its row and the horizon come together.
-    assert got == {"a": (1, 1), "b": (3, 0), "c": (4, 1)}
-    assert {r.session_id: r.command_count for r in sessionize(events).collect()} == {"a": 1, "b": 0, "c": 1}
+    parts = [events.filter(F.col("seq").isin(*seqs)) for seqs in ((0, 1, 2), (3,), (4,), (5,))]
+    found, late, held = replay(
+        spark, tmp_path, [*parts, closing_row(events)], lambda s: stream_sessions(s, 300, "1 minute"), (2,)
+    )
+    columns = ["session_id", "start_time", "end_time", "command_count", "download_tools", "chmod_x_used"]
+    want = sorted(map(tuple, sessionize(events).select(columns).collect()))
+    assert sorted(map(tuple, found.select(columns).collect())) == want and len(want) == 3
+    assert late == 0 and held == 1
 
 
 def test_audit_events(spark, tmp_path):
@@ -141,14 +173,17 @@ def test_audit_events(spark, tmp_path):
         (i, f'type={kind} msg=audit({1705312200 + i // 4}.123:{i // 2}): exe="/bin/{i}" name="/n{i}"')
         for i in range(40) for kind in ["SYSCALL" if i % 2 == 0 else "PATH"]
     ]
-    lines = spark.createDataFrame(texts, "seq BIGINT, value STRING").withColumn("ts", audit_line_time(F.col("value")))
-    lines = lines.withColumn("arrival", F.col("seq").cast("int"))
-    out = str(tmp_path / "out")
-    replay(spark, lines, (2, 9, 30), Remembering(audit_step, AUDIT_MEMORY, out, str(tmp_path / "memory"), 5))
-    whole = type_audit(correlate_audit(lines.drop("ts", "arrival")))
+    lines = spark.createDataFrame([(i, *row) for i, row in enumerate(texts)], "arrival INT, seq BIGINT, value STRING")
+    end = spark.createDataFrame([(99, 99, "type=PATH msg=audit(7258118400.000:0): item=0")], lines.schema)
+    edges = [-1, 2, 9, 30, 98, 99]
+    whole = lines.unionByName(end)
+    parts = [whole.filter(f"arrival > {a} and arrival <= {b}").drop("arrival") for a, b in zip(edges, edges[1:])]
+    found, late, _ = replay(spark, tmp_path, parts, lambda s: stream_audit_events(s, "5 seconds"), (2,))
+    batch = type_audit(correlate_audit(lines.drop("arrival")))
     columns = ["serial", "exe", "name"]
-    got = sorted(map(tuple, spark.read.parquet(out).select(columns).collect()))
-    assert got == sorted(map(tuple, whole.select(columns).collect())) and len(got) == 20
+    got = sorted(map(tuple, found.select(columns).collect()))
+    assert got == sorted(map(tuple, batch.select(columns).collect())) and len(got) == 20 and late == 0
+    assert lines.select(audit_line_time(F.col("value"))).first()[0].year == 2024 and START.year < int(END_OF_TIME[:4])
 
 
 def test_scheduled_run_numbers_lines_in_log_order(spark, tmp_path):
