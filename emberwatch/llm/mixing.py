@@ -134,7 +134,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def row_key(docs: DataFrame):
-    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
+    """Rows with one key are alike in all that counts here; they differ by their place in their source."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")), docs["source"].cast("string"))
 
 
 @dataclass
@@ -156,7 +157,8 @@ class Mix:
         own = self.docs.where("size > 0").select("row", "place", "start", "size", F.explode(reach).alias("block"))
         begin = F.greatest(F.col("start"), F.col("block") * size)
         end = F.least(F.col("start") + F.col("size"), F.col("block") * size + F.col("words"))
-        found = own.join(self.slots, ["place", "block"]).where(end > begin)
+        # Spark judges the slots by the range of shards that they are made of; they grow with the input.
+        found = own.join(self.slots.hint("merge"), ["place", "block"]).where(end > begin)
         first = (begin - F.col("start")).alias("first")
         return found.select("row", "start", "turn", "shard", "slot", first, (end - begin).alias("n"))
 

@@ -24,8 +24,8 @@ from emberwatch.session import shared_folder
 MAGIC = b"MPHIDX01"
 #: Bits for each key in a level of the hash; more bits place more keys at once.
 SPREAD = 1.5
-#: One word's ids are remembered up to this many words for each worker, then afresh.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers in each of two generations.
+REMEMBERED = 500_000
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -145,7 +145,27 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-_REMEMBERED: dict[tuple[str, int], dict[bytes, bytes]] = {}
+class _Remembered:
+    """Ids of words in two generations: a full young one becomes the old one, and words that are used again come over,
+    so frequent words stay. It changes between batches only: what a batch asked for is there until it is done."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def unknown(self, words: set[bytes]) -> set[bytes]:
+        """Brings words over that are known, and returns the others."""
+        missing = words - self.young.keys()
+        for word in missing & self.old.keys():
+            self.young[word] = self.old[word]
+        return missing - self.young.keys()
+
+    def begin_batch(self) -> None:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+
+
+_REMEMBERED: dict[tuple[str, int], _Remembered] = {}
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _TAIL = re.compile(rb"(.*[^\x00-\x7f])([!-/:-@\[-`{-~]+)", re.S)
 
@@ -157,20 +177,19 @@ class _Words:
 
     def __init__(self, path: str, width: int):
         self.tokenizer, self.kind = _tokenizer(path), np.dtype(f"<u{width}")
-        self.known = _REMEMBERED.setdefault((path, width), {})
+        self.known = _REMEMBERED.setdefault((path, width), _Remembered())
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         cut = {word: self._cut(word) for word in words}
-        parts = list({part for own in cut.values() for part in own} - self.known.keys())
+        parts = list(self.known.unknown({part for own in cut.values() for part in own}))
+        ids = self.known.young
         for at in range(0, len(parts), 20_000):
             some = parts[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(some, found))
+            ids.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(some, found))
         for word, own in cut.items():
             if len(own) > 1:
-                self.known[word] = b"".join(map(self.known.__getitem__, own))
+                ids[word] = b"".join(map(ids.__getitem__, own))
 
     @staticmethod
     def _cut(word: bytes) -> list[bytes]:
@@ -182,10 +201,11 @@ class _Words:
         return [word]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        self.known.begin_batch()
         words = [text.encode().lower().split() for text in texts]
-        if missing := set().union(*words) - self.known.keys():
+        if missing := self.known.unknown(set().union(*words)):
             self.learn(missing)
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+        return [b"".join(map(self.known.young.__getitem__, own)) for own in words]
 
 
 def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
