@@ -153,12 +153,18 @@ class _Remembered:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def unknown(self, words: set[bytes]) -> set[bytes]:
-        """Brings words over that are known, and returns the others."""
-        missing = words - self.young.keys()
-        for word in missing & self.old.keys():
-            self.young[word] = self.old[word]
-        return missing - self.young.keys()
+    def unknown(self, words: set[bytes]) -> list[bytes]:
+        """Brings words over that are known, and returns the others. Looks up each word: a difference of sets would go
+        over all that is remembered."""
+        out = []
+        for word in words:
+            if word not in self.young:
+                ids = self.old.get(word)
+                if ids is None:
+                    out.append(word)
+                else:
+                    self.young[word] = ids
+        return out
 
     def begin_batch(self) -> None:
         if len(self.young) > REMEMBERED:
@@ -179,9 +185,9 @@ class _Words:
         self.tokenizer, self.kind = _tokenizer(path), np.dtype(f"<u{width}")
         self.known = _REMEMBERED.setdefault((path, width), _Remembered())
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         cut = {word: self._cut(word) for word in words}
-        parts = list(self.known.unknown({part for own in cut.values() for part in own}))
+        parts = self.known.unknown({part for own in cut.values() for part in own})
         ids = self.known.young
         for at in range(0, len(parts), 20_000):
             some = parts[at : at + 20_000]
