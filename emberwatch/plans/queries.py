@@ -1462,24 +1462,41 @@ _MIDDLE = "2024-01-16 00:00:00"
 _LATE = "1 hour"
 
 
-@query("str_1", f"SELECT rule_id, dedup_key FROM deduped WHERE rule_id = '{K.RULE_NEW_USER}'")
-def str_1(logs):
-    """The scheduled run: new lines are parsed, tested and stored, in two runs."""
-    from emberwatch.streaming.run import run_batches
+#: Rules whose rows depend on more than one event; on a stream they are str_3 and str_6.
+_OVER_TIME = ("det_001", "det_007", "det_012", "det_013")
+_OVER_TIME_IDS = (K.RULE_SSH_BRUTE_FORCE, K.RULE_BRUTE_SUCCESS, K.RULE_ENUMERATION, K.RULE_DISCOVERY)
 
-    landing, path = shared_folder(logs.spark, "landing"), shared_folder(logs.spark, "history")
-    state = shared_folder(logs.spark, "state")
-    rule = rule_book().rules["det_003"]
 
-    def each(lines: DataFrame, batch: int) -> None:
-        events = files.normalize(files.number_batch(lines, batch), K.AUTH_LOG, S.YEAR).events
-        alert_store.store_batch(lines.sparkSession, rule.run(events), path, batch)
+@query("str_1", f"SELECT rule_id, dedup_key FROM deduped WHERE rule_id NOT IN {D._in(_OVER_TIME_IDS)}")
+def str_1(logs):
+    """The scheduled run over all four logs: new lines are parsed, tested by every rule over single
+    events and sessions, and stored, in two runs. The lines of an audit event land together."""
+    from emberwatch.streaming.run import run_batches
 
-    lines = S.auth_lines(logs.base)
-    for half in (0, 1):
-        lines.filter(c("seq") % 2 == half).select("value").write.mode("append").text(landing)
-        run_batches(files.stream_lines(logs.spark, landing), each, state)
-    return alert_store.load_batches(logs.spark, path).select("rule_id", "dedup_key")
+    spark, book, stored = logs.spark, rule_book(), []
+    texts = {
+        K.AUTH_LOG: (S.auth_lines, c("seq")),
+        K.AUDITD: (S.audit_lines, F.floor(c("seq") / 4)),
+        K.CLOUDTRAIL: (S.cloud_lines, c("seq")),
+        K.COWRIE: (S.honeypot_lines, c("seq")),
+    }
+    for source, (made, number) in texts.items():
+        landing, path, state = (shared_folder(spark, name) for name in ("landing", "history", "state"))
+        rules = [rule for rule in book.for_source(source) if rule.name not in _OVER_TIME]
+
+        def each(lines: DataFrame, batch: int) -> None:
+            numbered = files.number_batch(lines, batch)
+            if source == K.CLOUDTRAIL:
+                numbered = cloud_fn.records_from_json(numbered)
+            events = files.normalize(numbered, source, S.YEAR).events
+            alerts = union_all([rule.run(events) for rule in rules])
+            alert_store.store_batch(lines.sparkSession, alerts, path, batch)
+
+        for half in (0, 1):
+            made(logs.base).filter(number % 2 == half).select("value").write.mode("append").text(landing)
+            run_batches(files.stream_lines(spark, landing), each, state)
+        stored.append(alert_store.load_batches(spark, path))
+    return union_all(stored).select("rule_id", "dedup_key")
 
 
 @query("str_2", f"SELECT {D.ALERT_COLUMNS} FROM det_009")
