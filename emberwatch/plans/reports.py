@@ -252,11 +252,20 @@ def summary_view(alerts: DataFrame) -> DataFrame:
     small = alerts.groupBy("technique", "severity", "log_source").agg(F.count("*").alias("n"))
     total = lambda when: F.coalesce(F.sum(F.when(when, c("n"))), F.lit(0))
     detected = F.count_distinct("technique")
-    sources = F.map_from_arrays(
-        F.array(*[F.lit(s) for s in K.LOG_SOURCES]),
-        F.array(*[total(c("log_source") == s) for s in K.LOG_SOURCES]),
+    # Any source counts, also one that only a registered rule knows; the four logs come first.
+    pairs = F.filter(F.col("by_source"), lambda p: p["log_source"].isNotNull())
+    found = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["log_source"])))
+    names = F.array_union(F.array(*[F.lit(s) for s in K.LOG_SOURCES]), found)
+    count = F.transform(
+        names,
+        lambda name: F.aggregate(
+            F.filter(pairs, lambda p: p["log_source"] == name),
+            F.lit(0).cast("bigint"),
+            lambda n, p: n + p["n"],
+        ),
     )
-    return small.agg(
+    sources = F.map_filter(F.map_from_arrays(names, count), lambda _, n: n > 0)
+    summary = small.agg(
         F.lit(N_TECHNIQUES).cast("bigint").alias("total_techniques"),
         detected.alias("detected"),
         (F.lit(N_TECHNIQUES) - detected).alias("missed"),
@@ -265,8 +274,9 @@ def summary_view(alerts: DataFrame) -> DataFrame:
         F.struct(
             *[total(c("severity") == s).alias(s) for s in reversed(K.SEVERITIES)]
         ).alias("severity_counts"),
-        F.map_filter(sources, lambda _, n: n > 0).alias("source_counts"),
+        F.collect_list(F.struct("log_source", "n")).alias("by_source"),
     )
+    return summary.withColumn("source_counts", sources).drop("by_source")
 
 
 def user_activity_view(alerts: DataFrame) -> DataFrame:

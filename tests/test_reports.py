@@ -46,3 +46,13 @@ def test_query(spark, name):
     want = rows(result.columns, result.fetchall())
     assert sorted(frame.columns) == sorted(result.columns) and got
     assert not set(got) ^ set(want) and got == want
+
+
+def test_summary_counts_sources_of_registered_rules(spark):
+    alerts = spark.createDataFrame(
+        [("T1548", "HIGH", "vpn"), ("T1548", "LOW", "vpn"), ("T1036", "HIGH", "auditd"), ("T1036", "HIGH", None)],
+        "technique STRING, severity STRING, log_source STRING",
+    )
+    found = R.summary_view(alerts).first()
+    assert found.total_alerts == 4 and list(found.source_counts.items()) == [("auditd", 1), ("vpn", 2)]
+    assert R.summary_view(alerts.limit(0)).first().source_counts == {}
