@@ -35,12 +35,16 @@ def keep_first(alerts: DataFrame) -> DataFrame:
 
 def new_alerts(alerts: DataFrame, history: DataFrame) -> DataFrame:
     """First alert of each key that is not in the history yet."""
-    known = history.select(dedup_key().alias("_key"))
+    return unknown_alerts(alerts, history.select(dedup_key().alias("alert_key")))
+
+
+def unknown_alerts(alerts: DataFrame, known: DataFrame) -> DataFrame:
+    """First alert of each key that is not among the known ones (`alert_key`)."""
     return (
         keep_first(alerts)
-        .withColumn("_key", dedup_key())
-        .join(known, "_key", "left_anti")
-        .drop("_key")
+        .withColumn("alert_key", dedup_key())
+        .join(known, "alert_key", "left_anti")
+        .drop("alert_key")
     )
 
 

@@ -19,7 +19,7 @@ from emberwatch.functions import predicates as P
 from emberwatch.functions import text as X
 from emberwatch.functions import times as T
 from emberwatch.operators.burst import burst_windows
-from emberwatch.operators.dedup import dedup_key, history_plus_new, keep_first, new_alerts, with_run
+from emberwatch.operators.dedup import dedup_key, history_plus_new, keep_first, new_alerts, unknown_alerts, with_run
 from emberwatch.operators.success import success_after_failures
 from emberwatch.plans import duck as D
 from emberwatch.plans import reports as R
@@ -29,6 +29,7 @@ from emberwatch.plans.sigma import sigma_filter
 from emberwatch.session import configure, shared_folder
 from emberwatch.sources import alert_store, files, session_store
 from emberwatch.sources import standin as S
+from emberwatch.sources.key_index import KeyIndex
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -465,9 +466,16 @@ _BLOCKED_SQL = """(SELECT src_ip AS ip, sum(login_attempt_count)::bigint AS atte
 
 @query("snk_4", f"SELECT * FROM {_BLOCKED_SQL}")
 def snk_4(logs):
-    path = shared_folder(logs.spark, "blocks")
+    """A block list from its snapshot, made after the first changes, and the log of the later ones."""
+    folder = shared_folder(logs.spark, "blocks")
+    path = shared_folder(logs.spark, "changes")
     _block_changes(logs).write.parquet(path)
-    return session_store.blocked_list(logs.spark.read.parquet(path)).drop("blocked_at")
+    changes = logs.spark.read.parquet(path)
+    first = c("changed_at") < F.lit("2024-03-02").cast("timestamp")
+    session_store.append_changes(changes.filter(first), folder)
+    session_store.compact_changes(logs.spark, folder)
+    session_store.append_changes(changes.filter(~first), folder)
+    return session_store.blocked_list(session_store.block_changes(logs.spark, folder)).drop("blocked_at")
 
 
 # --- normalisation -------------------------------------------------------------------------------
@@ -846,8 +854,11 @@ def join_3(logs):
     f"SELECT {D.ALERT_COLUMNS} FROM deduped WHERE log_source NOT IN ('auth_log', 'cloudtrail')",
 )
 def join_4(logs):
+    """Alerts that are unknown to a history of two sources, whose keys lie in buckets."""
     history = _of_sources(logs, K.AUTH_LOG, K.CLOUDTRAIL)
-    return alert_rows(new_alerts(logs.stored_alerts, history))
+    index = KeyIndex(logs.spark, shared_folder(logs.spark, "keys"))
+    index.add(history.select(dedup_key().alias("alert_key"), F.lit(1).alias("run")))
+    return alert_rows(unknown_alerts(logs.stored_alerts, index.keys()))
 
 
 @query(
@@ -856,10 +867,14 @@ def join_4(logs):
   AND session_id NOT IN (SELECT session_id FROM sessions WHERE success_count > 0)""",
 )
 def join_5(logs):
-    """Logins of sessions that are not stored yet, where those with a break-in are stored."""
-    stored = logs.sessions.filter("success_count > 0")
-    fresh = session_store.only_new({"logins": logs.logins}, stored)
-    return fresh["logins"].select("session_id", "seq")
+    """The step by which the store finds new logins, where the lines of sessions with a break-in
+    are stored already."""
+    folder = shared_folder(logs.spark, "sessions")
+    events = logs.written(K.COWRIE)
+    broken_in = events.filter(c("eventid") == K.POT_LOGIN_OK).select("session_id").distinct()
+    session_store.store_sessions(logs.spark, events.join(broken_in, "session_id", "left_semi"), folder)
+    fresh = session_store.unstored(logs.spark, events, folder)
+    return fresh["session_logins"].select("session_id", "seq")
 
 
 _COVERAGE_SQL = """SELECT technique, name, n IS NOT NULL AS detected, coalesce(n, 0) AS alert_count, src AS log_source

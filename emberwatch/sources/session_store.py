@@ -1,8 +1,11 @@
 """Honeypot session tables and the block list."""
 
+import uuid
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from emberwatch.functions.honeypot import commands, login_attempts, sessionize
@@ -13,6 +16,7 @@ from emberwatch.schemas import (
     SESSION_LOGIN,
     conform,
 )
+from emberwatch.session import remove_folder
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -33,28 +37,56 @@ def session_tables(honeypot: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def only_new(tables: dict[str, DataFrame], stored_sessions: DataFrame) -> dict[str, DataFrame]:
-    """Rows of the sessions that are not among the stored ones, of every table."""
-    known = stored_sessions.select("session_id")
-    return {name: t.join(known, "session_id", "left_anti") for name, t in tables.items()}
+#: The columns whose first time puts a row into its day.
+TIMES = {
+    "sessions": ["start_time", "end_time"], "session_logins": ["timestamp"], "session_commands": ["ran_at"],
+}
+NO_DAY = "1970-01-01"
+
+
+def _day(*times: str) -> Column:
+    """The day of a row, never NULL, so that days can be compared by equality and pruned."""
+    return F.to_date(F.coalesce(*times, F.lit(NO_DAY).cast("timestamp")))
 
 
 def not_stored(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose values are not stored yet. The line number is not compared: it counts from the
     start of a scan, so a line has another one in the next scan."""
-    same = " and ".join(f"new.{n} <=> old.{n}" for n in rows.columns if n != "seq")
+    same = " and ".join(f"new.{n} {'=' if n == 'day' else '<=>'} old.{n}" for n in rows.columns if n != "seq")
     return rows.alias("new").join(stored.alias("old"), F.expr(same), "left_anti")
 
 
-def store_sessions(spark: SparkSession, honeypot: DataFrame, folder: str) -> None:
-    """Append what is new: logins and commands, also of sessions stored before, and the session
-    rows that say something new, such as the close of a session that an earlier run saw open.
+def unstored(spark: SparkSession, honeypot: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """What an event table says that is not stored yet, of every table, with its day.
 
-    A run that dies in between is simply repeated, as each table is compared with itself.
+    Equal rows have one day, so only the days that the events touch are read of the store; they are
+    as many as there are days in the events.
     """
+    days = [r.day for r in honeypot.select(_day("ts").alias("day")).distinct().collect()]
+    days = F.col("day").isin([F.lit(d) for d in {*days, date.fromisoformat(NO_DAY)}])
+    new = {}
     for name, rows in session_tables(honeypot).items():
-        path = f"{folder}/{name}"
-        not_stored(rows, read_table(spark, path, rows.schema)).write.mode("append").parquet(path)
+        stored = _with_days(spark, f"{folder}/{name}", rows.schema).filter(days)
+        new[name] = not_stored(rows.withColumn("day", _day(*TIMES[name])), stored)
+    return new
+
+
+def _with_days(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return read_table(spark, path, StructType([*schema, StructField("day", DateType())]))
+
+
+def store_sessions(spark: SparkSession, honeypot: DataFrame, folder: str) -> None:
+    """Append what is new, by day: logins and commands, also of sessions stored before, and the
+    session rows that say something new, such as the close of a session that an earlier run saw open.
+
+    Nothing stored is written again, so a run that dies in between is simply repeated: each table is
+    compared with itself. Rows are gathered by day, and the rebalance splits a day with most rows. A
+    table starts with a file without rows, so that one without rows differs from one that lost its files.
+    """
+    for name, rows in unstored(spark, honeypot, folder).items():
+        empty = spark.createDataFrame([], rows.drop("day").schema)
+        empty.write.mode("ignore").parquet(f"{folder}/{name}/day={NO_DAY}")
+        rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{folder}/{name}")
 
 
 def read_sessions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -99,12 +131,19 @@ def logins_per_address(sessions: DataFrame, logins: DataFrame) -> DataFrame:
     )
 
 
-def block_counts(sessions: DataFrame, logins: DataFrame) -> DataFrame:
-    """Sessions and login attempts per address, as recorded when an address is blocked."""
+def block_counts(sessions: DataFrame, logins: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
+    """Sessions and login attempts per address, as recorded when an address is blocked.
+
+    With `addresses` (`ip`) only theirs: the sessions of other addresses, and the logins of those, go
+    before anything is counted.
+    """
+    sessions = sessions.select("session_id", "src_ip")
+    if addresses is not None:
+        sessions = sessions.join(addresses.select(F.col("ip").alias("src_ip")), "src_ip", "left_semi")
+        logins = logins.join(sessions, "session_id", "left_semi")
     per_session = logins.groupBy("session_id").agg(F.count("*").alias("n"))
     return (
-        sessions.select("session_id", "src_ip")
-        .join(per_session, "session_id", "left")
+        sessions.join(per_session, "session_id", "left")
         .groupBy("src_ip")
         .agg(
             F.count("*").alias("session_count"),
@@ -124,7 +163,7 @@ def block(
     """Block rows for the `ip` column of `addresses`, with the counts known now."""
     if blocked_by not in ("manual", "auto"):
         raise ValueError("blocked_by must be 'manual' or 'auto'")
-    counts = block_counts(sessions, logins).withColumnRenamed("src_ip", "ip")
+    counts = block_counts(sessions, logins, addresses).withColumnRenamed("src_ip", "ip")
     return conform(
         addresses.select("ip")
         .distinct()
@@ -148,13 +187,20 @@ def unblock(addresses: DataFrame, at: Column | None = None) -> DataFrame:
     )
 
 
-def blocked_list(changes: DataFrame) -> DataFrame:
-    """Addresses blocked now, newest first: the last change of each address decides."""
+def last_changes(changes: DataFrame) -> DataFrame:
+    """The last change of each address; of two at one time the block counts."""
     columns = [f.name for f in BLOCK_CHANGE if f.name != "ip"]
     return (
         changes.groupBy("ip")
-        .agg(F.max_by(F.struct(*columns), "changed_at").alias("c"))
+        .agg(F.max_by(F.struct(*columns), F.struct("changed_at", "blocked")).alias("c"))
         .select("ip", "c.*")
+    )
+
+
+def blocked_list(changes: DataFrame) -> DataFrame:
+    """Addresses blocked now, newest first: the last change of each address decides."""
+    return (
+        last_changes(changes)
         .filter("blocked")
         .select(
             "ip", F.col("changed_at").alias("blocked_at"), "attempt_count", "session_count",
@@ -164,6 +210,46 @@ def blocked_list(changes: DataFrame) -> DataFrame:
     )
 
 
+def append_changes(changes: DataFrame, folder: str) -> None:
+    """Append blocks and unblocks to the log of a block list, as a folder of their own."""
+    conform(changes, BLOCK_CHANGE).write.parquet(f"{folder}/log-{uuid.uuid4().hex}")
+
+
+def block_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What a block list is made of: its snapshot, with one row for each address, and its log."""
+    parts = _parts(spark, folder)
+    if not parts:
+        return spark.createDataFrame([], BLOCK_CHANGE)
+    return conform(spark.read.schema(BLOCK_CHANGE).parquet(*parts), BLOCK_CHANGE)
+
+
+def compact_changes(spark: SparkSession, folder: str) -> None:
+    """Make one snapshot of the snapshot and the log, then remove what went into it.
+
+    The last change decides, so a change that stands in a snapshot and in a log counts once: a
+    compaction that dies, a reader in between and a log that is appended meanwhile leave the list right.
+    Unblocked addresses stay, or an older block that is appended late would come back.
+    """
+    parts = _parts(spark, folder)
+    if not parts:
+        return
+    merged = last_changes(conform(spark.read.schema(BLOCK_CHANGE).parquet(*parts), BLOCK_CHANGE))
+    conform(merged, BLOCK_CHANGE).write.parquet(f"{folder}/snapshot-{uuid.uuid4().hex}")
+    for part in parts:
+        remove_folder(spark, part)
+
+
+def _parts(spark: SparkSession, folder: str) -> list[str]:
+    """The folders of a block list that were written to their end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    home = hadoop.Path(folder)
+    system = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(home):
+        return []
+    found = [status.getPath() for status in system.listStatus(home)]
+    return sorted(p.toString() for p in found if system.exists(hadoop.Path(p, "_SUCCESS")))
+
+
 def blocked_only(rows: DataFrame, changes: DataFrame, address: str = "src_ip") -> DataFrame:
     """Rows whose address is blocked now."""
     blocked = blocked_list(changes).select(F.col("ip").alias(address))
