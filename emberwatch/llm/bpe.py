@@ -223,13 +223,13 @@ def encode_by(
 AT_ONCE = 100_000
 
 
-def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: the ids are decoded by the token-byte
-    table, which is as large as the vocabulary file."""
+def digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, with its token ids as `ids` if asked for:
+    the ids are decoded by the token-byte table, which is as large as the vocabulary file. No documents, no rows."""
 
     def digests(doc_ids: pa.ChunkedArray, ids: Iterator[np.ndarray]) -> pa.Table:
         table = _token_bytes(path)
-        sizes, joined, decoded = [], [], []
+        sizes, joined, decoded, kept = [], [], [], []
         for own in ids:
             names, data = hashlib.sha256(), hashlib.sha256()
             for at in range(0, len(own), AT_ONCE):
@@ -239,15 +239,18 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             sizes.append(len(own))
             joined.append(names.hexdigest())
             decoded.append(data.hexdigest())
-        return pa.table(
+            if with_ids:
+                kept.append(own)
+        out = pa.table(
             {
                 "doc_id": doc_ids, "n_tokens": pa.array(sizes, pa.int64()),
                 "ids_sha256": pa.array(joined, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()),
             }
         )
+        return out.append_column("ids", _lists(doc_ids, kept)["ids"]) if with_ids else out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encode_by(docs, path, pattern, digests, schema)
+    return encode_by(docs, path, pattern, digests, schema + ", ids array<int>" * with_ids)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

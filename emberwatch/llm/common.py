@@ -35,35 +35,51 @@ def drop(*tables: DataFrame) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge; the component is the smallest node reachable.
 
-    Large-star and small-star steps in turn until the edges no longer change. Each step keeps at most one
+    Large-star and small-star steps in turn until every node is a root or hangs on one. Each step keeps at most one
     row per edge and is a grouped minimum (combined before the shuffle) and an equi-join. Minima are stored
     before the join so that both its sides are plain shuffles, which adaptive execution may split: a node with
-    a third of all edges does not stay in one task. Rounds grow with the logarithm of the longest chain.
+    a third of all edges does not stay in one task. The same table tells how many smaller and larger neighbours a
+    node has, so the end is seen without another round. Rounds grow with the logarithm of the longest chain.
     """
     found = stored(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
     )
-    before = None
     while True:
-        both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = found.select("u", "v", F.lit(1).alias("up"))
+        both = up.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("up")))
+        least = both.groupBy("u").agg(
+            F.least("u", F.min("v")).alias("m"), F.sum("up").alias("smaller"), F.count_if(F.col("up") == 0).alias("larger")
+        )
+        least = stored(least, "least")
+        if least.where("smaller > 1 or smaller = 1 and larger > 0").isEmpty():
+            drop(least)
+            break
+        large = both.join(least.select("u", "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), "large")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = stored(
             small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges"
         )
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(found, least, large)
         found = after
-        if state == before:
-            break
-        before = state
     roots = found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def joined_components(groups_of: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) when edges come to components that are found: only the components that an edge joins are
+    gone through, each as one node."""
+    of_u = groups_of.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    of_v = groups_of.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    between = edges.join(of_u, "u", "left").join(of_v, "v", "left")
+    between = between.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    merged = components(between)
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    old = groups_of.join(into, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return stored(old.unionByName(merged.join(groups_of, "node", "left_anti")), "components")
+
+
 def chunks(texts: list, limit: int) -> Iterator[list[tuple[int, str]]]:
     """Lists of (place, piece) of at most about `limit` characters; a longer text is cut at fixed places."""
     held, size = [], 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import components, drop, stored
+from emberwatch.llm.common import components, drop, joined_components, stored
 
 #: Every so many sets one is looked at to find shingles that many sets share, which say little: those found in at least
 #: COMMON of the sampled sets, the MOST_COMMON most frequent. Signatures are made of the other shingles. Any choice gives
@@ -190,13 +190,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, groups: i
     groups_of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     apart = _apart(members, groups_of)
     if not apart.isEmpty():
-        pairs = _drawn_pairs(apart, star)
-        links = links.unionByName(verified(rows, nodes, pairs, percent, n))
-        groups_of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        apart = _apart(members, groups_of)
-    if not apart.isEmpty():
-        links = links.unionByName(_compared(rows, nodes, apart, percent, n))
-        groups_of = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        more = verified(rows, nodes, _drawn_pairs(apart, star), percent, n)
+        if not more.isEmpty():
+            groups_of = joined_components(groups_of, more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            apart = _apart(members, groups_of)
+        if not apart.isEmpty():
+            more = _compared(rows, nodes, apart, percent, n)
+            groups_of = joined_components(groups_of, more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     drop(large, others, shared, members)
     own = _named(nodes, groups_of)
     least = stored(own.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least")), "least")
