@@ -34,9 +34,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and what they decode to, as digests."""
+    """The token ids of every document, and digests of the ids and of what they decode to. A null or empty text has no
+    ids; a document that the mix takes twice comes twice."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(docs, path, public_tokenizers.PATTERN)
+    return bpe.digest(docs, path, public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [
