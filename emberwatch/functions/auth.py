@@ -1,9 +1,11 @@
 """Authentication log lines to typed events, as column expressions."""
 
-from typing import NamedTuple
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from emberwatch import constants as K
 from emberwatch.functions.addresses import is_address
@@ -17,11 +19,19 @@ from emberwatch.functions.times import (
 from emberwatch.schemas import AUTH_EVENT, conform
 
 
-class Normalized(NamedTuple):
-    """Typed events and the lines that could not be typed (source, raw, seq, reason)."""
+@dataclass(frozen=True)
+class Normalized:
+    """Typed events and the lines that could not be typed (source, raw, seq, reason).
+
+    `checked` has both, events with a NULL `reason`, for what looks at every line in one pass.
+    """
 
     events: DataFrame
     rejects: DataFrame
+    checked: DataFrame
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return iter((self.events, self.rejects))
 
 
 def parsed_once(parsed: DataFrame, schema) -> DataFrame:
@@ -49,7 +59,7 @@ def split_rejects(parsed: DataFrame, source: str, schema, once: bool = True) ->
     rejects = rows.filter(F.col("reason").isNotNull()).select(
         F.lit(source).alias("source"), "raw", "seq", "reason"
     )
-    return Normalized(events, rejects)
+    return Normalized(events, rejects, conform(rows, StructType([*schema, StructField("reason", StringType())])))
 
 
 def auth_header(lines: DataFrame) -> DataFrame:

@@ -330,10 +330,8 @@ def src_6(logs):
 @query("src_7", "SELECT raw, coalesce(reason, 'ok') AS status FROM auth_checked")
 def src_7(logs):
     path = _land(logs, S.auth_lines(logs.base), "auth")
-    events, rejects = files.read_events(logs.spark, path, K.AUTH_LOG, S.YEAR)
-    return events.select("raw", F.lit("ok").alias("status")).unionByName(
-        rejects.select("raw", c("reason").alias("status"))
-    )
+    checked = files.read_events(logs.spark, path, K.AUTH_LOG, S.YEAR).checked
+    return checked.select("raw", F.coalesce("reason", F.lit("ok")).alias("status"))
 
 
 @query("src_8", f"SELECT {D.ALERT_COLUMNS} FROM alerts")

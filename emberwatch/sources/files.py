@@ -5,7 +5,7 @@ files: file, place of the split in the file, line in the split. It is not dense,
 depend on the split size, so write the normalised table once and read it from there.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -168,10 +168,26 @@ def read_cloud_files(
 def stream_cloud_files(
     spark: SparkSession, path: str, files_per_trigger: int | None = None
 ) -> DataFrame:
+    """The records of new files. Files that are no JSON are left to `stream_checked_cloud_files`."""
+    checked = stream_checked_cloud_files(spark, path, files_per_trigger)
+    return checked.filter("reason is null").select("record")
+
+
+def stream_checked_cloud_files(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None
+) -> DataFrame:
+    """(record, file_name, reason): the records of new files, and a row without a record for each
+    file that is no JSON, so that it leaves its name and is counted."""
     reader = spark.readStream.schema(CLOUD_FILE).options(**_CLOUD_OPTIONS)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path).select(F.explode("Records").alias("record"))
+    files = reader.json(path).withColumn("file_name", F.col("_metadata.file_name"))
+    broken = F.col("broken_file").isNotNull()
+    return files.select(
+        F.explode(F.when(broken, F.array(F.lit(None).cast("string"))).otherwise(F.col("Records"))).alias("record"),
+        "file_name",
+        F.when(broken, F.lit("broken file")).alias("reason"),
+    )
 
 
 def last_file_name(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -199,14 +215,15 @@ def read_events(
     """Scan and normalise complete files of one source, in the order of their time or name."""
     if source == K.CLOUDTRAIL:
         records, broken = read_cloud_files(spark, path, order=order)
-        events, rejects = normalize_cloud(records)
+        typed = normalize_cloud(records)
         broken_files = broken.select(
             F.lit(source).alias("source"),
             F.col("file_name").alias("raw"),
             F.lit(None).cast("bigint").alias("seq"),
             F.lit("broken file").alias("reason"),
         )
-        return Normalized(events, rejects.unionByName(broken_files))
+        every = typed.checked.unionByName(broken_files, allowMissingColumns=True)
+        return Normalized(typed.events, typed.rejects.unionByName(broken_files), every)
     if source == K.COWRIE:
         return normalize_honeypot(read_lines_or_empty(spark, path, order))
     return normalize(read_lines(spark, path, order), source, year)
@@ -236,18 +253,25 @@ def strictly(normalized: Normalized) -> DataFrame:
     )
 
 
+def _line_counts() -> list[Column]:
+    good = F.col("reason").isNull()
+    return [F.count_if(good).alias("events"), F.count_if(~good).alias("parse_errors")]
+
+
 def count_lines(tables: dict[str, Normalized]) -> DataFrame:
-    """Per source: events and rejects."""
+    """Per source: events and rejects, counted in one pass over its lines."""
     counts = None
     for source, table in tables.items():
-        one = (
-            table.events.select(F.lit(0).alias("bad"))
-            .unionByName(table.rejects.select(F.lit(1).alias("bad")))
-            .agg(
-                F.count_if(F.col("bad") == 0).alias("events"),
-                F.count_if(F.col("bad") == 1).alias("parse_errors"),
-            )
-            .select(F.lit(source).alias("source"), "events", "parse_errors")
-        )
+        one = table.checked.agg(*_line_counts()).select(F.lit(source).alias("source"), "events", "parse_errors")
         counts = one if counts is None else counts.unionByName(one)
     return counts
+
+
+def observed(table: Normalized, observation: Observation | str) -> DataFrame:
+    """The events, which count events and rejects while they are read, by no further pass.
+
+    In a batch, an `Observation` has the counts once an action has run. On a stream, a name: each
+    progress report has the counts of its batch under it.
+    """
+    seen = table.checked.observe(observation, *_line_counts())
+    return seen.filter(F.col("reason").isNull()).drop("reason")
