@@ -27,8 +27,8 @@ BLOCK = 400
 #: and an empty partition is a signature that unlike sets share. Pairs of which the smaller set has more than
 #: SMALL * threshold shingles are also found by signatures. The same goes for sets with many common shingles.
 SMALL = 128
-#: Groups whose signatures are used. A set of up to about 150 shingles has no more. For larger sets, two documents
-#: right at the threshold agree in each group with a probability of 0.65, in none of 24 with 1e-11.
+#: Groups whose signatures are used; large sets have more. Two documents right at the threshold agree in each group
+#: with a probability of about 0.65, in none of 24 with 1e-11, so a pair may miss there in principle.
 GROUPS = 24
 
 _BYTES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
