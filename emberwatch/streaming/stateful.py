@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberwatch.functions.audit import correlate_audit, type_audit
 from emberwatch.functions.honeypot import sessionize
+from emberwatch.session import configure
 
 #: What a closing row carries.
 END_OF_TIME = "2200-01-01 00:00:00"
@@ -151,6 +152,9 @@ class Successes(InOrder):
 
 
 def _watermarked(events: DataFrame, lateness: str) -> DataFrame:
+    """Events with a watermark and `t`. Processors keep more than one kind of state and timers, which Spark's
+    default state store cannot; a query takes the store that is set when it starts."""
+    configure(events.sparkSession, streaming=True)
     return events.withWatermark("ts", lateness).withColumn("t", F.unix_micros("ts"))
 
 

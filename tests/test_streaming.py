@@ -205,3 +205,29 @@ def test_scheduled_run_numbers_lines_in_log_order(spark, tmp_path):
     query.stop()
     assert seen[0] == [*[f"later {i}" for i in range(300)], "1", "2"] and seen[2] == ["3"]
     assert len(set(seen[1])) == 302 and max(seen[1]) < seen[3][0]
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def test_processors_bring_their_state_store(spark, tmp_path):
+    """A session that sets nothing has a store without column families."""
+    before = spark.conf.get(STORE)
+    data = [("a", EPOCH + i * 1_000_000, i, "accepted" if i == 6 else "failed", "u") for i in range(7)]
+    rows = spark.createDataFrame(data, "source_ip STRING, t BIGINT, seq BIGINT, auth_result STRING, username STRING")
+    rows = rows.withColumn("ts", F.timestamp_micros("t")).drop("t")
+    try:
+        spark.conf.unset(STORE)
+        hits, _, _ = replay(
+            spark, tmp_path / "bursts", [rows, closing_row(rows)],
+            lambda s: stream_bursts(s, "source_ip", 5, 45, "40 seconds"),
+        )
+        spark.conf.unset(STORE)
+        found, _, _ = replay(
+            spark, tmp_path / "successes", [rows, closing_row(rows)],
+            lambda s: stream_success_at_login(s, 5, 45, 90, "40 seconds"),
+        )
+        assert [r.seq for r in hits.collect()] == [4]
+        assert [(r.seq, r.failures) for r in found.collect()] == [(6, 6)]
+    finally:
+        spark.conf.set(STORE, before)
