@@ -518,7 +518,9 @@ WHERE NOT regexp_matches(k, '^[A-Z]') GROUP BY seq, k""",
 )
 def nrm_5(logs):
     lines = audit_fn.with_pair_map(audit_fn.with_pairs(S.audit_lines(logs.base)), "fields")
-    return lines.select("seq", F.explode("fields").alias("k", "v"))
+    # For a plain explode Spark first tests the size of the map, below the columns that it is made of:
+    # it would take each line apart again for every look-up of a pair.
+    return lines.select("seq", F.explode_outer("fields").alias("k", "v")).filter("k is not null")
 
 
 @query("nrm_6", "SELECT seq, epoch, serial, path_name FROM audit_corr")

@@ -65,3 +65,16 @@ def test_stateless_rules_share_one_scan(spark, tmp_path):
     plan = rule_book().run_source(K.CLOUDTRAIL, spark.read.parquet(path))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and "Exchange" not in text
+
+
+def test_pairs_of_a_line_are_taken_apart_once(spark, tmp_path):
+    rows = [(i, f"2024-01-0{1 + i % 9} 00:00:00", i % 3, "error") for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id BIGINT, ts STRING, user_id BIGINT, event_type STRING")
+    events.selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type").write.parquet(
+        str(tmp_path / "events.parquet")
+    )
+    pairs = QUERIES["nrm_5"](spark, str(tmp_path))
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert pairs.filter("seq = 0 and k = 'ses'").first()["v"] == "2"
+    # A line without any pair in lower case has no rows.
+    assert pairs.filter("k is null").isEmpty()
