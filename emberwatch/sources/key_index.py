@@ -67,8 +67,9 @@ class KeyIndex:
         return self.spark.table(self.table).agg(F.max("run")).first()[0]
 
     def add(self, keys: DataFrame) -> None:
-        """Append (alert_key, run). A key that is appended twice counts once."""
-        rows = keys.select(KEY, F.col("run").cast("bigint").alias("run"))
+        """Append (alert_key, run). A key that is appended twice counts once, and one that comes with many alerts of
+        a run is reduced before it is moved, so that its bucket does not get them all."""
+        rows = keys.select(KEY, F.col("run").cast("bigint").alias("run")).distinct()
         # One task for each bucket, so that a run adds at most one file to each.
         rows.repartition(self.buckets, KEY).write.insertInto(self.table)
 

@@ -91,3 +91,10 @@ def test_history_without_an_index_gets_one(spark, audit, tmp_path):
     alert_store.append_alerts(one, path)
     alert_store.store_new_alerts(spark, one, path, 5)
     assert alert_store.load_alerts(spark, path).count() == 1
+
+
+def test_repeated_keys_are_reduced_before_they_move(spark, tmp_path):
+    index = KeyIndex(spark, str(tmp_path / "keys"), buckets=4)
+    index.add(keys(spark, 3, *["a"] * 50, "b").union(keys(spark, 5, "a")))
+    assert sorted(map(tuple, spark.table(index.table).collect())) == [("a", 3), ("a", 5), ("b", 3)]
+    assert index.newest() == 5 and index.keys(before=4).count() == 2
