@@ -229,7 +229,8 @@ def alerts_by_severity(alerts: DataFrame) -> DataFrame:
 
 
 def alerts_view(alerts: DataFrame) -> DataFrame:
-    return alerts_by_severity(display_alerts(alerts))
+    """Sorted first: a displayed row has most of an alert's texts twice or more, and only the alert is moved."""
+    return display_alerts(alerts_by_severity(alerts))
 
 
 def techniques_view(alerts: DataFrame) -> DataFrame:

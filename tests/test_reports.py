@@ -56,3 +56,19 @@ def test_summary_counts_sources_of_registered_rules(spark):
     found = R.summary_view(alerts).first()
     assert found.total_alerts == 4 and list(found.source_counts.items()) == [("auditd", 1), ("vpn", 2)]
     assert R.summary_view(alerts.limit(0)).first().source_counts == {}
+
+
+def test_alerts_are_sorted_before_they_are_displayed(spark):
+    schema = (
+        "alert_id STRING, rule_id STRING, technique STRING, severity STRING, timestamp TIMESTAMP, first_seen TIMESTAMP,"
+        " last_seen TIMESTAMP, description STRING, raw_log STRING, log_source STRING, dedup_key STRING,"
+        " source_ip STRING, username STRING, extra MAP<STRING,STRING>, ord STRUCT<run: BIGINT, seq: BIGINT>"
+    )
+    made = [("LOW", 1), ("HIGH", 3), ("CRITICAL", 4), ("HIGH", 2)]
+    row = lambda s, n: (None, "r", "T1036", s, *[None] * 9, {"exe": f"/x{n}"}, (0, n))
+    view = R.alerts_view(spark.createDataFrame([row(*x) for x in made], schema))
+    assert [(r.severity, r.exe) for r in view.collect()] == [
+        ("CRITICAL", "/x4"), ("HIGH", "/x2"), ("HIGH", "/x3"), ("LOW", "/x1"),
+    ]
+    plan = view._jdf.queryExecution().optimizedPlan().toString()
+    assert "[exe]" in plan.partition("Sort [")[0] and "[exe]" not in plan.partition("Sort [")[2]
