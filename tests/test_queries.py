@@ -78,3 +78,18 @@ def test_pairs_of_a_line_are_taken_apart_once(spark, tmp_path):
     assert pairs.filter("seq = 0 and k = 'ses'").first()["v"] == "2"
     # A line without any pair in lower case has no rows.
     assert pairs.filter("k is null").isEmpty()
+
+
+def test_only_grown_audit_logs_are_written_again(spark, tmp_path, monkeypatch):
+    from pyspark.sql.utils import AnalysisException
+
+    from emberwatch.plans import queries as Q
+
+    columns = ["id AS event_id", "timestamp_seconds(1704844800 + id * 600) AS ts", "id % 7 AS user_id", "'error' AS event_type"]
+    spark.range(2000).selectExpr(*columns).write.parquet(str(tmp_path / "events.parquet"))
+    written = []
+    monkeypatch.setattr(Q, "_write_logs", lambda lines, folder, host: written.append(lines.select(host.alias("h"))))
+    monkeypatch.setattr("emberwatch.streaming.run.run_available", lambda *_: None)
+    with pytest.raises(AnalysisException):  # no stream has run, so there is nothing to read
+        QUERIES["str_7"](spark, str(tmp_path))
+    assert len(written) == 4 and written[3].distinct().count() == 1
