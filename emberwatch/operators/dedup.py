@@ -18,34 +18,41 @@ def dedup_key() -> Column:
     return F.coalesce(own, fallback)
 
 
-def keep_first(alerts: DataFrame) -> DataFrame:
-    """The first alert of each key in `ord` order.
+def keep_first(alerts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The first alert of each key in `ord` order; with `columns`, its `alert_key` and only these.
 
     An aggregate and not a window: a key repeated in every line shrinks to one row per task
-    before the shuffle.
+    before the shuffle. A task sorts its rows for that, so they hold no more than is asked for.
     """
-    columns = alerts.columns
-    return (
+    if columns is None:
+        return _first(alerts, alerts.columns).drop("_key")
+    return _first(alerts, columns).withColumnRenamed("_key", "alert_key")
+
+
+def _first(alerts: DataFrame, columns: list[str]) -> DataFrame:
+    others = [name for name in columns if name != "ord"]
+    found = (
         alerts.withColumn("_key", dedup_key())
         .groupBy("_key")
-        .agg(F.min_by(F.struct(*columns), "ord").alias("a"))
-        .select("a.*")
+        .agg(F.min_by(F.struct(*others), "ord").alias("a"), F.min("ord").alias("ord"))
     )
+    # Alerts without an order have no first one.
+    key = F.when(F.col("ord").isNotNull(), F.col("_key")).alias("_key")
+    return found.select(key, *[F.col(n if n == "ord" else f"a.{n}") for n in columns])
 
 
-def new_alerts(alerts: DataFrame, history: DataFrame) -> DataFrame:
-    """First alert of each key that is not in the history yet."""
-    return unknown_alerts(alerts, history.select(dedup_key().alias("alert_key")))
+def new_alerts(alerts: DataFrame, history: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """First alert of each key that is not in the history yet. `columns` as in `keep_first`; a history with
+    an `alert_key` is compared by it."""
+    key = F.col("alert_key") if "alert_key" in history.columns else dedup_key()
+    return unknown_alerts(alerts, history.select(key.alias("alert_key")), columns)
 
 
-def unknown_alerts(alerts: DataFrame, known: DataFrame) -> DataFrame:
+def unknown_alerts(alerts: DataFrame, known: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """First alert of each key that is not among the known ones (`alert_key`)."""
-    return (
-        keep_first(alerts)
-        .withColumn("alert_key", dedup_key())
-        .join(known, "alert_key", "left_anti")
-        .drop("alert_key")
-    )
+    found = keep_first(alerts, alerts.columns if columns is None else columns)
+    fresh = found.join(known, "alert_key", "left_anti")
+    return fresh.drop("alert_key") if columns is None else fresh
 
 
 def with_run(alerts: DataFrame, run: int) -> DataFrame:

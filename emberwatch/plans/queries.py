@@ -1150,9 +1150,10 @@ def set_1(logs):
   SELECT CASE WHEN log_source IN ('auth_log', 'cloudtrail') THEN 1 ELSE 2 END::bigint AS run, log_source FROM deduped) GROUP BY run, log_source""",
 )
 def set_2(logs):
+    wanted = ["log_source", "ord"]
     first = _of_sources(logs, K.AUTH_LOG, K.CLOUDTRAIL)
-    history = with_run(keep_first(first), 1)
-    fresh = with_run(new_alerts(logs.stored_alerts, history), 2)
+    history = with_run(keep_first(first, wanted), 1)
+    fresh = with_run(new_alerts(logs.stored_alerts, history, wanted), 2)
     both = history_plus_new(history, fresh)
     return both.groupBy(c("ord.run").alias("run"), "log_source").agg(F.count("*").alias("n"))
 

@@ -13,6 +13,9 @@ RUNTIME_SETTINGS = {
     # The JVM does not compile methods above 8000 bytes of code. Wide parsing stages exceed that,
     # and run much faster as several smaller generated functions.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A few bytes of a Parquet or log file become a long row, so a task reads a small piece: what it sorts
+    # would else grow with the input until a piece has 128 MB.
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
