@@ -5,6 +5,7 @@ where the vocabulary fits, else four), and `<name>.idx`, the index. See `write_i
 """
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -26,6 +27,8 @@ MAGIC = b"MPHIDX01"
 SPREAD = 1.5
 #: Words whose ids a worker remembers in each of two generations.
 REMEMBERED = 500_000
+#: New words that go through the tokenizer as one text.
+TOGETHER = 500
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -145,6 +148,19 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray | None:
+    """For each id whether it ends a word; None where a word may go without an end, as not every byte has one."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    vocabulary, suffix = _tokenizer(path).get_vocab(), _tokenizer(path).model.end_of_word_suffix
+    if not suffix or not all(byte + suffix in vocabulary for byte in ByteLevel.alphabet()):
+        return None
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
+
+
 class _Remembered:
     """Ids of words in two generations: a full young one becomes the old one, and words that are used again come over,
     so frequent words stay. It changes between batches only: what a batch asked for is there until it is done."""
@@ -154,16 +170,15 @@ class _Remembered:
         self.old: dict[bytes, bytes] = {}
 
     def unknown(self, words: set[bytes]) -> list[bytes]:
-        """Brings words over that are known, and returns the others. Looks up each word: a difference of sets would go
-        over all that is remembered."""
-        out = []
-        for word in words:
-            if word not in self.young:
-                ids = self.old.get(word)
-                if ids is None:
-                    out.append(word)
-                else:
-                    self.young[word] = ids
+        """Brings words over that are known, and returns the others. The difference with a dict goes over the words
+        only; with its keys it would go over all that is remembered."""
+        out, young, old = [], self.young, self.old
+        for word in words.difference(young):
+            ids = old.get(word)
+            if ids is None:
+                out.append(word)
+            else:
+                young[word] = ids
         return out
 
     def begin_batch(self) -> None:
@@ -173,30 +188,63 @@ class _Remembered:
 
 _REMEMBERED: dict[tuple[str, int], _Remembered] = {}
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TAIL = re.compile(rb"(.*[^\x00-\x7f])([!-/:-@\[-`{-~]+)", re.S)
 
 
 class _Words:
     """Ids of words, as bytes: a word's ids do not depend on its neighbours where the tokenizer drops blanks, so each
     distinct word of a worker goes through the tokenizer once. ASCII words are first cut where the tokenizer's own
-    pattern cuts them, and marks at the end of other words are cut off after a letter."""
+    pattern cuts them (letters that end in marks without the pattern), and marks at the end of other words are cut off
+    after a letter."""
 
     def __init__(self, path: str, width: int):
-        self.tokenizer, self.kind = _tokenizer(path), np.dtype(f"<u{width}")
+        self.tokenizer, self.kind, self.ends = _tokenizer(path), np.dtype(f"<u{width}"), _word_ends(path)
         self.known = _REMEMBERED.setdefault((path, width), _Remembered())
 
     def learn(self, words: list[bytes]) -> None:
-        cut = {word: self._cut(word) for word in words}
-        parts = self.known.unknown({part for own in cut.values() for part in own})
-        ids = self.known.young
+        """`words` are unknown ones, each once."""
+        ids, whole, ended, cut = self.known.young, [], {}, {}
+        for word in words:
+            stem = word.rstrip(_MARKS)
+            if not stem.isalpha():
+                cut[word] = self._cut(word)
+            elif len(stem) == len(word):
+                whole.append(word)
+            else:
+                ended[word] = stem
+        wanted = {part for own in cut.values() for part in own}
+        wanted.update(ended.values(), {word[len(stem) :] for word, stem in ended.items()})
+        parts = whole + self.known.unknown(wanted.difference(whole))
         for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            ids.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(some, found))
+            self._learn_parts(parts[at : at + 20_000])
+        for word, stem in ended.items():
+            ids[word] = ids[stem] + ids[word[len(stem) :]]
         for word, own in cut.items():
             if len(own) > 1:
                 ids[word] = b"".join(map(ids.__getitem__, own))
 
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        """Parts of letters go through the tokenizer together and are told apart by the ids that end a word. Each
+        has at least one, so as many ends as parts are one for each; else the parts are encoded one by one."""
+        letters, alone = [], list(parts) if self.ends is None else []
+        if self.ends is not None:
+            for part in parts:
+                (letters if part.isalpha() or part.decode().isalpha() else alone).append(part)
+        groups = [letters[at : at + TOGETHER] for at in range(0, len(letters), TOGETHER)]
+        texts = [b" ".join(own).decode() for own in groups]
+        ids, width = self.known.young, self.kind.itemsize
+        for own, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            numbers = np.array(encoded.ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[numbers]) + 1) * width).tolist()
+            if len(stops) == len(own):
+                raw = numbers.tobytes()
+                ids.update(zip(own, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+            else:
+                alone += own
+        found = self.tokenizer.encode_batch_fast([part.decode() for part in alone], add_special_tokens=False)
+        ids.update((part, np.array(e.ids, self.kind).tobytes()) for part, e in zip(alone, found))
+
     @staticmethod
     def _cut(word: bytes) -> list[bytes]:
         if word.isascii():
@@ -208,10 +256,16 @@ class _Words:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         self.known.begin_batch()
+        young = self.known.young
         words = [text.encode().lower().split() for text in texts]
-        if missing := self.known.unknown(set().union(*words)):
-            self.learn(missing)
-        return [b"".join(map(self.known.young.__getitem__, own)) for own in words]
+        found = [list(map(young.get, own)) for own in words]
+        lacking = [place for place, own in enumerate(found) if None in own]
+        missing = {word for at in lacking for word, ids in zip(words[at], found[at]) if ids is None}
+        if unknown := self.known.unknown(missing):
+            self.learn(unknown)
+        for at in lacking:
+            found[at] = [young[word] if ids is None else ids for word, ids in zip(words[at], found[at])]
+        return [b"".join(own) for own in found]
 
 
 def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
@@ -235,6 +289,8 @@ def encode(docs: DataFrame, bounds: list[int], path: str, end_id: int, width: in
     cuts = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task has one core; threads of the tokenizer would wait for work beside those of the other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         words, end = _Words(path, width), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
             texts = batch["text"].to_pylist()

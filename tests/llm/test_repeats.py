@@ -1,5 +1,6 @@
 """Rows that differ in their source only, and word tables that are smaller than a batch."""
 
+import numpy as np
 import public_tokenizers as files
 
 from emberwatch.llm import mixing, token_store
@@ -53,3 +54,26 @@ def test_more_words_than_are_remembered(monkeypatch):
     words = token_store._Words(path, 2)
     assert [x for i in range(0, 40, 4) for x in words.ids(texts[i : i + 4])] == wanted
     assert words.ids(texts) == wanted and words.ids(texts[:1]) == wanted[:1]
+
+
+def test_new_words_of_letters_are_encoded_together(monkeypatch):
+    """Also letters that the tokenizer takes apart, which are then encoded one by one."""
+    path, asked = files.path("word_bpe_49k.json"), []
+    plain = token_store._tokenizer(path)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    def ids(texts):
+        monkeypatch.setattr(token_store, "_REMEMBERED", {})
+        words = token_store._Words(path, 2)
+        monkeypatch.setattr(words, "tokenizer", Counted())
+        return [np.frombuffer(x, "<u2").tolist() for x in words.ids(texts)]
+
+    simple = [" ".join(f"{a}{b}x" for a in "abcdefghij" for b in "klmnopqrstuvwxyz"), "größe naïve слово 漢字"]
+    assert ids(simple) == [plain.encode(t, add_special_tokens=False).ids for t in simple]
+    assert len(asked) <= 2
+    odd = ["ab क़ cd İstanbul ﬁn ǅ ªb ǰͅ é x"] + ["word " * 3, ""]
+    assert ids(odd) == [plain.encode(t, add_special_tokens=False).ids for t in odd]
