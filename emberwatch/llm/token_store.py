@@ -8,13 +8,15 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ from emberwatch.session import shared_folder
 MAGIC = b"MPHIDX01"
 #: Bits for each key in a level of the hash; more bits place more keys at once.
 SPREAD = 1.5
-#: Words whose ids a worker remembers in each of two generations.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, and the most bytes of such a word: a text without blanks is one word.
+REMEMBERED, LONGEST = 500_000, 64
+#: Bytes of text whose words are looked up together, or one text if it is longer.
+LOOKED_UP = 8_000_000
 #: New words that go through the tokenizer as one text.
 TOGETHER = 500
 
@@ -162,69 +166,85 @@ def _word_ends(path: str) -> np.ndarray | None:
 
 
 class _Remembered:
-    """Ids of words in two generations: a full young one becomes the old one, and words that are used again come over,
-    so frequent words stay. It changes between batches only: what a batch asked for is there until it is done."""
+    """Ids of words of up to `LONGEST` bytes, as bytes, and the batch that asked for each word last. Of more than
+    `REMEMBERED`, half that number stays, those that were asked for last, so frequent words stay."""
 
     def __init__(self) -> None:
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def unknown(self, words: set[bytes]) -> list[bytes]:
-        """Brings words over that are known, and returns the others. The difference with a dict goes over the words
-        only; with its keys it would go over all that is remembered."""
-        out, young, old = [], self.young, self.old
-        for word in words.difference(young):
-            ids = old.get(word)
-            if ids is None:
-                out.append(word)
-            else:
-                young[word] = ids
-        return out
-
-    def begin_batch(self) -> None:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        self.words, self.ids = pa.array([], pa.large_binary()), pa.array([], pa.large_binary())
+        self.last, self.batch = np.zeros(0, np.int64), 0
+
+    def look_up(self, words: pa.Array, learn: Callable[[list[bytes]], list[bytes]]) -> pa.Array:
+        """The ids of distinct words; `learn` gives those of words that are unknown."""
+        places = pc.index_in(words, self.words).fill_null(-1).to_numpy().astype(np.int64)
+        if len(unknown := np.flatnonzero(places < 0)):
+            places[unknown] = len(self.words) + np.arange(len(unknown))
+            new = words.take(pa.array(unknown))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids = pa.concat_arrays([self.ids, pa.array(learn(new.to_pylist()), pa.large_binary())])
+            self.last = np.append(self.last, np.zeros(len(unknown), np.int64))
+        self.batch += 1
+        self.last[places] = self.batch
+        found = self.ids.take(pa.array(places))
+        stay = np.flatnonzero(pc.binary_length(self.words).to_numpy() <= LONGEST)
+        if len(stay) > REMEMBERED:
+            stay = np.sort(stay[np.argsort(self.last[stay], kind="stable")[len(stay) - REMEMBERED // 2 :]])
+        if len(stay) < len(self.words):
+            self.words, self.ids = self.words.take(pa.array(stay)), self.ids.take(pa.array(stay))
+            self.last = self.last[stay]
+        return found
 
 
 _REMEMBERED: dict[tuple[str, int], _Remembered] = {}
 _PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TAIL = re.compile(rb"(.*[^\x00-\x7f])([!-/:-@\[-`{-~]+)", re.S)
+#: ASCII letters become small and each ASCII blank a space.
+_EVEN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+_IS_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
+_IS_MARK = np.isin(np.arange(256), list(_MARKS))
+_ENDS_BEFORE_LETTER = _IS_MARK & (np.arange(256) != ord("'"))
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many words are before each text and before the end. A word ends at a blank,
+    between an ASCII letter and an ASCII mark, and between such a mark and a letter unless the mark is an apostrophe,
+    which may belong to the letters after it. The tokenizer's own pattern cuts at each of these places."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    text, offsets = np.frombuffer(raw.tobytes().translate(_EVEN), np.uint8), offsets - offsets[0]
+    solid, letter = text != ord(" "), _IS_LETTER[text]
+    first = np.zeros(len(text), bool)
+    first[1:] = ~solid[:-1] | letter[:-1] & _IS_MARK[text[1:]] | _ENDS_BEFORE_LETTER[text[:-1]] & letter[1:]
+    first[offsets[:-1][offsets[:-1] < len(text)]] = True
+    first &= solid
+    counts = np.searchsorted(np.flatnonzero(first), offsets)
+    text, first = text[solid], first[solid]
+    bounds = np.append(np.flatnonzero(first), len(text))
+    words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(text)])
+    return words, counts
 
 
 class _Words:
     """Ids of words, as bytes: a word's ids do not depend on its neighbours where the tokenizer drops blanks, so each
-    distinct word of a worker goes through the tokenizer once. ASCII words are first cut where the tokenizer's own
-    pattern cuts them (letters that end in marks without the pattern), and marks at the end of other words are cut off
-    after a letter."""
+    distinct word that a worker remembers goes through the tokenizer once. Words that are not letters only are first
+    cut where the tokenizer's own pattern cuts them, and those beyond ASCII where marks at their end follow a letter."""
 
     def __init__(self, path: str, width: int):
         self.tokenizer, self.kind, self.ends = _tokenizer(path), np.dtype(f"<u{width}"), _word_ends(path)
         self.known = _REMEMBERED.setdefault((path, width), _Remembered())
 
-    def learn(self, words: list[bytes]) -> None:
-        """`words` are unknown ones, each once."""
-        ids, whole, ended, cut = self.known.young, [], {}, {}
-        for word in words:
-            stem = word.rstrip(_MARKS)
-            if not stem.isalpha():
-                cut[word] = self._cut(word)
-            elif len(stem) == len(word):
-                whole.append(word)
-            else:
-                ended[word] = stem
-        wanted = {part for own in cut.values() for part in own}
-        wanted.update(ended.values(), {word[len(stem) :] for word, stem in ended.items()})
-        parts = whole + self.known.unknown(wanted.difference(whole))
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words by the tokenizer."""
+        cut = {word: self._cut(word) for word in words if not word.isalpha()}
+        parts = dict.fromkeys(word for word in words if word not in cut)
+        parts.update(dict.fromkeys(part for own in cut.values() for part in own))
+        parts, ids = list(parts), {}
         for at in range(0, len(parts), 20_000):
-            self._learn_parts(parts[at : at + 20_000])
-        for word, stem in ended.items():
-            ids[word] = ids[stem] + ids[word[len(stem) :]]
-        for word, own in cut.items():
-            if len(own) > 1:
-                ids[word] = b"".join(map(ids.__getitem__, own))
-
-    def _learn_parts(self, parts: list[bytes]) -> None:
+            self._learn_parts(parts[at : at + 20_000], ids)
+        return [b"".join([ids[part] for part in cut[word]]) if word in cut else ids[word] for word in words]
+
+    def _learn_parts(self, parts: list[bytes], ids: dict[bytes, bytes]) -> None:
         """Parts of letters go through the tokenizer together and are told apart by the ids that end a word. Each
         has at least one, so as many ends as parts are one for each; else the parts are encoded one by one."""
         letters, alone = [], list(parts) if self.ends is None else []
@@ -233,7 +253,7 @@ class _Words:
                 (letters if part.isalpha() or part.decode().isalpha() else alone).append(part)
         groups = [letters[at : at + TOGETHER] for at in range(0, len(letters), TOGETHER)]
         texts = [b" ".join(own).decode() for own in groups]
-        ids, width = self.known.young, self.kind.itemsize
+        width = self.kind.itemsize
         for own, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             numbers = np.array(encoded.ids, self.kind)
             stops = ((np.flatnonzero(self.ends[numbers]) + 1) * width).tolist()
@@ -250,22 +270,28 @@ class _Words:
         if word.isascii():
             return _PARTS.findall(word)
         tail = _TAIL.fullmatch(word)
-        if tail and tail[1].decode()[-1].isalpha():
+        # As the tokenizer's pattern sees it: a dot above, say, that comes off a letter belongs to the marks.
+        if tail and unicodedata.normalize("NFC", tail[1].decode()).lower()[-1].isalpha():
             return [tail[1], tail[2]]
         return [word]
 
+    def encoded(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text and `end`, as bytes. Texts are split and their words looked up as columns; only words
+        that are unknown are taken one by one."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        words, counts = _split(texts)
+        coded = words.dictionary_encode()
+        ids = self.known.look_up(coded.dictionary, self.learn)
+        ids = pa.concat_arrays([ids, pa.array([end], pa.large_binary())])
+        places = np.insert(coded.indices.to_numpy(), counts[1:], len(ids) - 1)
+        taken = ids.take(pa.array(places))
+        bounds = np.frombuffer(taken.buffers()[1], np.int64)[counts + np.arange(len(counts))]
+        data = taken.buffers()[2]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), data]).cast(pa.binary())
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        self.known.begin_batch()
-        young = self.known.young
-        words = [text.encode().lower().split() for text in texts]
-        found = [list(map(young.get, own)) for own in words]
-        lacking = [place for place, own in enumerate(found) if None in own]
-        missing = {word for at in lacking for word, ids in zip(words[at], found[at]) if ids is None}
-        if unknown := self.known.unknown(missing):
-            self.learn(unknown)
-        for at in lacking:
-            found[at] = [young[word] if ids is None else ids for word, ids in zip(words[at], found[at])]
-        return [b"".join(own) for own in found]
+        return self.encoded(pa.array(texts, pa.string())).to_pylist()
 
 
 def shard_bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
@@ -284,6 +310,13 @@ def _shards(doc_ids: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.array(found.astype(np.int32), pa.int32())
 
 
+def _portions(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """The rows in turn, in portions of about `LOOKED_UP` bytes of text."""
+    nth = np.cumsum(pc.binary_length(batch["text"]).to_numpy(), dtype=np.int64) // LOOKED_UP
+    at = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), len(nth)]
+    return [batch.slice(a, b - a) for a, b in zip(at, at[1:])]
+
+
 def encode(docs: DataFrame, bounds: list[int], path: str, end_id: int, width: int) -> DataFrame:
     """(doc_id, shard, ids): ids of every whole text and the end id, as raw bytes. A null text is empty."""
     cuts = np.array(bounds, np.int64)
@@ -293,10 +326,8 @@ def encode(docs: DataFrame, bounds: list[int], path: str, end_id: int, width: in
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         words, end = _Words(path, width), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for at in range(0, len(texts), 500):
-                ids, own = words.ids(texts[at : at + 500]), batch["doc_id"].slice(at, 500)
-                ids = pa.array([x + end for x in ids], pa.binary())
+            for some in _portions(batch):
+                own, ids = some["doc_id"], words.encoded(some["text"], end)
                 yield pa.record_batch({"doc_id": own, "shard": _shards(own, cuts), "ids": ids})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

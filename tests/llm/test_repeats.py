@@ -1,7 +1,10 @@
 """Rows that differ in their source only, and word tables that are smaller than a batch."""
 
+import random
+
 import numpy as np
 import public_tokenizers as files
+import pyarrow as pa
 
 from emberwatch.llm import mixing, token_store
 
@@ -77,3 +80,58 @@ def test_new_words_of_letters_are_encoded_together(monkeypatch):
     assert len(asked) <= 2
     odd = ["ab क़ cd İstanbul ﬁn ǅ ªb ǰͅ é x"] + ["word " * 3, ""]
     assert ids(odd) == [plain.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_words_are_learned_once_whatever_marks_are_beside_them(monkeypatch):
+    """Also in other texts, with other blanks and with large letters."""
+    path, learned = files.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(token_store, "_REMEMBERED", {})
+    words = token_store._Words(path, 2)
+    learn = words.learn
+    monkeypatch.setattr(words, "learn", lambda new: learned.extend(new) or learn(new))
+    texts = ["word, word. (word)\tword's", "WORD  word!", "", " \n"]
+    plain = token_store._tokenizer(path)
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in words.ids(texts)] == wanted
+    assert sorted(learned) == [b"!", b"'s", b"(", b")", b",", b".", b"word"]
+
+
+def test_columns_of_texts_equal_the_tokenizer(monkeypatch):
+    """Parts of columns with long offsets, with an id at the end, and with words that are forgotten at once."""
+    path, chance = files.path("word_bpe_49k.json"), random.Random(5)
+    signs = [*"abstver\u00e9\u00c9\u00df\u03a3\u0130\u5b57\u0338\u0301\u0345\u00a0\u0085\u200b\u0663\u00bd\U0001f600"]
+    signs += [*"\x00\x1c\x7f\t\n\r    7<=''''.,(*$%|", "'ll", "'re", "  "]
+    texts = ["".join(chance.choices(signs, k=chance.randrange(60))) for _ in range(400)]
+    texts += ["", " ", "<|endoftext|>", "\u0130, \u0958."]
+    plain = token_store._tokenizer(path)
+    wanted = [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for remembered in (3, 1_000_000):
+            monkeypatch.setattr(token_store, "_REMEMBERED", {})
+            monkeypatch.setattr(token_store, "REMEMBERED", remembered)
+            words, column, got = token_store._Words(path, 4), pa.array(texts, kind), []
+            for at in range(0, len(texts), 50):
+                got += words.encoded(column.slice(at, 50), np.array([1], "<u4").tobytes()).to_pylist()
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == wanted
+
+
+def test_portions_of_a_batch_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(token_store, "LOOKED_UP", 10)
+    for texts in ([], [""], ["x" * 30, "", "y" * 9, "z", "x" * 11, ""], ["é" * 4] * 7):
+        batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+        parts = token_store._portions(batch)
+        assert [x for part in parts for x in part["text"].to_pylist()] == texts
+        assert all(len("".join(part["text"].to_pylist()[1:]).encode()) < 10 for part in parts)
+
+
+def test_long_words_are_not_remembered(monkeypatch):
+    """Texts without blanks would fill a worker's memory; their ids are whole all the same."""
+    path = files.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_store, "_REMEMBERED", {})
+    words, plain = token_store._Words(path, 2), token_store._tokenizer(path)
+    texts = ["字" * 500, "a b " + "x" * 65 + " " + "y" * 64, "字" * 500 + " b"]
+    for _ in range(2):
+        wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in words.ids(texts)] == wanted
+        assert sorted(words.known.words.to_pylist()) == [b"a", b"b", b"y" * 64]
