@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.llm.common import portions
+
 # The white space of the tokenizer's pattern, spelled out because Python's own class has more characters.
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words with the space before them, or runs of blanks: places where the tokenizer's own pattern cuts as well, so
@@ -22,6 +24,8 @@ WORD = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Words that a task remembers the ids of; beyond them it starts afresh.
 REMEMBERED = 1_000_000
+#: Bytes of packed numbers whose documents are put together at a time.
+PLACES = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +72,8 @@ def blocks(batch: pa.RecordBatch, limit: int, parts: int) -> Iterator[tuple[int,
         found = list(words)
         part = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in found], np.uint32)
         yield int.from_bytes(name.digest(), "little", signed=True), found, part, own, numbers
+        # A block goes before the next one is made, here and where blocks are read.
+        del words, own, numbers, found, part
 
 
 def _joined(pieces: list[bytes]) -> bytes:
@@ -104,7 +110,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << shift, start)
 
 
-def _lists(doc_ids: pa.ChunkedArray, ids: Iterator[np.ndarray]) -> pa.Table:
+def _lists(doc_ids: pa.Array | pa.ChunkedArray, ids: Iterator[np.ndarray]) -> pa.Table:
     out = list(ids)
     ends = np.cumsum([0, *map(len, out)], dtype=np.int64)
     values = np.concatenate([*out, np.zeros(0, np.int32)])
@@ -118,10 +124,11 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 16_000_0
 
 
 def encode_by(
-    docs: DataFrame, path: str, pattern: str, finish: Callable[[pa.ChunkedArray, Iterator[np.ndarray]], pa.Table],
-    schema: str, block_chars: int = 16_000_000,
+    docs: DataFrame, path: str, pattern: str,
+    finish: Callable[[pa.Array | pa.ChunkedArray, Iterator[np.ndarray]], pa.Table], schema: str,
+    block_chars: int = 16_000_000,
 ) -> DataFrame:
-    """Rows that `finish` makes of the doc_ids and token ids of a block's documents, in the task that puts them
+    """Rows that `finish` makes of the doc_ids and token ids of some of a block's documents, in the task that puts them
     together: what follows from a document's ids needs no second pass of the ids through Spark.
 
     Documents are cut into blocks. Each block gives its distinct words, packed by the part that a word's hash names,
@@ -139,7 +146,7 @@ def encode_by(
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, found, part, _, _ in blocks(batch, block_chars, parts):
+            for block, found, part, own, numbers in blocks(batch, block_chars, parts):
                 order = np.argsort(part, kind="stable")
                 ends = np.flatnonzero(np.diff(part[order], append=parts)) + 1
                 used = part[order][ends - 1]
@@ -153,10 +160,11 @@ def encode_by(
                         "block": np.full(len(used), block, np.int64), "words": pa.array(blobs, pa.binary()),
                     }
                 )
+                del found, part, own, numbers, order, blobs
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, _, part, own, numbers in blocks(batch, block_chars, parts):
+            for block, found, part, own, numbers in blocks(batch, block_chars, parts):
                 # The parts of the block's words come with its first document.
                 owners = [zlib.compress(part.tobytes(), 1)] + [None] * (len(own) - 1)
                 yield pa.record_batch(
@@ -165,6 +173,7 @@ def encode_by(
                         "places": pa.array(numbers, pa.binary()), "parts": pa.array(owners, pa.binary()),
                     }
                 )
+                del found, part, own, numbers, owners
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known = _encoder(path, pattern), {}
@@ -209,7 +218,11 @@ def encode_by(
             total = int(n.sum())
             return flat[np.arange(total) + np.repeat(start[at] - (np.cumsum(n) - n), n)].astype(np.int32)
 
-        return finish(own["doc_id"], (ids_of(packed.as_py()) for packed in own["places"]))
+        # A block's rows are made and given out some at a time; the first call, for none, gives the columns.
+        made = [finish(own["doc_id"].slice(0, 0), iter(()))]
+        for some in portions(iter(own.select(["doc_id", "places"]).to_batches()), "places", PLACES):
+            made.append(finish(some["doc_id"], (ids_of(packed.as_py()) for packed in some["places"])))
+        return pa.concat_tables(made)
 
     encoded = (
         rows.mapInArrow(words, "part int, block long, words binary").repartition("part")
@@ -227,7 +240,7 @@ def digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, with its token ids as `ids` if asked for:
     the ids are decoded by the token-byte table, which is as large as the vocabulary file. No documents, no rows."""
 
-    def digests(doc_ids: pa.ChunkedArray, ids: Iterator[np.ndarray]) -> pa.Table:
+    def digests(doc_ids: pa.Array | pa.ChunkedArray, ids: Iterator[np.ndarray]) -> pa.Table:
         table = _token_bytes(path)
         sizes, joined, decoded, kept = [], [], [], []
         for own in ids:

@@ -2,6 +2,9 @@
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from emberwatch.session import remove_folder, shared_folder
 #: The characters of `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of text that a task has as Python objects at a time; a longer text comes alone.
+PORTION = 1 << 22
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,6 +85,19 @@ def joined_components(groups_of: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(old.unionByName(merged.join(groups_of, "node", "left_anti")), "components")
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, as slices with at most `limit` bytes in `column`, one row at least: what is made
+    of a slice can go before the next one is taken, in the task as well as where its rows are read."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def chunks(texts: list, limit: int) -> Iterator[list[tuple[int, str]]]:
     """Lists of (place, piece) of at most about `limit` characters; a longer text is cut at fixed places."""
     held, size = [], 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import components, drop, joined_components, stored
+from emberwatch.llm.common import components, drop, joined_components, portions, stored
 
 #: Every so many sets one is looked at to find shingles that many sets share, which say little: those found in at least
 #: COMMON of the sampled sets, the MOST_COMMON most frequent. Signatures are made of the other shingles. Any choice gives
@@ -140,7 +140,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, groups: i
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             sets = [shingles(text, n) for text in batch["text"].to_pylist()]
             yield pa.record_batch(
                 {
@@ -154,7 +154,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, groups: i
             )
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch["text"].to_pylist()
             for at in range(0, len(texts), 200):
                 sets = [shingles(text, n) for text in texts[at : at + 200]]
@@ -166,7 +166,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, n: int = 5, groups: i
 
     def small_or_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A set that is rare in less than half is similar to none that is rare in more than four fifths.
-        for batch in batches:
+        for batch in portions(batches):
             sets = (shingles(text, n) for text in batch["text"].to_pylist())
             found = [s for s in sets if 0 < len(s) <= SMALL or 5 * len(rare(s, common)) < 4 * len(s)]
             yield pa.record_batch(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import chunks
+from emberwatch.llm.common import chunks, portions
 
 #: Hash buckets of character pairs and triples: what a model is as large as, times the number of bits.
 BUCKETS = 1 << 15
@@ -112,13 +112,16 @@ class Model:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
+        langs = batch["lang"].to_pylist()
         names = sorted(set(langs))
         own = np.array([names.index(x) for x in langs], np.int64)
-        total = np.zeros((len(names), BUCKETS), np.int64)
-        for pieces in chunks(texts, PIECE):
-            place, bucket = grams(pieces)
-            total += np.bincount(own[place] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
+        total, before = np.zeros((len(names), BUCKETS), np.int64), 0
+        for some in portions(iter([batch])):
+            for pieces in chunks(some["text"].to_pylist(), PIECE):
+                place, bucket = grams(pieces)
+                of = own[before + place] * BUCKETS + bucket
+                total += np.bincount(of, minlength=total.size).reshape(total.shape)
+            before += len(some)
         lang, bucket = total.nonzero()
         yield pa.record_batch(
             {
@@ -158,7 +161,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     model = Model(languages, code, weights, trust)
 
     def rightness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             margins, langs = model.margins(batch["text"].to_pylist()), batch["lang"].to_pylist()
             yield pa.record_batch({"lang": pa.array(langs, pa.string()), "margins": pa.array(list(margins), pa.list_(pa.float64()))})
 
@@ -186,7 +189,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = batch["text"].to_pylist()
             known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
             lang, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -210,7 +213,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     another, and all that have a letter stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             keep = np.array([any(map(str.isalpha, t)) for t in texts], bool)
             if model is not None and len(texts):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import BLANKS, stored
+from emberwatch.llm.common import BLANKS, portions, stored
 
 WORD = re.compile(f"[^{BLANKS}]+")
 
@@ -125,7 +125,7 @@ def draw_shard(quota: np.ndarray, shard: int, shards: int, per_shard: int, seed:
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         # Bytes split at exactly the six blanks of BLANKS.
         sizes = [len(text.encode().split()) for text in batch["text"].to_pylist()]
         yield pa.record_batch(
@@ -260,7 +260,7 @@ def mixed_documents(docs: DataFrame, mixed: Mix) -> DataFrame:
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = [
                 stretches(text or "", [(s["first"], s["n"]) for s in spans])
                 for text, spans in zip(batch["text"].to_pylist(), batch["__spans"].to_pylist())
